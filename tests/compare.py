@@ -18,6 +18,11 @@ TABLES = (
 ).split()
 
 
+SAME_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean",
+}
+
+
 def connect(sf: str):
     import duckdb
 
@@ -69,10 +74,12 @@ def run(spark, con, name, fn, sql, sf) -> tuple[str, int, float]:
     took = time.time() - start
     if sql is None:
         return "rows-only", len(rows), took
-    cur = con.execute(sql)
-    duck = cur.fetchall()
-    cols = [d[0] for d in cur.description]
-    return compare([tuple(r) for r in rows], df.columns, duck, cols), len(rows), took
+    described = con.execute(f"DESCRIBE {sql}").fetchall()
+    kinds = {r[0]: SAME_TYPES.get(r[1], r[1]) for r in described}
+    odd = {n: (t, kinds.get(n)) for n, t in df.dtypes if kinds.get(n) != t}
+    duck = con.execute(sql).fetchall()
+    verdict = compare([tuple(r) for r in rows], df.columns, duck, [r[0] for r in described])
+    return verdict or (f"types {odd}" if odd else ""), len(rows), took
 
 
 def main() -> int:
