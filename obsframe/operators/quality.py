@@ -229,24 +229,27 @@ def max_dissimilarity(
     points = pin(summary.select(*keys, *z, hash_key(seed, *keys).alias("hash_key")))
     names = [f"z_{c}" for c in features]
 
-    def distance(row) -> Column:
-        return F.sqrt(sum(((F.col(n) - F.lit(row[n])) ** 2 for n in names), F.lit(0.0)))
+    def apart(rows) -> Column:
+        """Distance to the nearest of the given rows, written as one short literal."""
+        places = ", ".join("array(" + ", ".join(f"{r[n]!r}D" for n in names) + ")" for r in rows)
+        point = ", ".join(names)
+        return F.expr(
+            f"sqrt(array_min(transform(array({places}), p -> "
+            f"aggregate(zip_with(p, array({point}), (a, b) -> (a - b) * (a - b)), 0D, (s, d) -> s + d))))"
+        )
 
     chosen = points.orderBy("hash_key").limit(start).collect()
     steps: list[tuple[int, float | None]] = [(i + 1, None) for i in range(len(chosen))]
-    apart = None
-    for row in chosen:
-        apart = distance(row) if apart is None else F.least(apart, distance(row))
-    current = points.withColumn("apart", apart)
     for _ in range(more):
-        best = current.agg(
-            F.max_by(F.struct(*keys, *names, "apart"), F.struct("apart", "hash_key")).alias("best")
-        ).first()["best"]
+        best = (
+            points.withColumn("apart", apart(chosen))
+            .agg(F.max_by(F.struct(*keys, *names, "apart"), F.struct("apart", "hash_key")).alias("best"))
+            .first()["best"]
+        )
         if best is None or best["apart"] <= 0:
             break
         chosen.append(best)
         steps.append((len(steps) + 1, best["apart"]))
-        current = current.withColumn("apart", F.least("apart", distance(best)))
     rows = [(*[r[k] for k in keys], step, gap) for r, (step, gap) in zip(chosen, steps)]
     schema = ", ".join([f"{k} string" for k in keys] + ["step int", "min_distance double"])
     picked = summary.sparkSession.createDataFrame(rows, schema)

@@ -22,7 +22,7 @@ def spread(
     df: DataFrame, ids: list[str], key: str, keys: Sequence, value: str, prefix: str = ""
 ) -> DataFrame:
     """Long to wide over a given list of key values; one conditional aggregate per column."""
-    cols = [F.first(F.when(F.col(key) == k, F.col(value)), ignorenulls=True).alias(f"{prefix}{k}") for k in keys]
+    cols = [F.max(F.when(F.col(key) == k, F.col(value))).alias(f"{prefix}{k}") for k in keys]
     return df.groupBy(*ids).agg(*cols)
 
 

@@ -24,7 +24,7 @@ def total(spark, sf):
     return readings(spark, sf).groupBy("station", "date").agg(sum_or_zero("value").alias("total"))
 
 
-@query("agg_count", f"""WITH {READ} SELECT station, year(date) AS year, count(*) AS n FROM readings GROUP BY ALL""")
+@query("agg_count", f"""WITH {READ} SELECT station, CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM readings GROUP BY ALL""")
 def count(spark, sf):
     return readings(spark, sf).groupBy("station", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -50,7 +50,7 @@ def count_nonzero(spark, sf):
     return readings(spark, sf).groupBy("station").agg(F.count_if(F.col("value") != 0).alias("n_nonzero"))
 
 
-@query("agg_count_flag", f"""WITH {READ}, y AS (SELECT station, year(date) AS year, count(value) > 70 AS year_clean FROM readings GROUP BY ALL)
+@query("agg_count_flag", f"""WITH {READ}, y AS (SELECT station, CAST(year(date) AS INTEGER) AS year, count(value) > 70 AS year_clean FROM readings GROUP BY ALL)
 SELECT station, count(*) FILTER (year_clean) AS clean_years FROM y GROUP BY station""")
 def count_flag(spark, sf):
     yearly = readings(spark, sf).groupBy("station", F.year("date").alias("year")).agg(
@@ -59,7 +59,7 @@ def count_flag(spark, sf):
     return yearly.groupBy("station").agg(F.count_if("year_clean").alias("clean_years"))
 
 
-@query("agg_count_distinct", f"""WITH {READ} SELECT year(date) AS year, count(DISTINCT station) AS n_stations FROM readings GROUP BY 1""")
+@query("agg_count_distinct", f"""WITH {READ} SELECT CAST(year(date) AS INTEGER) AS year, count(DISTINCT station) AS n_stations FROM readings GROUP BY 1""")
 def count_distinct(spark, sf):
     return readings(spark, sf).groupBy(F.year("date").alias("year")).agg(F.countDistinct("station").alias("n_stations"))
 
@@ -73,7 +73,7 @@ def min_max(spark, sf):
     )
 
 
-@query("agg_sd", f"""WITH {READ} SELECT station, year(date) AS year, round(stddev_samp(value),6) AS sd FROM readings GROUP BY ALL""")
+@query("agg_sd", f"""WITH {READ} SELECT station, CAST(year(date) AS INTEGER) AS year, round(stddev_samp(value),6) AS sd FROM readings GROUP BY ALL""")
 def sd(spark, sf):
     return readings(spark, sf).groupBy("station", F.year("date").alias("year")).agg(
         F.round(F.stddev("value"), 6).alias("sd")
@@ -168,7 +168,7 @@ def first(spark, sf):
     )
 
 
-@query("agg_mid_date", f"""WITH {READ} SELECT station, year(date) AS year,
+@query("agg_mid_date", f"""WITH {READ} SELECT station, CAST(year(date) AS INTEGER) AS year,
  DATE '1970-01-01' + CAST(floor((date_diff('day', DATE '1970-01-01', min(date)) + date_diff('day', DATE '1970-01-01', max(date)))/2.0) AS INTEGER) AS median_date
 FROM readings GROUP BY ALL""")
 def mid(spark, sf):
@@ -212,8 +212,8 @@ def filter_after(spark, sf):
     )
 
 
-@query("agg_nest", f"""WITH {READ}, y AS (SELECT station, year(date) AS year, count(*) AS n, max(value) AS top FROM readings GROUP BY ALL)
-SELECT station, count(*) AS n_nested, string_agg(year || ':' || n, ',' ORDER BY year) AS years FROM y GROUP BY station""")
+@query("agg_nest", f"""WITH {READ}, y AS (SELECT station, CAST(year(date) AS INTEGER) AS year, count(*) AS n, max(value) AS top FROM readings GROUP BY ALL)
+SELECT station, CAST(count(*) AS INTEGER) AS n_nested, string_agg(year || ':' || n, ',' ORDER BY year) AS years FROM y GROUP BY station""")
 def nest(spark, sf):
     """One nested row per calendar year, so the list is bounded by the length of the record."""
     nested = quality.nested_years(readings(spark, sf), ["station"], "value")
@@ -223,7 +223,7 @@ def nest(spark, sf):
     )
 
 
-@query("agg_unnest", f"""WITH {READ} SELECT station, year(date) AS year, count(*) AS n, max(value) AS top FROM readings GROUP BY ALL""")
+@query("agg_unnest", f"""WITH {READ} SELECT station, CAST(year(date) AS INTEGER) AS year, count(*) AS n, max(value) AS top FROM readings GROUP BY ALL""")
 def unnest(spark, sf):
     return quality.nested_years(readings(spark, sf), ["station"], "value").select("station", F.inline("yearly"))
 

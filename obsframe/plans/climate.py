@@ -160,8 +160,8 @@ def variable_summary(spark, sf):
 YEARLY = """yearly AS (SELECT zone, station, year, count(*) AS n, count(value) AS n_present, count(*) FILTER (value=0) AS n_zero,
  count(*) FILTER (value<>0) AS n_nonzero FROM obs GROUP BY ALL)"""
 SUMMARY = f"""{OBS}, {YEARLY}, summary AS (SELECT s.zone, s.station, s.longitude, s.latitude, s.name, CASE WHEN y.station IS NULL THEN 'Data Missing' ELSE 'Good' END AS status,
- count(y.year) AS n_year, min(y.year) AS min_year, max(y.year) AS max_year, coalesce(sum(n),0) AS n, coalesce(sum(n_present),0) AS n_present,
- coalesce(sum(n_zero),0) AS n_zero, coalesce(sum(n_nonzero),0) AS n_nonzero, coalesce(sum(n)-sum(n_present),0) AS n_na
+ count(y.year) AS n_year, min(y.year) AS min_year, max(y.year) AS max_year, CAST(coalesce(sum(n),0) AS BIGINT) AS n, CAST(coalesce(sum(n_present),0) AS BIGINT) AS n_present,
+ CAST(coalesce(sum(n_zero),0) AS BIGINT) AS n_zero, CAST(coalesce(sum(n_nonzero),0) AS BIGINT) AS n_nonzero, CAST(coalesce(sum(n)-sum(n_present),0) AS BIGINT) AS n_na
  FROM stations s LEFT JOIN yearly y ON s.zone=y.zone AND s.station=y.station GROUP BY ALL)"""
 
 

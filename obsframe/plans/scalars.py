@@ -94,7 +94,7 @@ def conditional(spark, sf):
     )
 
 
-COUNTS = """c AS (SELECT station, year(date) AS year, count(*) AS n, count(value) AS n_present, count(*)-count(value) AS n_na,
+COUNTS = """c AS (SELECT station, CAST(year(date) AS INTEGER) AS year, count(*) AS n, count(value) AS n_present, count(*)-count(value) AS n_na,
  count(*) FILTER (value=0) AS n_zero FROM readings GROUP BY ALL)"""
 
 

@@ -77,7 +77,7 @@ def cumsum(spark, sf):
     return monthly_totals(spark, sf).select(*KEYS, "year", "month", F.sum("total").over(w).alias("running_total"))
 
 
-@query("win_row_index", f"""WITH {OBS}, {MONTHLY} SELECT zone, station, year, month, row_number() OVER (PARTITION BY zone, station ORDER BY year, month) AS index FROM monthly""")
+@query("win_row_index", f"""WITH {OBS}, {MONTHLY} SELECT zone, station, year, month, CAST(row_number() OVER (PARTITION BY zone, station ORDER BY year, month) AS INTEGER) AS index FROM monthly""")
 def row_index(spark, sf):
     w = Window.partitionBy(*KEYS).orderBy("year", "month")
     return monthly_totals(spark, sf).select(*KEYS, "year", "month", F.row_number().over(w).alias("index"))
