@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsframe.functions.aggregates import open_breaks, sum_or_zero
@@ -28,11 +28,12 @@ def monthly_totals(observations: DataFrame, variable: str = "value") -> DataFram
 
 
 def monthly_observations(observations: DataFrame, variable: str = "value") -> DataFrame:
-    """Totals for every month of each station's record, gaps filled, with rolling sums."""
-    totals = monthly_totals(observations, variable)
-    medians = totals.groupBy(*KEYS, "minor_period").agg(F.median("rainfall").alias("median"))
-    full = complete_months(totals, KEYS)
-    filled = impute_group_median(full, [*KEYS, "minor_period"], "rainfall", medians).withColumn(
+    """Totals for every month of each station's record, gaps filled, with rolling sums.
+
+    After the totals one shuffle by station serves the densifying, imputing and rolling.
+    """
+    full = complete_months(monthly_totals(observations, variable), KEYS)
+    filled = impute_group_median(full, [*KEYS, "minor_period"], "rainfall").withColumn(
         "date", F.make_date("major_period", "minor_period", F.lit(1))
     )
     return rolling_sums(filled, KEYS, PERIODS, "rainfall", (3, 6, 12, 24)).select(
@@ -63,9 +64,33 @@ def rain_baselines(monthly: DataFrame, start: int, end: int, n_quantile: int = 1
 
 def rain_ratings(monthly: DataFrame, base: DataFrame, n_quantile: int = 11) -> DataFrame:
     """Each measure's place among its station's breaks for the month, 0 for the middle bin."""
-    middle = math.ceil(n_quantile / 2)
     breaks = base.select(*KEYS, "minor_period", "rainfall_l12_median", *[f"{m}_open_quantiles" for m in MEASURES])
-    rated = monthly.join(breaks, [*KEYS, "minor_period"]).withColumns({
+    return _rated(monthly.join(breaks, [*KEYS, "minor_period"]), n_quantile)
+
+
+def rate_months(monthly: DataFrame, start: int, end: int, n_quantile: int = 11) -> DataFrame:
+    """Baselines and ratings in one pass: the breaks are read beside the rows they rate.
+
+    The same result as ``rain_ratings(monthly, rain_baselines(monthly, ...))``, without a
+    second run of everything that leads to the monthly rows.
+    """
+    w = Window.partitionBy(*KEYS, "minor_period")
+    inside = F.col("major_period").between(start, end)
+    levels = F.array(*[F.lit(i / n_quantile) for i in range(n_quantile + 1)])
+    beside = monthly.withColumns({
+        "baseline_rows": F.count_if(inside).over(w),
+        "rainfall_l12_median": F.median(F.when(inside, F.col("rainfall_l12"))).over(w),
+        **{f"{m}_levels": F.percentile(F.when(inside, F.col(m)), levels).over(w) for m in MEASURES},
+    }).where("baseline_rows > 0")
+    return _rated(
+        beside.withColumns({f"{m}_open_quantiles": open_breaks(F.col(f"{m}_levels"), n_quantile) for m in MEASURES}),
+        n_quantile,
+    )
+
+
+def _rated(beside: DataFrame, n_quantile: int) -> DataFrame:
+    middle = math.ceil(n_quantile / 2)
+    rated = beside.withColumns({
         f"{m}_rating": find_interval(F.col(m), F.col(f"{m}_open_quantiles")) - middle for m in MEASURES
     })
     measures = [c for m in MEASURES for c in (m, f"{m}_rating")]

@@ -24,6 +24,7 @@ def rating_features(
     rows = ratings.where(
         F.col("major_period").between(start, start + years - 1) & (F.col("minor_period") == month)
     ).select(*KEYS, "major_period", "rainfall_l3").join(stations.select(*KEYS, "latitude", "longitude"), KEYS)
+    rows = pin(rows)
     z = scaled(scaled(rows, ["latitude", "longitude"], weight=weight), ["rainfall_l3"])
     return spread(
         z.select(*KEYS, "latitude_scaled", "longitude_scaled", "major_period", "rainfall_l3_scaled"),
@@ -85,9 +86,10 @@ def region_order(regions: DataFrame, stations: DataFrame) -> DataFrame:
 def region_series(ratings: DataFrame, regions: DataFrame, column: str, quantile) -> DataFrame:
     """Median of a measure over the stations of each region, by date.
 
-    ``quantile`` is ``operators.ranking.quantiles``, which takes regions of any size.
+    ``quantile`` is ``operators.ranking.quantiles``, which takes regions of any size. The
+    monthly rows are kept in the shared folder: it reads them more than once.
     """
-    rows = ratings.join(regions, KEYS).select("region_id", "date", column)
+    rows = pin(ratings.join(regions, KEYS).select("region_id", "date", column))
     return quantile(rows, ["region_id", "date"], column, {f"{column}_median": 0.5})
 
 
@@ -104,7 +106,7 @@ def region_anomaly(values: DataFrame, regions: DataFrame, anomaly: str, after: i
 
 def region_index(ratings: DataFrame, regions: DataFrame, index: DataFrame, quantile) -> DataFrame:
     """Regional median rain and mean rating, z-scored by region, beside a z-scored monthly index."""
-    rows = ratings.join(regions, KEYS)
+    rows = pin(ratings.join(regions, KEYS).select("region_id", "date", "rainfall", "rainfall_rating"))
     rating = rows.groupBy("region_id", "date").agg(F.avg("rainfall_rating").alias("rating"))
     rain = quantile(rows.select("region_id", "date", "rainfall"), ["region_id", "date"], "rainfall", {"rain": 0.5})
     regional = group_scaled(rain.join(rating, ["region_id", "date"]), ["region_id"], ["rain", "rating"])

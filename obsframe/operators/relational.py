@@ -27,11 +27,24 @@ def spread(
 
 
 def complete_months(df: DataFrame, keys: list[str], year: str = "major_period", month: str = "minor_period") -> DataFrame:
-    """Every month of every year between the first and last year of each key."""
-    spans = df.groupBy(*keys).agg(F.min(year).alias("first_year"), F.max(year).alias("last_year"))
-    years = spans.select(*keys, F.explode(F.sequence("first_year", "last_year")).alias(year))
-    grid = years.select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias(month))
-    return grid.join(df, [*keys, year, month], "left")
+    """Every month of every year between the first and last year of each key.
+
+    A row also stands for the empty months up to the next one, so a single pass over the
+    key's ordered months fills them; nothing is joined and the input is read once.
+    """
+    w = Window.partitionBy(*keys).orderBy("period_at")
+    at = F.col("period_at")
+    ends = df.withColumn("period_at", F.col(year) * 12 + F.col(month) - 1).withColumns({
+        "fill_from": F.when(F.lag(at).over(w).isNull(), F.col(year) * 12).otherwise(at),
+        "fill_to": F.coalesce(F.lead(at).over(w) - 1, F.col(year) * 12 + 11),
+    })
+    rest = [c for c in df.columns if c not in (*keys, year, month)]
+    filled = ends.select("*", F.explode(F.sequence("fill_from", "fill_to")).alias("period_to"))
+    return filled.select(
+        *keys, F.floor(F.col("period_to") / 12).cast("int").alias(year),
+        (F.col("period_to") % 12 + 1).cast("int").alias(month),
+        *[F.when(F.col("period_to") == at, F.col(c)).alias(c) for c in rest],
+    )
 
 
 def lag_lead(df: DataFrame, keys: list[str], order: list[str], value: str, n_lag: int, n_lead: int) -> DataFrame:
@@ -86,14 +99,16 @@ def group_scaled(df: DataFrame, keys: list[str], columns: Sequence[str], suffix:
     return out.drop(*[f"{p}_{c}" for c in columns for p in ("mean", "sd")])
 
 
-def impute_group_median(df: DataFrame, keys: list[str], value: str, medians: DataFrame) -> DataFrame:
-    """Fill NULLs from a per-key ``median`` column and keep the original beside it."""
-    return (
-        df.join(medians, keys)
-        .withColumn(f"{value}_original", F.col(value))
-        .withColumn(value, F.coalesce(F.col(value), F.col("median")))
-        .drop("median")
-    )
+def impute_group_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Fill NULLs with the median of their group and keep the original beside it.
+
+    For groups the calendar bounds (one row per year); on data already spread by part of
+    the keys this needs no further shuffle.
+    """
+    median = F.median(value).over(Window.partitionBy(*keys))
+    return df.withColumn(f"{value}_original", F.col(value)).withColumn("group_median", median).withColumn(
+        value, F.coalesce(F.col(value), F.col("group_median"))
+    ).drop("group_median")
 
 
 def pooled_mean(

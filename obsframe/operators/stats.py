@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -85,17 +85,21 @@ def t_quantile(dof: np.ndarray, level: float = 0.95) -> np.ndarray:
     return (low + high) / 2
 
 
-@F.pandas_udf("t_value double, p_value double, half_width double")
-def _t_tests(slope: pd.Series, se: pd.Series, n: pd.Series) -> pd.DataFrame:
-    ok = ((n > 2) & (se > 0)).to_numpy()
-    out = np.full((len(n), 3), np.nan)
-    if ok.any():
-        dof = n.to_numpy(dtype=float)[ok] - 2
-        s, e = slope.to_numpy(dtype=float)[ok], se.to_numpy(dtype=float)[ok]
-        out[ok, 0] = s / e
-        out[ok, 1] = t_two_sided(np.abs(s / e), dof)
-        out[ok, 2] = t_quantile(dof) * e
-    return pd.DataFrame(out, columns=["t_value", "p_value", "half_width"])
+def _t_tests(slope: Column | str, se: Column | str, n: Column | str) -> Column:
+    """t value, p value and interval half-width as a struct; for one row per fit."""
+
+    def tests(slopes: pd.Series, errors: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        ok = ((sizes > 2) & (errors > 0)).to_numpy()
+        out = np.full((len(sizes), 3), np.nan)
+        if ok.any():
+            dof = sizes.to_numpy(dtype=float)[ok] - 2
+            s, e = slopes.to_numpy(dtype=float)[ok], errors.to_numpy(dtype=float)[ok]
+            out[ok, 0] = s / e
+            out[ok, 1] = t_two_sided(np.abs(s / e), dof)
+            out[ok, 2] = t_quantile(dof) * e
+        return pd.DataFrame(out, columns=["t_value", "p_value", "half_width"])
+
+    return F.pandas_udf(tests, "t_value double, p_value double, half_width double")(slope, se, n)
 
 
 def linear_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

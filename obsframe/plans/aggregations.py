@@ -35,7 +35,7 @@ def count_null(spark, sf):
     return readings(spark, sf).groupBy("station").agg(*agg_columns({k: s[k] for k in ("n", "n_na")}))
 
 
-@query("present", f"""WITH {READ} SELECT station, count(value) AS n_present FROM readings GROUP BY station""")
+@query("agg_count_present", f"""WITH {READ} SELECT station, count(value) AS n_present FROM readings GROUP BY station""")
 def present(spark, sf):
     return readings(spark, sf).groupBy("station").agg(F.count("value").alias("n_present"))
 
@@ -45,7 +45,7 @@ def count_zero(spark, sf):
     return readings(spark, sf).groupBy("station").agg(F.count_if(F.col("value") == 0).alias("n_zero"))
 
 
-@query("nonzero", f"""WITH {READ} SELECT station, count(*) FILTER (value <> 0) AS n_nonzero FROM readings GROUP BY station""")
+@query("agg_count_nonzero", f"""WITH {READ} SELECT station, count(*) FILTER (value <> 0) AS n_nonzero FROM readings GROUP BY station""")
 def count_nonzero(spark, sf):
     return readings(spark, sf).groupBy("station").agg(F.count_if(F.col("value") != 0).alias("n_nonzero"))
 

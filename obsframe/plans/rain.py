@@ -19,8 +19,7 @@ def monthly(spark, sf):
 
 
 def ratings(spark, sf):
-    months = monthly(spark, sf)
-    return R.rain_ratings(months, R.rain_baselines(months, BASE_START, 2000))
+    return R.rate_months(monthly(spark, sf), BASE_START, 2000)
 
 
 def zone_regions(spark, sf):

@@ -157,7 +157,5 @@ def complete(spark, sf):
 @query("imp_group_median", f"""WITH {COMPLETE}, med AS (SELECT zone, station, month, median(total) AS median FROM monthly GROUP BY ALL)
 SELECT zone, station, year, month, f.total AS total_original, coalesce(f.total, median) AS total FROM full_months f JOIN med USING (zone, station, month)""")
 def group_median(spark, sf):
-    monthly = monthly_totals(spark, sf)
-    medians = monthly.groupBy(*KEYS, "month").agg(F.median("total").alias("median"))
-    full = relational.complete_months(monthly, KEYS, "year", "month")
-    return relational.impute_group_median(full, [*KEYS, "month"], "total", medians)
+    full = relational.complete_months(monthly_totals(spark, sf), KEYS, "year", "month")
+    return relational.impute_group_median(full, [*KEYS, "month"], "total")
