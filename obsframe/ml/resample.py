@@ -34,13 +34,8 @@ POISSON_STEPS = tuple(
 )
 
 
-def poisson_weight(b: int, seed: int, *ids: Column | str) -> Column:
-    """How often a row is drawn in bootstrap sample ``b``.
-
-    Four digits of the row's hash decide, so one hash serves eight samples, and they are
-    compared as text.
-    """
-    digits = F.substring(hash_key(seed + b // 8, *ids), 1 + 4 * (b % 8), 4)
+def poisson_weight(digits: Column) -> Column:
+    """How often a row is drawn in one bootstrap sample, from four digits of its hash (compared as text)."""
     weight = F.lit(len(POISSON_STEPS))
     for i, step in reversed(list(enumerate(POISSON_STEPS))):
         weight = F.when(digits < step, i).otherwise(weight)
@@ -51,13 +46,16 @@ def resamples(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> DataFrame:
     """Adds ``resample`` and ``weight``: rows of weight 0 are held out, the others are drawn."""
     if scheme.method == "none":
         return df.withColumns({"resample": F.lit("Apparent"), "weight": F.lit(1)})
-    if scheme.method == "boot":
-        drawn = [
-            F.struct(F.lit(f"Resample{b + 1:02d}").alias("resample"), poisson_weight(b, scheme.seed, *ids).alias("weight"))
-            for b in range(scheme.number)
-        ]
-        return df.select("*", F.inline(F.array(*drawn)))
-    raise ValueError(f"{scheme.method} has no drawn rows")
+    if scheme.method != "boot":
+        raise ValueError(f"{scheme.method} has no drawn rows")
+    # One hash of a row serves eight samples; it is a column of its own so that it is taken once.
+    hashes = {f"hash_{i}": hash_key(scheme.seed + i, *ids) for i in range(math.ceil(scheme.number / 8))}
+    draws = [
+        F.struct(F.lit(f"Resample{b + 1:02d}").alias("resample"), F.substring(f"hash_{b // 8}", 1 + 4 * (b % 8), 4).alias("digits"))
+        for b in range(scheme.number)
+    ]
+    drawn = df.withColumns(hashes).select(*df.columns, F.inline(F.array(*draws)))
+    return drawn.withColumn("weight", poisson_weight(F.col("digits"))).drop("digits")
 
 
 def folds(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> DataFrame:
@@ -65,7 +63,7 @@ def folds(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> DataFrame:
     repeats = scheme.repeats if scheme.method == "repeatedcv" else 1
     names = [
         F.concat(
-            F.format_string("Fold%02d", hash_fold(scheme.number, scheme.seed + r, *ids) + 1),
+            F.lit("Fold"), F.lpad((hash_fold(scheme.number, scheme.seed + r, *ids) + 1).cast("string"), 2, "0"),
             F.lit(f".Rep{r + 1}" if repeats > 1 else ""),
         )
         for r in range(repeats)
