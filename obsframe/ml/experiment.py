@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from obsframe.functions.scalar import hash_fold
 from obsframe.ml.algorithms import estimator
-from obsframe.ml.resample import Scheme, resample_linear, summary
+from obsframe.ml.resample import Scheme, resample_models, summary
 
 
 @dataclass(frozen=True)
@@ -44,19 +44,19 @@ def cross(task: Task, **alternatives: Sequence) -> list[Task]:
     return out
 
 
-def _tagged(df: DataFrame, task: Task) -> DataFrame:
-    tags = {"name": F.lit(task.name), **{k: F.lit(str(v)) for k, v in task.parameters.items()}}
-    return df.select(*[c.alias(n) for n, c in tags.items()], *df.columns)
-
-
 def resample_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], scheme: Scheme) -> DataFrame:
-    """Metrics of every resample of every (linear or mean) task."""
+    """Metrics of every resample of every (linear or mean) task; tasks of one response are run together."""
+    names = list(dict.fromkeys(k for t in tasks for k in t.parameters))
+    labels = df.sparkSession.createDataFrame(
+        [(t.name, *[str(t.parameters.get(k)) if k in t.parameters else None for k in names]) for t in tasks],
+        ", ".join(["name string", *[f"{k} string" for k in names]]),
+    )
     out = None
-    for t in tasks:
-        xs = () if t.algorithm == "null" else t.predictors
-        part = _tagged(resample_linear(df, xs, t.response, ids, scheme), t)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    for response in dict.fromkeys(t.response for t in tasks):
+        models = {t.name: [] if t.algorithm == "null" else list(t.predictors) for t in tasks if t.response == response}
+        part = resample_models(df, models, response, ids, scheme)
+        out = part if out is None else out.unionByName(part)
+    return labels.join(out.withColumnRenamed("model", "name"), "name")
 
 
 def query_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], scheme: Scheme) -> DataFrame:

@@ -110,31 +110,52 @@ def linear_predictor(df: DataFrame, xs: Sequence[str], y: str, ridge: float = 0.
     return line(solve(moments(df, xs, y)[()], ridge), xs)
 
 
-def _by_resample(coefs: dict[str, np.ndarray], xs: Sequence[str]) -> Column:
-    table = F.create_map(*[x for k, c in coefs.items() for x in (F.lit(k), F.array(*[F.lit(float(v)) for v in c]))])
-    own = F.element_at(table, F.col("resample"))
-    out = own[0]
-    for i, c in enumerate(xs):
-        out = out + own[i + 1] * F.col(c).cast("double")
-    return out
-
-
-def resample_linear(df: DataFrame, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme, ridge: float = 0.0) -> DataFrame:
-    """One row of held-out metrics per resample; with no ``xs`` the model is the plain mean."""
-    xs = list(xs)
-    data = df.dropna(subset=[*xs, y])
-    if scheme.method == "loocv":
-        return _leave_one_out(data, xs, y)
+def _models_by_resample(coefs: dict[str, dict[str, np.ndarray]], models: dict[str, list[str]]) -> Column:
+    """(model, prediction) pairs of a row, every model with the coefficients of the row's resample."""
+    pairs = []
+    for name, xs in models.items():
+        table = F.create_map(*[x for k, c in coefs[name].items() for x in (F.lit(k), F.array(*[F.lit(float(v)) for v in c]))])
+        own = F.element_at(table, F.col("resample"))
+        fit = own[0]
+        for i, c in enumerate(xs):
+            fit = fit + own[i + 1] * F.col(c).cast("double")
+        pairs.append(F.struct(F.lit(name).alias("model"), fit.alias("prediction")))
+    return F.inline(F.array(*pairs))
+
+
+def resample_models(
+    df: DataFrame, models: dict[str, list[str]], y: str, ids: Sequence[str], scheme: Scheme, ridge: float = 0.0
+) -> DataFrame:
+    """Held-out metrics of several linear models, a row per model and resample.
+
+    All models share the rows that are complete in every predictor. One pass sums the
+    products of all their columns, each model is solved from its part of that matrix, and
+    one more pass scores them all. A model without predictors is the plain mean.
+    """
+    union = sorted({x for xs in models.values() for x in xs})
+    data = df.dropna(subset=[*union, y])
     if scheme.method in ("cv", "repeatedcv"):
         held = folds(data, scheme, ids)
-        own = moments(held, xs, y, ["resample"])
-        total = moments(data, xs, y)[()]
-        coefs = {k[0]: solve(total - m, ridge) for k, m in own.items()}
+        own = moments(held, union, y, ["resample"])
+        total = sum(own.values()) / (scheme.repeats if scheme.method == "repeatedcv" else 1)
+        sums = {k[0]: total - m for k, m in own.items()}
     else:
         drawn = resamples(data, scheme, ids)
-        coefs = {k[0]: solve(m, ridge) for k, m in moments(drawn, xs, y, ["resample"], F.col("weight")).items()}
+        sums = {k[0]: m for k, m in moments(drawn, union, y, ["resample"], F.col("weight")).items()}
         held = drawn if scheme.method == "none" else drawn.where("weight = 0")
-    return regression_metrics(held.withColumn("prediction", _by_resample(coefs, xs)), y, "prediction", ["resample"])
+    coefs = {}
+    for name, xs in models.items():
+        at = [0, *[1 + union.index(x) for x in xs], len(union) + 1]
+        coefs[name] = {k: solve(m[np.ix_(at, at)], ridge) for k, m in sums.items()}
+    scored = held.select(*dict.fromkeys(["resample", y, *union]), _models_by_resample(coefs, models))
+    return regression_metrics(scored, y, "prediction", ["model", "resample"])
+
+
+def resample_linear(df: DataFrame, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme, ridge: float = 0.0) -> DataFrame:
+    """One row of held-out metrics per resample; with no ``xs`` the model is the plain mean."""
+    if scheme.method == "loocv":
+        return _leave_one_out(df.dropna(subset=[*xs, y]), list(xs), y)
+    return resample_models(df, {"model": list(xs)}, y, ids, scheme, ridge).drop("model")
 
 
 def _leave_one_out(df: DataFrame, xs: list[str], y: str) -> DataFrame:

@@ -19,9 +19,17 @@ def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, keys) if keys else (df.withColumn(WHOLE, F.lit(0)), [WHOLE])
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, ranges: int = 32) -> DataFrame:
-    """One row per group and distinct value: ``n``, rows ``below`` it and the group ``total``."""
-    df, by = _keyed(df, keys)
+def _range_of(value: Column, cuts: Column, low: int, high: int) -> Column:
+    """How many of ``cuts[low:high]``, which are in order, lie below the value, plus ``low``; by halving."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    below = F.get(cuts, F.lit(mid)) < value
+    return F.when(below, _range_of(value, cuts, mid + 1, high)).otherwise(_range_of(value, cuts, low, mid))
+
+
+def _ranged_counts(df: DataFrame, by: list[str], value: str, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """Counts per value with the range it falls in, and where each range starts in its group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     steps = [i / ranges for i in range(1, ranges)]
     cuts = pin(
@@ -30,32 +38,51 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, ranges: int = 32) ->
         )
     )
     ranged = counts.join(cuts, by).withColumn(
-        "range", F.size(F.filter("cuts", lambda c: c < F.col(value)))
+        "range", _range_of(F.col(value), F.col("cuts"), 0, ranges - 1)
     ).drop("cuts")
     earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy(*by, "range")
-        .agg(F.sum("n").alias("size"))
-        .select(*by, "range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+        .agg(F.sum("n").alias("size"), F.max("total").alias("total"))
+        .withColumn("start", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
     )
+    return ranged.drop("total"), starts
+
+
+def _add_up(ranged: DataFrame, starts: DataFrame, by: list[str], value: str) -> DataFrame:
     within = Window.partitionBy(*by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.join(starts, [*by, "range"])
         .withColumn("below", F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
-        .select(*keys, value, "n", "below", "total")
+        .select(*by, value, "n", "below", "total")
     )
 
 
+def value_ranks(df: DataFrame, keys: list[str], value: str, ranges: int = 32) -> DataFrame:
+    """One row per group and distinct value: ``n``, rows ``below`` it and the group ``total``."""
+    df, by = _keyed(df, keys)
+    out = _add_up(*_ranged_counts(df, by, value, ranges), by, value)
+    return out.select(*keys, value, "n", "below", "total")
+
+
 def _at(value: str, position: Column) -> Column:
     return F.min(F.when(F.col("below") + F.col("n") > position, F.col(value)))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles (the same rule as ``percentile``), NULLs ignored."""
-    ranks, by = _keyed(value_ranks(df, keys, value), keys)
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], ranges: int = 32) -> DataFrame:
+    """Exact linearly interpolated quantiles (the same rule as ``percentile``), NULLs ignored.
+
+    Only the ranges that hold a wanted position are sorted.
+    """
+    df, by = _keyed(df, keys)
+    ranged, starts = _ranged_counts(df, by, value, ranges)
+    places = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    holds = F.lit(False)
+    for h in places.values():
+        holds = holds | ((F.col("start") <= F.ceil(h)) & (F.col("start") + F.col("size") > F.floor(h)))
+    ranks = _add_up(ranged, starts.where(holds), by, value)
     aggs: list[Column] = []
-    for name, p in probs.items():
-        h = (F.col("total") - 1) * F.lit(float(p))
+    for name, h in places.items():
         aggs += [
             _at(value, F.floor(h)).alias(f"{name}__lo"),
             _at(value, F.ceil(h)).alias(f"{name}__hi"),

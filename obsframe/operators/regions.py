@@ -140,6 +140,7 @@ def lag_experiment(series: DataFrame, y: str, x: str, lags: Sequence[int], fold,
     the other folds and to score the fold, so the whole grid is a single aggregate; the
     fit itself needs one row per lag and fold.
     """
+    series = pin(series)  # one row per month, read for every lag
     lagged = series.select("date", F.col(y).alias("y")).join(
         month_lags(series.select("date", x), "date", x, lags).withColumnRenamed(f"{x}_lag", "x"), "date"
     ).where("x IS NOT NULL AND y IS NOT NULL").withColumn("fold", fold)

@@ -158,8 +158,8 @@ def html_link(spark, sf):
 
 
 def rain_archives(spark, sf) -> DataFrame:
-    """Daily station rows packed into zip archives, spread by station and month first."""
-    obs = observations(spark, sf)
+    """Daily station rows packed into zip archives, kept together by station and year first."""
+    obs = observations(spark, sf).repartition("station", F.year("date")).sortWithinPartitions("station")
     line = F.concat_ws(
         ",", F.lit("IDCJAC0009"), F.col("station"), F.date_format("date", "yyyy"), F.date_format("date", "MM"),
         F.date_format("date", "dd"), F.coalesce(F.col("value").cast("string"), F.lit("")), F.col("measurement_days").cast("string"), F.lit("Y"),
