@@ -62,8 +62,8 @@ def daily_quantity(spark, sf):
     )
 
 
-@query("dom_combined_annual", f"""WITH {PRICES}, ta AS (SELECT year(date)*12+month(date) AS period, round(avg(price),4) AS ta_global FROM prices GROUP BY 1),
-co AS (SELECT year(l_shipdate)*12+month(l_shipdate) AS period, round(avg(l_quantity),4) AS co2_global FROM lineitem GROUP BY 1),
+@query("dom_combined_annual", f"""WITH {PRICES}, ta AS (SELECT year(date)*12+month(date) AS period, round(avg(price),7) AS ta_global FROM prices GROUP BY 1),
+co AS (SELECT year(l_shipdate)*12+month(l_shipdate) AS period, round(avg(l_quantity),7) AS co2_global FROM lineitem GROUP BY 1),
 j AS (SELECT ta.period, ta_global, co2_global FROM ta JOIN co ON ta.period=co.period), {loess_sql("j", "period", "ta_global", 0.2)},
 s AS (SELECT avg(ta_global) m1, stddev_samp(ta_global) s1, avg(co2_global) m2, stddev_samp(co2_global) s2 FROM j)
 SELECT CAST(j.period AS INTEGER) AS period, ta_global, co2_global, round(fit,5) AS ta_global_smooth, round((ta_global-m1)/s1,6) AS ta_global_scaled,
@@ -72,8 +72,8 @@ def combined_annual(spark, sf):
     def period(c):
         return (F.year(c) * 12 + F.month(c)).alias("period")
 
-    ta = daily_prices(spark, sf).groupBy(period("date")).agg(F.round(F.avg("price"), 4).alias("ta_global"))
-    co2 = table(spark, sf, "lineitem").groupBy(period("l_shipdate")).agg(F.round(F.avg("l_quantity"), 4).alias("co2_global"))
+    ta = daily_prices(spark, sf).groupBy(period("date")).agg(F.round(F.avg("price"), 7).alias("ta_global"))
+    co2 = table(spark, sf, "lineitem").groupBy(period("l_shipdate")).agg(F.round(F.avg("l_quantity"), 7).alias("co2_global"))
     joined = ta.join(co2, "period")
     smooth = loess(joined, [], "period", "ta_global", 0.2, "ta_global_smooth")
     out = scaled(joined.join(smooth, "period"), ["ta_global", "co2_global"])
@@ -130,12 +130,12 @@ def solar_yearly(spark, sf):
     return zonal(spark, sf).select("year", "ta_global").join(irradiance, "year", "left").join(sunspots, "year", "left")
 
 
-@query("dom_solar_monthly", f"""WITH {PRICES} SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, round(avg(price),4) AS sunspots,
- round(avg(price_sd),4) AS sunspots_sd, round(avg(n_orders),4) AS sunspots_observations FROM prices GROUP BY ALL""")
+@query("dom_solar_monthly", f"""WITH {PRICES} SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, round(avg(price),7) AS sunspots,
+ round(avg(price_sd),7) AS sunspots_sd, round(avg(n_orders),7) AS sunspots_observations FROM prices GROUP BY ALL""")
 def solar_monthly(spark, sf):
     return daily_prices(spark, sf).groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(
-        F.round(F.avg("price"), 4).alias("sunspots"), F.round(F.avg("price_sd"), 4).alias("sunspots_sd"),
-        F.round(F.avg("n_orders"), 4).alias("sunspots_observations"),
+        F.round(F.avg("price"), 7).alias("sunspots"), F.round(F.avg("price_sd"), 7).alias("sunspots_sd"),
+        F.round(F.avg("n_orders"), 7).alias("sunspots_observations"),
     )
 
 
