@@ -1,8 +1,11 @@
 """Exact order statistics for groups of any size.
 
-A group may hold a third of the table, so no step gathers one: equal values are counted
-first, each group is cut into value ranges at approximate quantiles, and running counts
-are taken within a range and added up over the ranges.
+First the number of distinct values of the largest group is estimated, in one cheap pass.
+While that is small, Spark's own exact aggregate or one window per group serves: equal
+values are combined map-side, so a hot group is no larger than its distinct values. Beyond
+that no step gathers a group: equal values are counted, each group is cut into value
+ranges at approximate quantiles (and the ranges again, until they are small), running
+counts are taken within a range and added up over the ranges. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -28,40 +31,70 @@ def _range_of(value: Column, cuts: Column, low: int, high: int) -> Column:
     return F.when(below, _range_of(value, cuts, mid + 1, high)).otherwise(_range_of(value, cuts, low, mid))
 
 
-def _ranged_counts(df: DataFrame, by: list[str], value: str, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """Counts per value with the range it falls in, and where each range starts in its group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = pin(
-        counts.groupBy(*by).agg(
-            F.percentile_approx(value, steps, 1000).alias("cuts"), F.sum("n").alias("total")
-        )
-    )
-    ranged = counts.join(cuts, by).withColumn(
-        "range", _range_of(F.col(value), F.col("cuts"), 0, ranges - 1)
-    ).drop("cuts")
-    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranged.groupBy(*by, "range")
-        .agg(F.sum("n").alias("size"), F.max("total").alias("total"))
-        .withColumn("start", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    )
-    return ranged.drop("total"), starts
+# Distinct values one task may hold for a group, and how many ranges one cut makes.
+DIRECT_LIMIT = 500_000
+RANGES = 32
+
+
+def _distinct_in_largest(df: DataFrame, by: list[str], value: str) -> int:
+    sizes = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("d"))
+    return sizes.agg(F.max("d")).first()[0] or 0
+
 
+def _counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
-def _add_up(ranged: DataFrame, starts: DataFrame, by: list[str], value: str) -> DataFrame:
-    within = Window.partitionBy(*by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+
+def _ranged_counts(counts: DataFrame, by: list[str], value: str, levels: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Counts per value with the range they fall in, where each range starts, and the range's keys."""
+    inside, keys = counts, list(by)
+    steps = [i / RANGES for i in range(1, RANGES)]
+    for level in range(levels):
+        # Fixed once: the cuts depend on merge order and are read by two branches.
+        cuts = pin(inside.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("cuts")))
+        inside = inside.join(cuts, keys).withColumn(
+            f"range_{level}", _range_of(F.col(value), F.col("cuts"), 0, RANGES - 1)
+        ).drop("cuts")
+        keys.append(f"range_{level}")
+    sizes = inside.groupBy(*keys).agg(F.sum("n").alias("size"))
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy(*keys[len(by):]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumns({
+        "start": F.coalesce(F.sum("size").over(earlier), F.lit(0)), "total": F.sum("size").over(whole),
+    })
+    return inside, starts, keys
+
+
+def _add_up(inside: DataFrame, starts: DataFrame, keys: list[str], by: list[str], value: str) -> DataFrame:
+    within = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.join(starts, [*by, "range"])
+        inside.join(starts, keys)
         .withColumn("below", F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
         .select(*by, value, "n", "below", "total")
     )
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, ranges: int = 32) -> DataFrame:
+def _levels(distinct: int, direct_limit: int) -> int:
+    levels, left = 0, distinct
+    while left > direct_limit:
+        levels, left = levels + 1, left // RANGES
+    return levels
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
     """One row per group and distinct value: ``n``, rows ``below`` it and the group ``total``."""
     df, by = _keyed(df, keys)
-    out = _add_up(*_ranged_counts(df, by, value, ranges), by, value)
+    levels = _levels(_distinct_in_largest(df, by, value), direct_limit)
+    counts = _counts(df, by, value)
+    if levels:
+        inside, starts, parts = _ranged_counts(counts, by, value, levels)
+        out = _add_up(inside, starts, parts, by, value)
+    else:
+        group = Window.partitionBy(*by)
+        earlier = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        out = counts.withColumns({
+            "below": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "total": F.sum("n").over(group),
+        })
     return out.select(*keys, value, "n", "below", "total")
 
 
@@ -69,18 +102,26 @@ def _at(value: str, position: Column) -> Column:
     return F.min(F.when(F.col("below") + F.col("n") > position, F.col(value)))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], ranges: int = 32) -> DataFrame:
+def quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], direct_limit: int = DIRECT_LIMIT
+) -> DataFrame:
     """Exact linearly interpolated quantiles (the same rule as ``percentile``), NULLs ignored.
 
-    Only the ranges that hold a wanted position are sorted.
+    On large groups only the ranges that hold a wanted position are sorted.
     """
     df, by = _keyed(df, keys)
-    ranged, starts = _ranged_counts(df, by, value, ranges)
+    levels = _levels(_distinct_in_largest(df, by, value), direct_limit)
+    if not levels:
+        found = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+            F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()])).alias("found")
+        )
+        return found.select(*keys, *[F.col("found")[i].alias(n) for i, n in enumerate(probs)])
+    inside, starts, parts = _ranged_counts(_counts(df, by, value), by, value, levels)
     places = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
     holds = F.lit(False)
     for h in places.values():
         holds = holds | ((F.col("start") <= F.ceil(h)) & (F.col("start") + F.col("size") > F.floor(h)))
-    ranks = _add_up(ranged, starts.where(holds), by, value)
+    ranks = _add_up(inside, starts.where(holds), parts, by, value)
     aggs: list[Column] = []
     for name, h in places.items():
         aggs += [
@@ -104,13 +145,13 @@ def percent_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def hash_rank(df: DataFrame, keys: list[str], key_text: str) -> DataFrame:
+def hash_rank(df: DataFrame, keys: list[str], key_text: str, digits: int = 3) -> DataFrame:
     """Number rows 1..n in each group in the order of a unique hexadecimal hash column.
 
-    The hash is uniform, so its first three digits cut any group into 4096 even parts.
+    The hash is uniform, so its first digits cut any group into 16 ** digits even parts.
     """
     df, by = _keyed(df, keys)
-    parted = df.withColumn("part", F.substring(key_text, 1, 3))
+    parted = df.withColumn("part", F.substring(key_text, 1, digits))
     earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         parted.groupBy(*by, "part")

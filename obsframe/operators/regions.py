@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.functions.scalar import period_index
+from obsframe.operators import ranking
 from obsframe.operators.quality import KEYS
 from obsframe.operators.relational import group_scaled, month_lags, scaled, spread
 from obsframe.operators.stats import linear_fit
@@ -75,22 +76,20 @@ def region_sweep(features: DataFrame, centers: Sequence[int], seed: int = 101) -
 
 
 def region_order(regions: DataFrame, stations: DataFrame) -> DataFrame:
-    """Regions from west to east by their median longitude (whole degrees keep the counts few)."""
-    return (
-        regions.join(stations, KEYS).groupBy("region_id")
-        .agg(F.median("longitude").alias("median_longitude"), F.count(F.lit(1)).alias("n_stations"))
-        .orderBy("median_longitude", "region_id")
-    )
+    """Regions from west to east by their median longitude."""
+    rows = regions.join(stations, KEYS)
+    middle = ranking.quantiles(rows, ["region_id"], "longitude", {"median_longitude": 0.5})
+    counts = rows.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_stations"))
+    return middle.join(counts, "region_id").orderBy("median_longitude", "region_id")
 
 
-def region_series(ratings: DataFrame, regions: DataFrame, column: str, quantile) -> DataFrame:
+def region_series(ratings: DataFrame, regions: DataFrame, column: str) -> DataFrame:
     """Median of a measure over the stations of each region, by date.
 
-    ``quantile`` is ``operators.ranking.quantiles``, which takes regions of any size. The
-    monthly rows are kept in the shared folder: it reads them more than once.
+    The monthly rows are kept in the shared folder, as they are read more than once.
     """
     rows = pin(ratings.join(regions, KEYS).select("region_id", "date", column))
-    return quantile(rows, ["region_id", "date"], column, {f"{column}_median": 0.5})
+    return ranking.quantiles(rows, ["region_id", "date"], column, {f"{column}_median": 0.5})
 
 
 def region_trend(series: DataFrame, value: str) -> DataFrame:
@@ -104,23 +103,23 @@ def region_anomaly(values: DataFrame, regions: DataFrame, anomaly: str, after: i
     )
 
 
-def region_index(ratings: DataFrame, regions: DataFrame, index: DataFrame, quantile) -> DataFrame:
+def region_index(ratings: DataFrame, regions: DataFrame, index: DataFrame) -> DataFrame:
     """Regional median rain and mean rating, z-scored by region, beside a z-scored monthly index."""
     rows = pin(ratings.join(regions, KEYS).select("region_id", "date", "rainfall", "rainfall_rating"))
     rating = rows.groupBy("region_id", "date").agg(F.avg("rainfall_rating").alias("rating"))
-    rain = quantile(rows.select("region_id", "date", "rainfall"), ["region_id", "date"], "rainfall", {"rain": 0.5})
+    rain = ranking.quantiles(rows.select("region_id", "date", "rainfall"), ["region_id", "date"], "rainfall", {"rain": 0.5})
     regional = group_scaled(rain.join(rating, ["region_id", "date"]), ["region_id"], ["rain", "rating"])
     return regional.join(scaled(index.select("date", "soi"), ["soi"]), "date").withColumns(
         {"year": F.year("date"), "month": F.month("date")}
     )
 
 
-def seasonal_adjust(series: DataFrame, keys: list[str], value: str, quantile) -> DataFrame:
+def seasonal_adjust(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Residual of the month's mean, moved back to the median, and in units of the spread."""
     series = pin(series)
     months = series.groupBy(*keys, F.month("date").alias("month")).agg(F.avg(value).alias("month_mean"))
     whole = series.groupBy(*keys).agg(F.stddev(value).alias("whole_sd")).join(
-        quantile(series, keys, value, {"whole_median": 0.5}), keys
+        ranking.quantiles(series, keys, value, {"whole_median": 0.5}), keys
     )
     residual = F.col(value) - F.col("month_mean")
     return (

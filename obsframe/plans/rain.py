@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from obsframe.functions.scalar import hash_fold
 from obsframe.operators import rainfall as R
-from obsframe.operators import ranking, regions as G
+from obsframe.operators import regions as G
 from obsframe.operators.spatial import grid_interpolate, location_percentile
 from obsframe.plans.binding import BASE_END, BASE_START, KEYS, OBS, READ, SOI, STN, monthly_index, observations, readings, stations, table
 from obsframe.plans.climate import RAIN, RAINED, VALUED, rounded, valued
@@ -119,7 +119,7 @@ RSERIES = f"""{RATED}, {REGION}, series AS (SELECT region_id, date, median(rainf
 
 def l12_series(spark, sf):
     return G.region_series(
-        ratings(spark, sf).drop("rainfall_l12_median"), zone_regions(spark, sf), "rainfall_l12", ranking.quantiles
+        ratings(spark, sf).drop("rainfall_l12_median"), zone_regions(spark, sf), "rainfall_l12"
     )
 
 
@@ -147,7 +147,7 @@ sz AS (SELECT date, soi, (soi-avg(soi) OVER ())/stddev_samp(soi) OVER () AS soi_
 
 
 def soi_regions(spark, sf):
-    return G.region_index(ratings(spark, sf), zone_regions(spark, sf), monthly_index(spark, sf), ranking.quantiles)
+    return G.region_index(ratings(spark, sf), zone_regions(spark, sf), monthly_index(spark, sf))
 
 
 @query("dom_region_soi", f"""WITH {RSOI} SELECT region_id, date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, rain, round(rating,6) AS rating, round(rain_scaled,5) AS rain_scaled, round(rating_scaled,5) AS rating_scaled,
@@ -163,7 +163,7 @@ SELECT s.region_id, date, CAST(mo AS INTEGER) AS month, rainfall_l12_median AS r
  round((rainfall_l12_median-mu)/sd,5) AS rain_adjusted_scaled FROM series s JOIN mm ON mm.region_id=s.region_id AND mo=month(date) JOIN ww ON ww.region_id=s.region_id""")
 def seasonal_adjust(spark, sf):
     series = l12_series(spark, sf).withColumnRenamed("rainfall_l12_median", "rain")
-    out = G.seasonal_adjust(series, ["region_id"], "rain", ranking.quantiles)
+    out = G.seasonal_adjust(series, ["region_id"], "rain")
     return rounded(out, "rain_residual", "rain_adjusted", "rain_adjusted_scaled", digits=5)
 
 

@@ -15,13 +15,24 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, v double"), rows
 
 
-@pytest.mark.parametrize("p", [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0])
-def test_quantiles_match_numpy(skewed, p):
+# All in one task, one cut, two cuts.
+LIMITS = [500_000, 200, 20]
+
+
+def test_limits_reach_every_way(skewed):
+    df, _ = skewed
+    largest = ranking._distinct_in_largest(df, ["k"], "v")
+    assert [ranking._levels(largest, limit) for limit in LIMITS] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("limit", LIMITS)
+def test_quantiles_match_numpy(skewed, limit):
     df, rows = skewed
-    got = {r["k"]: r["q"] for r in ranking.quantiles(df, ["k"], "v", {"q": p}).collect()}
+    probs = {f"q{i}": p for i, p in enumerate([0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0])}
+    got = {r["k"]: r for r in ranking.quantiles(df, ["k"], "v", probs, direct_limit=limit).collect()}
     for k in ("hot", "cold", "one"):
-        want = np.quantile([v for g, v in rows if g == k and v is not None], p)
-        assert got[k] == pytest.approx(want, rel=1e-12)
+        want = np.quantile([v for g, v in rows if g == k and v is not None], list(probs.values()))
+        assert [got[k][q] for q in probs] == pytest.approx(list(want), rel=1e-12)
     assert "none" not in got
 
 
@@ -32,9 +43,10 @@ def test_quantiles_without_keys(skewed):
     assert got["a"] == pytest.approx(np.median(values)) and got["b"] == pytest.approx(np.quantile(values, 0.9))
 
 
-def test_value_ranks_cover_every_row(skewed):
+@pytest.mark.parametrize("limit", LIMITS)
+def test_value_ranks_cover_every_row(skewed, limit):
     df, rows = skewed
-    ranks = ranking.value_ranks(df, ["k"], "v").where("k = 'hot'").orderBy("v").collect()
+    ranks = ranking.value_ranks(df, ["k"], "v", direct_limit=limit).where("k = 'hot'").orderBy("v").collect()
     values = sorted(v for g, v in rows if g == "hot" and v is not None)
     assert sum(r["n"] for r in ranks) == len(values) == ranks[0]["total"]
     assert [r["below"] for r in ranks] == [values.index(r["v"]) for r in ranks]
