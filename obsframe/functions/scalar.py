@@ -6,6 +6,8 @@ under ANSI mode: a value that cannot be read becomes NULL.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,11 @@ def century_date(yymmdd: Column | str, pivot: int = 69) -> Column:
     return F.try_to_date(F.concat(century, text), "yyyyMMdd")
 
 
+def in_years(date: Column | str, first: int, last: int) -> Column:
+    """Whether a date lies in the given years, as a range that a scan can use to skip data."""
+    return _col(date).between(F.lit(datetime.date(first, 1, 1)), F.lit(datetime.date(last, 12, 31)))
+
+
 def decade(year: Column | str) -> Column:
     return (F.floor(_col(year) / 10) * 10).cast("int")
 

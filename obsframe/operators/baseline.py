@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.functions.aggregates import sum_or_zero
-from obsframe.functions.scalar import mid_date
+from obsframe.functions.scalar import in_years, mid_date
 from obsframe.operators.quality import KEYS, RAINFALL, TEMPERATURE, CleanInfo
 from obsframe.operators.relational import pooled_mean
 
@@ -98,7 +98,11 @@ def period_values(observations: DataFrame, info: ValuationInfo) -> DataFrame:
 
 def baselines(observations: DataFrame, info: ValuationInfo) -> DataFrame:
     """Count, mean and spread of the output per station and minor period in the baseline years."""
-    within = observations.where(info.major_period().between(info.baseline_start, info.baseline_end))
+    if info.major_period is year_period:
+        inside = in_years("date", info.baseline_start, info.baseline_end)
+    else:
+        inside = info.major_period().between(info.baseline_start, info.baseline_end)
+    within = observations.where(inside)
     out = info.output_variable
     return period_values(within, info).groupBy(*KEYS, "minor_period").agg(
         F.count(out).alias("baseline_n"), F.avg(out).alias("baseline_mean"), F.stddev(out).alias("baseline_sd")
@@ -118,7 +122,7 @@ def valuations(observations: DataFrame, info: ValuationInfo, base: DataFrame | N
 def smoothed_baselines(observations: DataFrame, variable: str, start: int, end: int, k: int = 5) -> DataFrame:
     """Day-of-year baselines pooled over each day and its ``k`` neighbours on both sides."""
     df = observations.withColumn("doy", F.dayofyear("date"))
-    return pooled_mean(df, KEYS, ["date"], variable, [*KEYS, "doy"], F.year("date").between(start, end), k, f"{variable}_baseline")
+    return pooled_mean(df, KEYS, ["date"], variable, [*KEYS, "doy"], in_years("date", start, end), k, f"{variable}_baseline")
 
 
 def smoothed_anomalies(observations: DataFrame, variable: str, base: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.functions.aggregates import agg_columns, variable_summary
-from obsframe.functions.scalar import decade, hash_key, percent, ratio
+from obsframe.functions.scalar import decade, hash_key, in_years, percent, ratio
 from obsframe.operators import ranking
 from obsframe.session import pin
 
@@ -198,7 +198,7 @@ def baseline_stations_ratio(
     """Stations with enough non-missing days in the baseline."""
     days = (end - start) * 365 * qualifying_ratio
     counted = (
-        observations.where(F.col(variable).isNotNull() & F.year("date").between(start, end))
+        observations.where(F.col(variable).isNotNull() & in_years("date", start, end))
         .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_days")).where(F.col("n_days") >= days)
     )
     return stations.join(counted, KEYS)

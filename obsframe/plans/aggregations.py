@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from obsframe.functions.aggregates import (
     agg_columns, open_breaks, quantile_breaks, skew_adjusted, sum_or_zero, variable_summary,
 )
-from obsframe.functions.scalar import decade, mid_date
+from obsframe.functions.scalar import in_years, mid_date
 from obsframe.operators import quality, ranking
 from obsframe.operators.relational import pooled_mean
 from obsframe.plans.binding import BASE_END, BASE_START, KEYS, OBS, READ, observations, readings, table
@@ -182,7 +182,7 @@ def mid(spark, sf):
 SELECT zone, station, doy, round(sum(s)/sum(c),6) AS baseline FROM f WHERE year BETWEEN 1996 AND 1998 GROUP BY ALL""")
 def pooled(spark, sf):
     obs = observations(spark, sf).withColumn("doy", F.dayofyear("date"))
-    keep = F.year("date").between(BASE_START, BASE_END)
+    keep = in_years("date", BASE_START, BASE_END)
     out = pooled_mean(obs, KEYS, ["date"], "value", [*KEYS, "doy"], keep, 5, "baseline")
     return out.withColumn("baseline", F.round("baseline", 6))
 
@@ -207,7 +207,7 @@ def multigrain(spark, sf):
 WHERE year(date) BETWEEN 1996 AND 1998 GROUP BY station HAVING count(value) >= 210""")
 def filter_after(spark, sf):
     return (
-        readings(spark, sf).where(F.year("date").between(BASE_START, BASE_END))
+        readings(spark, sf).where(in_years("date", BASE_START, BASE_END))
         .groupBy("station").agg(F.count("value").alias("n_days")).where("n_days >= 210")
     )
 

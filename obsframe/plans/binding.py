@@ -21,19 +21,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def stations(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("s_suppkey")
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "supplier")
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("r_name").alias("zone"),
-            key.cast("string").alias("station"),
-            F.col("s_name").alias("name"),
-            (F.lit(110) + (key * 37) % 47).cast("double").alias("longitude"),
-            (F.lit(-46) + (key * 17) % 38).cast("double").alias("latitude"),
-        )
+    )
+
+
+def stations(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return _suppliers(spark, sf).select(
+        F.col("r_name").alias("zone"),
+        key.cast("string").alias("station"),
+        F.col("s_name").alias("name"),
+        (F.lit(110) + (key * 37) % 47).cast("double").alias("longitude"),
+        (F.lit(-46) + (key * 17) % 38).cast("double").alias("latitude"),
     )
 
 
@@ -53,26 +56,23 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def daily(spark: SparkSession, sf: str) -> DataFrame:
+def observations(spark: SparkSession, sf: str) -> DataFrame:
     """One row per station and day.
 
     The partial aggregate runs before the shuffle, and afterwards a station holds at most
     one row per calendar day, which bounds every later per-station window and quantile.
-    Keys and buffers are numbers, so it aggregates by hash and never sorts the readings.
+    Keys and buffers are numbers, so it aggregates by hash and never sorts the readings;
+    the zone is joined on the numeric key as well.
     """
-    return table(spark, sf, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
+    daily = table(spark, sf, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
         F.sum(_value()).alias("value"),
         F.count(F.lit(1)).cast("int").alias("measurement_days"),
         F.min(F.ascii("l_returnflag")).alias("source"),
-    ).select(
-        F.col("l_suppkey").cast("string").alias("station"), "date", "value", "measurement_days", F.char("source").alias("source")
     )
-
-
-def observations(spark: SparkSession, sf: str) -> DataFrame:
-    zones = stations(spark, sf).select("station", "zone")
-    return daily(spark, sf).join(zones, "station").select(
-        "zone", "station", "date", "value", "measurement_days", "source"
+    zones = _suppliers(spark, sf).select("s_suppkey", F.col("r_name").alias("zone"))
+    return daily.join(zones, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "zone", F.col("l_suppkey").cast("string").alias("station"), "date", "value", "measurement_days",
+        F.char("source").alias("source"),
     )
 
 

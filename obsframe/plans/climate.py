@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from obsframe.operators import baseline as B
 from obsframe.operators import quality as Q
 from obsframe.operators.relational import gather, scaled, splice
-from obsframe.operators.stats import linear_fit, loess
+from obsframe.operators.stats import loess
 from obsframe.plans.binding import (
     ANNUAL, BASE_END, BASE_START, KEYS, OBS, PRICES, STN, annual_orders, daily_prices, observations, stations, table,
 )

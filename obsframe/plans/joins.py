@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obsframe.operators.relational import find_interval, splice
 from obsframe.functions.aggregates import quantile_breaks
+from obsframe.functions.scalar import in_years
+from obsframe.operators.relational import find_interval, splice
 from obsframe.plans.binding import (
-    ANNUAL, KEYS, OBS, PRICES, READ, SOI, STN, annual_orders, daily_prices, monthly_index, observations, readings,
-    stations, table,
+    ANNUAL, KEYS, OBS, PRICES, READ, STN, annual_orders, daily_prices, observations, readings, stations, table,
 )
 from obsframe.plans.registry import query
 
@@ -55,7 +55,7 @@ SELECT o.zone, o.station, o.date, o.value, round(b.baseline_mean, 6) AS baseline
 FROM obs o LEFT JOIN b ON o.zone=b.zone AND o.station=b.station AND o.month=b.month""")
 def left(spark, sf):
     obs = observations(spark, sf).withColumn("month", F.month("date"))
-    base = obs.where(F.year("date") == 1996).groupBy(*KEYS, "month").agg(F.round(F.avg("value"), 6).alias("baseline_mean"))
+    base = obs.where(in_years("date", 1996, 1996)).groupBy(*KEYS, "month").agg(F.round(F.avg("value"), 6).alias("baseline_mean"))
     return obs.join(base, [*KEYS, "month"], "left").select(*KEYS, "date", "value", "baseline_mean")
 
 

@@ -265,7 +265,6 @@ for _name, _params in {
 for _name, _params in {"logistic": {}, "plr": {}, "svm_linear": {}, "nnet": {}}.items():
     query(f"alg_{_name}")(lambda spark, sf, n=_name, p=_params: _classification(spark, sf, n, **p))
 
-_ADJ = "SELECT doc_id, kchars, commas, quality FROM labelled"
 _CLASS = f"""cl AS (SELECT quality, count(*) AS n, avg(kchars) AS mx, avg(commas) AS my, covar_samp(kchars,kchars) AS sxx, covar_samp(kchars,commas) AS sxy, covar_samp(commas,commas) AS syy FROM labelled GROUP BY quality)"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from obsframe.functions import scalar as S
-from obsframe.plans.binding import READ, STN, readings, stations, table
+from obsframe.plans.binding import READ, readings, table
 from obsframe.plans.registry import query
 
 
@@ -121,7 +121,7 @@ def ratio_present(spark, sf):
 
 @query("fn_period_index", f"""WITH {READ} SELECT DISTINCT station, CAST((year(date)-1996)*12+month(date) AS INTEGER) AS baseline_period FROM readings WHERE year(date) BETWEEN 1996 AND 1998""")
 def period_index(spark, sf):
-    return readings(spark, sf).where(F.year("date").between(1996, 1998)).select(
+    return readings(spark, sf).where(S.in_years("date", 1996, 1998)).select(
         "station", S.period_index(F.year("date"), F.month("date"), 1996).alias("baseline_period")
     ).distinct()
 
