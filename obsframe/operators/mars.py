@@ -43,7 +43,7 @@ def _candidate_knots(df: DataFrame, x: str, max_knots: int) -> list[float]:
     return sorted(set(cuts))
 
 
-def fit_hinges(df: DataFrame, x: str, y: str, max_terms: int = 21, penalty: float = 2.0, max_knots: int = 256) -> HingeModel:
+def fit_hinges(df: DataFrame, x: str, y: str, max_terms: int = 21, penalty: float = 2.0, max_knots: int = 160) -> HingeModel:
     data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     knots = _candidate_knots(data, x, max_knots)
     centre = (knots[0] + knots[-1]) / 2

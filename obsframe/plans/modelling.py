@@ -15,7 +15,7 @@ from obsframe.ml import resample as S
 from obsframe.ml import transforms as X
 from obsframe.operators import neighbours
 from obsframe.plans.binding import READ, readings, table
-from obsframe.plans.climate import rounded
+from obsframe.plans.stations import rounded
 from obsframe.plans.registry import query
 
 ITEM_IDS = ["l_orderkey", "l_linenumber"]

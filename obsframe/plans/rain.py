@@ -9,7 +9,7 @@ from obsframe.operators import rainfall as R
 from obsframe.operators import regions as G
 from obsframe.operators.spatial import grid_interpolate, location_percentile
 from obsframe.plans.binding import BASE_END, BASE_START, KEYS, OBS, READ, SOI, STN, monthly_index, observations, readings, stations, table
-from obsframe.plans.climate import RAIN, RAINED, VALUED, rounded, valued
+from obsframe.plans.stations import RAIN, RAINED, VALUED, rounded, valued
 from obsframe.plans.registry import query
 from obsframe.sources.tables import wide_months_annual, wide_months_long
 

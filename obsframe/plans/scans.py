@@ -87,7 +87,7 @@ def csv_preamble(spark, sf):
     data = index.groupBy("year").agg(F.array(*cells).alias("cells")).select(
         F.concat_ws(",", F.col("year").cast("string"), F.array_join("cells", ",")).alias("value")
     )
-    top = spark.createDataFrame([("Land-Ocean: Global Means",), ("Year,Jan,Feb,Mar,Apr",)], "value string")
+    top = spark.createDataFrame([("Monthly means",), ("Year,Jan,Feb,Mar,Apr",)], "value string")
     path = write_lines(spark, top.unionByName(data), "monthly")
     wanted = ["year", *tables.MONTHLY_MEASURES[:13]]
     return tables.monthly_anomalies(spark, path).select(*wanted)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from obsframe.operators import mars, stats
 from obsframe.operators.relational import scaled
 from obsframe.plans.binding import OBS, PRICES, daily_prices, table
-from obsframe.plans.climate import loess_sql, rounded
+from obsframe.plans.stations import loess_sql, rounded
 from obsframe.plans.rain import RSERIES, l12_series
 from obsframe.plans.registry import query
 

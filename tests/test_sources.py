@@ -13,9 +13,9 @@ def write(path, text):
 
 def test_zonal_table(spark, tmp_path):
     head = "Year," + ",".join(tables.ZONES)
-    path = write(tmp_path / "z.csv", f"{head}\n1880,-.18,-.31,-.06,-.38,-.17,-.01,-.97,-.47,-.25,-.13,-.21,-.04,.05,*****\n")
+    path = write(tmp_path / "z.csv", f"{head}\n1901,-.12,-.2,-.04,-.3,-.1,.02,-.5,-.4,-.3,-.2,-.1,0,.07,*****\n")
     row = tables.annual_zones(spark, path, "zones").first()
-    assert (row["year"], row["ta_global"], row["ta_sfrigid"]) == (1880, -0.18, None)
+    assert (row["year"], row["ta_global"], row["ta_sfrigid"]) == (1901, -0.12, None)
 
 
 def test_sunspots(spark, tmp_path):
@@ -26,10 +26,10 @@ def test_sunspots(spark, tmp_path):
 
 
 def test_monthly_anomalies(spark, tmp_path):
-    cells = ",".join(["-.29"] * 13 + ["***", "***"] + ["-.1"] * 3)
-    path = write(tmp_path / "m.csv", f"Global Means\nYear,Jan,Feb\n1880,{cells}\n")
+    cells = ",".join(["-.25"] * 13 + ["***", "***"] + ["-.1"] * 3)
+    path = write(tmp_path / "m.csv", f"Title line\nYear,Jan,Feb\n1901,{cells}\n")
     row = tables.monthly_anomalies(spark, path).first()
-    assert (row["file_name"], row["jan"], row["d_n"], row["djf"], row["son"]) == ("m.csv", -0.29, None, None, -0.1)
+    assert (row["file_name"], row["jan"], row["d_n"], row["djf"], row["son"]) == ("m.csv", -0.25, None, None, -0.1)
 
 
 def test_commented_annual(spark, tmp_path):
@@ -62,12 +62,16 @@ def test_station_list(spark, tmp_path, end):
 
 
 def test_pre_table(spark, tmp_path):
-    full = " 1876    11.3    11.0     0.2     9.4     6.8    17.2    -5.6    12.3    10.5    -8.0    -2.7    -3.0   "
-    part = " 2018     8.9    -6.0    10.5     4.5     2.1    -5.5     1.6    -6.9    -10.0    3.0                   "
-    page = f"<html>\n<body>\nText<br>\n<pre>\n Year    Jan     Feb\n{full}\n{part}\n</pre>\n</body>\n</html>"
+    def line(year, values):
+        cells = [f"{v:.1f}" if v is not None else "" for v in values]
+        return f" {year:<8d}" + "".join(c.center(8) for c in cells[:11]) + cells[11].center(7)
+
+    full, part = [1.5 * i - 7 for i in range(12)], [float(-i) for i in range(10)] + [None, None]
+    page = f"<html>\n<body>\nText<br>\n<pre>\n Year    Jan     Feb\n{line(1901, full)}\n{line(1902, part)}\n</pre>\n</body>\n</html>"
     rows = html.read_pre_months(spark, write(tmp_path / "p.html", page), "bureau").collect()
     got = {(r["year"], r["month"]): r["soi"] for r in rows}
-    assert len(got) == 22 and got[1876, 1] == 11.3 and got[1876, 12] == -3.0 and got[2018, 9] == -10.0 and got[2018, 10] == 3.0
+    assert [got[1901, m] for m in range(1, 13)] == full
+    assert [got[1902, m] for m in range(1, 11)] == part[:10] and len(got) == 22
 
 
 def test_links_by_text_and_block(spark):

@@ -58,8 +58,8 @@ def test_constant_x_gives_null_not_an_error(spark):
 
 
 def test_hinges_find_the_bend(spark):
-    x = np.arange(1880, 2018)
-    y = np.where(x < 1970, 0.001 * (x - 1880), 0.09 + 0.02 * (x - 1970))
+    x = np.arange(1900, 2021)
+    y = np.where(x < 1970, 0.001 * (x - 1900), 0.07 + 0.02 * (x - 1970))
     df = series(spark, x, y)
     model = mars.fit_hinges(df, "x", "y")
     assert model.r2 > 0.999 and any(abs(k - 1970) <= 1 for k in model.knots())
