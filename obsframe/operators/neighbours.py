@@ -72,7 +72,7 @@ def _against_all(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool) -
 
 
 def _against_cells(
-    queries: DataFrame, refs: DataFrame, n_refs: int, k: int, skip_self: bool, pivots: int, block_rows: int, query_rows: int
+    queries: DataFrame, refs: DataFrame, k: int, skip_self: bool, pivots: int, block_rows: int, query_rows: int
 ) -> DataFrame:
     sample = refs.orderBy(hash_key(101, "id")).limit(max(pivots, 4 * (k + 1))).collect()
     points = np.array([r["v"] for r in sample], dtype="float64")
@@ -141,10 +141,10 @@ def nearest(
         return df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     q, r = shape(queries), shape(refs)
-    n_refs = r.count()
-    found = _against_all(q, r, k, skip_self) if n_refs <= send_limit else _against_cells(
-        q, r, n_refs, k, skip_self, pivots, block_rows, query_rows
-    )
+    if r.count() <= send_limit:
+        found = _against_all(q, r, k, skip_self)
+    else:
+        found = _against_cells(q, r, k, skip_self, pivots, block_rows, query_rows)
     w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

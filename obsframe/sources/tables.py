@@ -137,7 +137,7 @@ CENTROID_COLUMNS = (
 
 
 def country_centroids(spark: SparkSession, path: str) -> DataFrame:
-    """The wide typed country dimension. Its names differ in case only nowhere, so they are kept."""
+    """The wide typed country dimension under its own column names."""
     kinds = {c: "int" for c in CENTROID_INT} | {c: "double" for c in CENTROID_DOUBLE}
     return read_csv(spark, path, {c: kinds.get(c, "string") for c in CENTROID_COLUMNS})
 
