@@ -78,11 +78,12 @@ def csv_delim(spark, sf):
 
 
 @query("src_csv_preamble", f"""WITH {SOI} SELECT year, {", ".join(f"max(soi) FILTER (month={i + 1}) AS {m}" for i, m in enumerate(tables.MONTHLY_MEASURES[:12]))},
- CASE WHEN count(*)=12 THEN round(avg(soi),3) END AS j_d FROM soi GROUP BY year""")
+ CASE WHEN count(*)=12 THEN round(avg(soi),5) END AS j_d FROM soi GROUP BY year""")
 def csv_preamble(spark, sf):
     index = monthly_index(spark, sf)
     months = [F.max(F.when(F.col("month") == i, F.col("soi"))) for i in range(1, 13)]
-    mean = F.when(F.count(F.lit(1)) == 12, F.round(F.avg("soi"), 3))
+    # Five digits: a twelfth of a three-digit sum never ends exactly halfway there.
+    mean = F.when(F.count(F.lit(1)) == 12, F.round(F.avg("soi"), 5))
     cells = [F.coalesce(c.cast("string"), F.lit("***")) for c in (*months, mean)] + [F.lit("***")] * 5
     data = index.groupBy("year").agg(F.array(*cells).alias("cells")).select(
         F.concat_ws(",", F.col("year").cast("string"), F.array_join("cells", ",")).alias("value")
