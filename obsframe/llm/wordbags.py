@@ -1,0 +1,67 @@
+"""Word counts of a bounded sample of labelled documents, for fitting small models on the driver."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"\w+")
+
+
+def spaced_words(text: str) -> list[str]:
+    """Words between white space, unchanged."""
+    return text.split()
+
+
+def plain_words(text: str) -> list[str]:
+    """Runs of letters, digits and underscores, lower-cased."""
+    return WORD.findall(text.lower())
+
+
+def fold(id_col: Column) -> Column:
+    """0 to 4, from the CRC-32 of an id as text; a missing id counts as empty text."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def held_out(id_col: Column) -> Column:
+    return fold(id_col) == 0
+
+
+def one_label_per_id(labels: DataFrame, id_col: str, names: Sequence[str]) -> DataFrame:
+    """Ids whose every named label is known and the same in all their rows."""
+    both = [f(n).alias(f"{n}_{k}") for n in names for k, f in (("lo", F.min), ("hi", F.max))]
+    agreed = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*both)
+    for n in names:
+        agreed = agreed.where(F.col(f"{n}_lo") == F.col(f"{n}_hi"))
+    return agreed.select("id", *[F.col(f"{n}_lo").cast("double").alias(n) for n in names])
+
+
+def labelled_bags(
+    docs: DataFrame, labels: DataFrame, names: Sequence[str], words: Callable[[str], list[str]],
+    limit: int, id_col: str = "doc_id", text_col: str = "text",
+) -> pd.DataFrame:
+    """At most ``limit`` labelled documents outside the held-out fold: labels, words and their counts.
+
+    The ids come first in the order of a hash, so the choice is the same on every run. Only
+    distinct words and counts of the sample reach the driver.
+    """
+    chosen = (
+        one_label_per_id(labels, id_col, names).where(~held_out(F.col("id")))
+        .orderBy(F.xxhash64("id"), "id").limit(limit)
+    )
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    joined = texts.join(F.broadcast(chosen), "id").select("id", *names, "text")
+    kinds = ", ".join(f"{n} double" for n in names)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bags = [Counter(words(t)) for t in batch.pop("text")]
+            yield batch.assign(words=[list(b) for b in bags], counts=[list(b.values()) for b in bags])
+
+    bags = joined.mapInPandas(count, f"id long, {kinds}, words array<string>, counts array<int>").toPandas()
+    return bags.drop_duplicates("id").sort_values("id", ignore_index=True)
