@@ -1,23 +1,22 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word, every character n-gram of a word between boundary marks, the end mark of a document and
-the mark "same word again" is hashed to a row of a vector table. A document is the mean of its vectors,
-a softmax over two classes gives the probability of label 1. Table and output layer are learned
+Every word, every character n-gram (3 and 4 bytes of UTF-8) of a word between its boundaries, the end mark of a document
+and the mark "same word again" is hashed to a row of a vector table. A document is the mean of its
+vectors, a softmax over two classes gives the probability of label 1. Table and output layer are learned
 together by stochastic gradient descent in numpy, from a bounded sample of labelled documents
 (``Settings.train_rows``); scoring covers every whole text.
 
-With two classes the softmax is the logistic function of the difference of the two outputs, so scoring keeps
+With two classes the softmax is the logistic function of the difference of the two outputs, so scoring needs
 one number per row of the table: its vector times the difference of the output columns.
 
 Defined results: a null text counts as empty; an empty text has the end mark only and gets the score
 of that mark; every row of a repeated id is scored; a null id is held out; labels that are null or
-contradict each other are not learned; with no label, or labels of one class, scores follow that class
-(no label at all: 0.5). Extra columns stay; columns named as the outputs are replaced.
+contradict each other are not learned; with no label at all every score is 0.5. Extra columns stay;
+columns named as the outputs are replaced.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,67 +25,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsframe.llm import wordbags
+from obsframe.llm import features
 
 
 @dataclass(frozen=True)
 class Settings:
     train_rows: int = 3000  # bound of the sample that reaches the driver
-    buckets: int = 1 << 16
+    bits: int = 16  # the table has 2**bits rows
     dim: int = 10
-    shortest: int = 3
-    longest: int = 4
-    epochs: int = 3
+    epochs: int = 4
     rate: float = 0.6
+    row_rate: float = 40.0  # rows move by this much more: each gets only its share of a mean over many inputs
     threshold: float = 0.3
     seed: int = 7
 
 
-END, AGAIN = 0, 1  # rows of the two marks
+END, AGAIN, MARKS = 0, 1, 2
 
 
-def subword_rows(word: str, cfg: Settings) -> np.ndarray:
-    """Rows of a word: itself and its character n-grams, over the whole word."""
-    marked = f"<{word}>"
-    parts = [marked.encode()]
-    for n in range(cfg.shortest, cfg.longest + 1):
-        parts += [marked[i : i + n].encode() for i in range(len(marked) - n + 1)]
-    return np.fromiter((2 + zlib.crc32(p) % (cfg.buckets - 2) for p in parts), np.int32, len(parts))
+def input_rows(text: str, bits: int) -> np.ndarray:
+    """Table rows of all inputs of a text, repeats included."""
+    data = b" " + " ".join(text.split()).encode() + b" "
+    words = features.word_hashes(data)
+    found = [features.spread(words, bits)]
+    found += [features.spread(features.gram_codes(data, n), bits) for n in (3, 4)]
+    again = np.count_nonzero(words[1:] == words[:-1])
+    rows = np.maximum(np.concatenate(found), MARKS)
+    return np.concatenate([[END], np.full(again, AGAIN), rows])
 
 
-def _inputs(words: list[str], counts: list[int], again: int, cfg: Settings, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of a document and their share of its mean."""
-    ids, weights = [np.array([END, AGAIN], np.int32)], [np.array([1.0, again])]
-    for word, n in zip(words, counts):
-        rows = known.get(word)
-        if rows is None:
-            rows = known[word] = subword_rows(word, cfg)
-        ids.append(rows)
-        weights.append(np.full(len(rows), float(n)))
-    rows, back = np.unique(np.concatenate(ids), return_inverse=True)
-    share = np.bincount(back, np.concatenate(weights))
-    return rows, (share / share.sum()).astype(np.float32)
-
-
-def words_with_marks(text: str) -> list[str]:
-    """Words of a text, with an empty word for each word that repeats the one before."""
-    words = wordbags.spaced_words(text)
-    return words + [""] * sum(a == b for a, b in zip(words, words[1:]))
-
-
-def train(bags: pd.DataFrame, cfg: Settings) -> tuple[np.ndarray, float]:
+def train(sample: pd.DataFrame, cfg: Settings) -> tuple[np.ndarray, float]:
     """Weight of each table row for label 1, and the bias."""
-    if bags.empty:
-        return np.zeros(cfg.buckets, np.float32), 0.0
-    known: dict = {}
-    docs = []
-    for words, counts in zip(bags["words"], bags["counts"]):
-        bag = dict(zip(words, counts))
-        again = bag.pop("", 0)
-        docs.append(_inputs(list(bag), list(bag.values()), again, cfg, known))
-    labels = bags["label"].to_numpy().astype(np.int64)
+    if sample.empty:
+        return np.zeros(1 << cfg.bits, np.float32), 0.0
+    docs = [(np.asarray(r), (np.asarray(c) / np.sum(c)).astype(np.float32)) for r, c in zip(sample["rows"], sample["counts"])]
+    labels = sample["label"].to_numpy().astype(np.int64)
     rng = np.random.default_rng(cfg.seed)
-    table = rng.uniform(-1 / cfg.dim, 1 / cfg.dim, (cfg.buckets, cfg.dim)).astype(np.float32)
+    table = rng.uniform(-1 / cfg.dim, 1 / cfg.dim, (1 << cfg.bits, cfg.dim)).astype(np.float32)
     out, bias = np.zeros((cfg.dim, 2), np.float32), np.zeros(2, np.float32)
     steps, done = cfg.epochs * len(docs), 0
     for _ in range(cfg.epochs):
@@ -98,43 +73,12 @@ def train(bags: pd.DataFrame, cfg: Settings) -> tuple[np.ndarray, float]:
             p = np.exp(z - z.max())
             p /= p.sum()
             p[labels[d]] -= 1
-            step = rate * (out @ p)
+            step = (cfg.row_rate * rate * (out @ p)).astype(np.float32)
             out -= rate * np.outer(hidden, p)
             bias -= rate * p
-            table[rows] -= np.outer(share, step) * np.float32(SCALE)
+            table[rows] -= np.outer(share, step)
             done += 1
-    lean = out[:, 1] - out[:, 0]
-    return table @ lean, float(bias[1] - bias[0])
-
-
-SCALE = 40.0  # a mean over n inputs gives each row 1/n of the gradient; rows of rare features would hardly move
-
-
-class WordWeights(dict):
-    """Number of each word in two arrays: the sum of its rows' weights, and how many rows it has."""
-
-    def __init__(self, weights: np.ndarray, cfg: Settings, room: int = 1 << 18):
-        self.weights, self.cfg = weights, cfg
-        self.total, self.rows = np.zeros(room), np.zeros(room)
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        rows = subword_rows(word, self.cfg)
-        self.total[k], self.rows[k] = self.weights[rows].sum(), len(rows)
-        self[word] = k
-        return k
-
-    def logit(self, text: str) -> float:
-        words = text.split()
-        total, rows = float(self.weights[END]), 1.0
-        for lo in range(0, len(words), 4096):
-            if len(self) + 4096 > len(self.total):
-                self.clear()
-            ids = np.fromiter(map(self.__getitem__, words[lo : lo + 4096]), np.int64)
-            total += self.total[ids].sum()
-            rows += self.rows[ids].sum()
-        again = sum(map(str.__eq__, words, words[1:]))
-        return (total + again * self.weights[AGAIN]) / (rows + again)
+    return table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
 def classify_quality(
@@ -143,18 +87,18 @@ def classify_quality(
 ) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (probability of label 1) and ``predicted``."""
     named = labels.select(id_col, F.col(label_col).alias("label"))
-    weights, bias = train(wordbags.labelled_bags(docs, named, ["label"], words_with_marks, cfg.train_rows, id_col, text_col), cfg)
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # cfg.buckets numbers
+    bits = cfg.bits
+    sample = features.labelled_sample(docs, named, ["label"], lambda t: input_rows(t, bits), cfg.train_rows, id_col, text_col)
+    model = docs.sparkSession.sparkContext.broadcast(train(sample, cfg))  # 2**bits numbers
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = model.value
-        known = WordWeights(weights, cfg)
         for texts in batches:
-            z = np.fromiter((known.logit(t) for t in texts), np.float64, len(texts)) + bias
+            z = np.fromiter((weights[input_rows(t, bits)].mean() for t in texts), np.float64, len(texts)) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     probability = F.pandas_udf(score, "double")
     return docs.withColumns({
-        "held_out": wordbags.held_out(F.col(id_col)),
+        "held_out": features.held_out(F.col(id_col)),
         "score": probability(F.coalesce(F.col(text_col), F.lit(""))),
     }).withColumn("predicted", F.when(F.col("score") >= cfg.threshold, 1).otherwise(0))
