@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import line_runs, quality, url_rules
+from obsframe.llm import hash_forest, line_runs, quality, simhash_bytes, url_rules
 from obsframe.llm.registry import query, table
 
 
@@ -60,3 +60,19 @@ def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_rules.filter_urls(table(spark, sf, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_simhash_bytes")
+def op9_simhash_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    linked = simhash_bytes.link_near_duplicates(table(spark, sf, "documents"))
+    return linked.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+@query("op10_hash_forest")
+def op10_hash_forest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    found = hash_forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
