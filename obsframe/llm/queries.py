@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import hash_forest, line_runs, quality, simhash_bytes, url_rules
+from obsframe.llm import hash_forest, line_runs, quality, repeats, simhash_bytes, url_rules
 from obsframe.llm.registry import query, table
 
 
@@ -76,3 +76,24 @@ def op10_hash_forest(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     found = hash_forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+REPEATS_SQL = r"""
+WITH split AS (
+ SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start FROM split),
+windows AS (SELECT t.doc_id, start, array_to_string(list_slice(words, start, start + 19), ' ') AS stretch FROM starts t JOIN split s ON t.doc_id = s.doc_id),
+again AS (SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY stretch ORDER BY doc_id, start) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS pos FROM again),
+pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split),
+kept AS (
+ SELECT p.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '') AS kept
+ FROM pos p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+SELECT s.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id"""
+
+
+@query("op8_repeats", REPEATS_SQL)
+def op8_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
