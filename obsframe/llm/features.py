@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPOTS = 32  # the place of a byte in its word counts modulo this
+_SPOTS = 32  # the place of a byte in its word counts modulo this power of two
 _MIX = np.random.default_rng(20260101).integers(1, 1 << 63, (_SPOTS, 256), dtype=np.uint64).ravel()
 
 
@@ -24,9 +24,9 @@ def word_hashes(data: bytes) -> np.ndarray:
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.empty(0, np.uint64)
-    at = np.arange(len(b))
-    spot = at - np.maximum.accumulate(np.where(first, at, 0))
-    values = _MIX[(spot % _SPOTS) * 256 + b]
+    at = np.arange(len(b), dtype=np.int32)
+    spot = (at - np.maximum.accumulate(at * first)) & (_SPOTS - 1)
+    values = _MIX[(spot << 8) | b]
     values[~inside] = 0
     return np.add.reduceat(values, starts)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import hash_forest, line_runs, quality, repeats, simhash_bytes, url_rules
+from obsframe.llm import decontaminate, hash_forest, line_runs, pieces, quality, repeats, simhash_bytes, url_rules
 from obsframe.llm.registry import query, table
 
 
@@ -97,3 +97,16 @@ FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id"""
 def op8_repeats(spark: SparkSession, sf: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+@query("op2_pieces")
+def op2_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    return encoded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "parity", "round_trip")
