@@ -53,9 +53,14 @@ _TOP = 18  # bits of a word's hash that lead to its place
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def plain_words(text: str) -> bytes:
+    """A text lower-cased, with a space for each ASCII character that is no letter or digit."""
+    return text.lower().encode().translate(_TO_SPACE)
+
+
 def word_numbers(text: str) -> np.ndarray:
-    """Hashes of the words of a text: lower-cased runs without ASCII punctuation or space."""
-    return word_hashes(text.lower().encode().translate(_TO_SPACE))
+    """Hashes of the words of a text, lower-cased and without ASCII punctuation."""
+    return word_hashes(plain_words(text))
 
 
 def split_item(text: str) -> tuple[str, str]:

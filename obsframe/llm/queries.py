@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import decontaminate, hash_forest, line_runs, pieces, quality, repeats, simhash_bytes, url_rules
+from obsframe.llm import decontaminate, hash_forest, line_runs, pieces, quality, repeats, simhash_bytes, surrogates, toxicity, url_rules
 from obsframe.llm.registry import query, table
 
 
@@ -110,3 +110,17 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 def op2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
     return encoded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "parity", "round_trip")
+
+
+@query("op5_toxicity_chain")
+def op5_toxicity_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxic text, then toxic text that is of low quality as well."""
+    labels = table(spark, sf, "labels").withColumn("toxic_junk", F.col("toxic") * (1 - F.col("quality")))
+    scored = toxicity.score_toxicity(table(spark, sf, "documents").select("doc_id", "text"), labels, ["toxic", "toxic_junk"])
+    toxic = F.when(F.col("p_toxic") >= toxicity.Settings.threshold, 1).otherwise(0)
+    return scored.select("doc_id", "p_toxic", "p_toxic_junk", toxic.alias("toxic"))
+
+
+@query("op3_surrogates")
+def op3_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf, "documents").select("doc_id", "text"), "corpus key")
