@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,6 +241,14 @@ class Index:
         return [best[i][1] for i in sorted(best)]
 
 
+def _searcher(index: Broadcast):
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([index.value.matches(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(search, MATCH)
+
+
 def find_contamination(
     docs: DataFrame, items: DataFrame, cfg: Settings = Settings(), text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
@@ -250,11 +259,6 @@ def find_contamination(
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([(r["id"], r["text"]) for r in own], cfg))
-
-        def search(batches: Iterator[pd.Series], index=index) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([index.value.matches(t) for t in texts], dtype=object)
-
-        columns.append(F.pandas_udf(search, MATCH)(F.col(text_col)))
+        columns.append(_searcher(index)(F.col(text_col)))
     found = F.concat(*columns) if columns else F.array().cast(MATCH)
     return docs.withColumn("matches", found)
