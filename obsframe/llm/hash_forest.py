@@ -10,8 +10,8 @@ Equal vectors are one class: its members all have the same cosine to a query, so
 answer, however many copies there are, and a query vector is searched once for all its copies.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part as query or candidate;
-vectors of other lengths than the query's are no candidates; a repeated id counts as one candidate per distinct vector, and
-is a query per row; a null id takes no part; with fewer than ``k`` candidates all are returned; ties go to the
+vectors of other lengths than the query's are no candidates; a repeated id counts as one candidate, and as one
+query, per distinct vector; a null id takes no part; with fewer than ``k`` candidates all are returned; ties go to the
 smaller id; an empty table gives no rows.
 """
 
@@ -118,9 +118,9 @@ def nearest(
         vector = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
         return df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).withColumn("vector_key", F.sha2(F.array_join("vector", " "), 256))
 
-    rows, asked = plain(vectors), plain(queries)
+    rows, asked = (plain(df).dropDuplicates(["vector_key", "id"]) for df in (vectors, queries))
     ranked = Window.partitionBy("vector_key").orderBy("id")
-    few = rows.dropDuplicates(["vector_key", "id"]).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
+    few = rows.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
     classes = few.groupBy("vector_key").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids"))
     searched = asked.groupBy("vector_key").agg(F.first("vector").alias("vector"))
     row_blocks = max(1, -(-vectors.count() // cfg.block_rows))

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsframe.llm.frames import free_names
 from obsframe.session import scratch_path
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -107,18 +108,18 @@ def dedup_lines(
         dropped = gone if dropped is None else dropped.unionAll(gone)
         if b + 1 < len(conditions):
             store.add(run)
-    per_doc = dropped.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("pos").alias("_gone"))
-    parts = F.split("_text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_gone")
-    left = F.array_join(F.transform(kept, lambda i: F.element_at("_parts", i + 1)), "\n")
+    own_id, version, gone, own, parts, at = free_names(docs.columns, "_id", "_version", "_gone", "_text", "_parts", "_kept")
+    per_doc = dropped.groupBy(F.col("id").alias(own_id), F.col("version").alias(version)).agg(F.collect_set("pos").alias(gone))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    left = F.array_join(F.transform(at, lambda i: F.element_at(parts, i + 1)), "\n")
     return (
-        docs.withColumn("_text", text)
-        .join(per_doc, (F.col(id_col) == F.col("_id")) & (F.xxhash64("_text") == F.col("_version")), "left")
-        .withColumn("_parts", parts)
+        docs.withColumn(own, text)
+        .join(per_doc, (F.col(id_col) == F.col(own_id)) & (F.xxhash64(own) == F.col(version)), "left")
+        .withColumn(parts, F.split(own, "\n")).withColumn(at, kept)
         .withColumns({
-            text_col: F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(left),
-            "n_lines": F.size("_parts").cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+            text_col: F.when(F.col(gone).isNull(), F.col(own)).otherwise(left),
+            "n_lines": F.size(parts).cast("long"),
+            "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
         })
-        .drop("_id", "_version", "_gone", "_text", "_parts")
+        .drop(own_id, version, gone, own, parts, at)
     )

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obsframe.llm.frames import free_names
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed values of the model format.
@@ -245,9 +247,9 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "te
             yield pd.DataFrame(out, columns=["ids", "parity", "round_trip"], dtype=object)
 
     encoded = F.pandas_udf(run, "ids array<int>, parity boolean, round_trip boolean")(F.col(text_col))
-    return docs.withColumn("_encoded", encoded).withColumns({
-        "ids": F.col("_encoded.ids"), "parity": F.col("_encoded.parity"), "round_trip": F.col("_encoded.round_trip"),
-    }).drop("_encoded")
+    (own,) = free_names(docs.columns, "_encoded")
+    outputs = {n: F.col(f"{own}.{n}") for n in ("ids", "parity", "round_trip")}
+    return docs.withColumn(own, encoded).withColumns(outputs).drop(own)
 
 
 def decode(rows: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:

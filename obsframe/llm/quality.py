@@ -37,6 +37,7 @@ class Settings:
     rate: float = 0.6
     row_rate: float = 40.0  # rows move by this much more: each gets only its share of a mean over many inputs
     threshold: float = 0.3
+    least_steps: int = 8000  # a small sample is gone through more often
     seed: int = 7
 
 
@@ -63,8 +64,9 @@ def train(sample: pd.DataFrame, cfg: Settings) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(cfg.seed)
     table = rng.uniform(-1 / cfg.dim, 1 / cfg.dim, (1 << cfg.bits, cfg.dim)).astype(np.float32)
     out, bias = np.zeros((cfg.dim, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = cfg.epochs * len(docs), 0
-    for _ in range(cfg.epochs):
+    epochs = max(cfg.epochs, -(-cfg.least_steps // len(docs)))
+    steps, done = epochs * len(docs), 0
+    for _ in range(epochs):
         for d in rng.permutation(len(docs)):
             rows, share = docs[d]
             rate = cfg.rate * (1 - done / steps)

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsframe.llm.frames import free_names
 from obsframe.session import pin, scratch_path
 
 _GAP = r"[^\p{L}\p{N}\n]{0,6}"
@@ -194,11 +195,12 @@ def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate written as the mention is: its characters in place of letters and digits, upper case where that was."""
     named = F.concat(F.regexp_extract(mention, rf"^{_TITLE} ", 0), F.initcap(F.substr(surrogate, F.instr(surrogate, " ") + 1)))
     slot = F.when(kind.isin("phone", "card", "ssn"), r"\d").otherwise(r"[^ ]")
+    capitals = F.rlike(mention, F.lit(r"^\P{Ll}*\p{Lu}\P{Ll}*$"))
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(acc: Column, char: Column) -> Column:
         filled = F.substr(surrogate, acc["at"], F.lit(1))
-        filled = F.when(F.rlike(char, F.lit(r"\p{Lu}")), F.upper(filled)).otherwise(filled)
+        filled = F.when(capitals | F.rlike(char, F.lit(r"\p{Lu}")), F.upper(filled)).otherwise(filled)
         takes = F.when(slot == r"\d", F.rlike(char, F.lit(r"\d"))).otherwise(char != " ")
         return F.struct(F.concat(acc["out"], F.when(takes, filled).otherwise(char)).alias("out"), (acc["at"] + takes.cast("int")).alias("at"))
 
@@ -210,27 +212,29 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """``docs`` with the new text, ``n_entities`` and ``entities`` (kind and replacement, in order)."""
     spark = docs.sparkSession
     text = F.col(text_col)
-    own = docs.withColumns({"_id": F.col(id_col), "_version": F.xxhash64(text), "_found": _found(text)})
-    some = F.coalesce(F.size("_found") > 0, F.lit(False))
+    i, version, found, i2, version2, new, new_text = free_names(docs.columns, "_id", "_version", "_found", "_id2", "_version2", "_new", "_text")
+    own = docs.withColumns({i: F.col(id_col), version: F.xxhash64(text), found: _found(text)})
+    some = F.coalesce(F.size(found) > 0, F.lit(False))
     path = scratch_path(spark, "mentions")
-    own.where(some).select("_id", "_version", "_found").dropDuplicates(["_id", "_version"]).write.parquet(path)
-    mentions = spark.read.parquet(path).select("_id", "_version", F.posexplode("_found").alias("pos", "mention"))
+    distinct = own.where(some).select(F.col(i).alias("id"), F.col(version).alias("version"), F.col(found).alias("found"))
+    distinct.dropDuplicates(["id", "version"]).write.parquet(path)
+    mentions = spark.read.parquet(path).select("id", "version", F.posexplode("found").alias("pos", "mention"))
     mentions = mentions.withColumn("kind", _kind(F.col("mention"))).withColumn("form", _canonical(F.col("kind"), F.col("mention")))
     surrogates = assign(mentions.select("kind", "form").distinct(), key)
     written = F.struct("pos", "kind", _render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("replacement"))
-    per_doc = mentions.join(surrogates, ["kind", "form"]).groupBy("_id", "_version").agg(F.sort_array(F.collect_list(written)).alias("_new"))
-    per_doc = per_doc.select(F.col("_id").alias("_id2"), F.col("_version").alias("_version2"), "_new")
+    per_doc = mentions.join(surrogates, ["kind", "form"]).groupBy(F.col("id").alias(i2), F.col("version").alias(version2))
+    per_doc = per_doc.agg(F.sort_array(F.collect_list(written)).alias(new))
 
-    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_version") == F.col("_version2"))
+    same = F.col(i).eqNullSafe(F.col(i2)) & (F.col(version) == F.col(version2))
     between = F.split(text, ANY)
-    joined = F.zip_with(between, "_new", lambda b, r: F.concat(b, F.coalesce(r["replacement"], F.lit(""))))
-    kinds = F.transform("_new", lambda r: F.struct(r["kind"].alias("kind"), r["replacement"].alias("replacement")))
+    joined = F.zip_with(between, new, lambda b, r: F.concat(b, F.coalesce(r["replacement"], F.lit(""))))
+    kinds = F.transform(new, lambda r: F.struct(r["kind"].alias("kind"), r["replacement"].alias("replacement")))
     hit = own.where(some).join(per_doc, same).withColumns({
-        "_text": F.array_join(joined, ""), "n_entities": F.size("_new"), "entities": kinds,
+        new_text: F.array_join(joined, ""), "n_entities": F.size(new), "entities": kinds,
     })
     none = own.where(~some).withColumns({
-        "_text": text, "n_entities": F.lit(0), "entities": F.array().cast("array<struct<kind:string,replacement:string>>"),
+        new_text: text, "n_entities": F.lit(0), "entities": F.array().cast("array<struct<kind:string,replacement:string>>"),
     })
     out = [c for c in docs.columns if c not in ("n_entities", "entities")]
-    columns = [F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in out] + [F.col("n_entities"), F.col("entities")]
+    columns = [F.col(new_text).alias(c) if c == text_col else F.col(f"`{c}`") for c in out] + [F.col("n_entities"), F.col("entities")]
     return hit.select(*columns).unionAll(none.select(*columns))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from obsframe.llm import features
 from obsframe.llm.decontaminate import plain_words
+from obsframe.llm.frames import free_names
 
 
 @dataclass(frozen=True)
@@ -122,5 +123,6 @@ def score_toxicity(
             yield pd.DataFrame(_sigmoid(out), columns=names)
 
     probabilities = F.pandas_udf(score, ", ".join(f"`{n}` double" for n in names))(F.coalesce(F.col(text_col), F.lit("")))
-    scored = docs.withColumn("_p", probabilities)
-    return scored.withColumns({f"p_{n}": F.col(f"_p.{n}") for n in names}).drop("_p")
+    (p,) = free_names([*docs.columns, *(f"p_{n}" for n in names)], "_p")
+    scored = docs.withColumn(p, probabilities)
+    return scored.withColumns({f"p_{n}": F.col(f"{p}.`{n}`") for n in names}).drop(p)

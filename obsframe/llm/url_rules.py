@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from obsframe.llm.frames import free_names
 from obsframe.llm.line_runs import LOWER, UPPER
 from obsframe.session import pin
 
@@ -74,16 +75,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     known = [F.col(c).isNotNull() for c in ("host", "path", "verdict")]
     rules = rules.where(reduce(Column.__and__, known)).select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict")
     rules = rules.withColumn("key", host_key(F.col("host")))
-    judged = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))}).withColumn("_key", host_key(F.col("host")))
-    found = open_rules(judged.select(F.col("_key").alias("key")).distinct(), rules)
-    found = found.select(F.col("key").alias("_open_key"), F.col("open").alias("_open"))
-    fitting = F.filter("_open", lambda r: F.startswith(F.col("path"), r["path"]))
+    names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    key, open_key, opened, best = free_names(names, "_key", "_open_key", "_open", "_best")
+    judged = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))}).withColumn(key, host_key(F.col("host")))
+    found = open_rules(judged.select(F.col(key).alias("key")).distinct(), rules)
+    found = found.select(F.col("key").alias(open_key), F.col("open").alias(opened))
+    fitting = F.filter(opened, lambda r: F.startswith(F.col("path"), r["path"]))
     ranked = F.transform(fitting, lambda r: F.struct(
         (F.length(r["host"]) + F.length(r["path"])).alias("length"), F.length(r["host"]).alias("host_length"),
         r["verdict"].alias("verdict"), F.concat(r["host"], r["path"]).alias("rule"),
     ))
     return (
-        judged.join(found, F.col("_key") == F.col("_open_key"), "left").withColumn("_best", F.array_max(ranked))
-        .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))})
-        .drop("_key", "_open_key", "_open", "_best")
+        judged.join(found, F.col(key) == F.col(open_key), "left").withColumn(best, F.array_max(ranked))
+        .withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))})
+        .drop(key, open_key, opened, best)
     )
