@@ -23,17 +23,19 @@ import functools
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from obsframe.llm.frames import free_names
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
 MARK = "▁"
+CHUNK = 1 << 19
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
@@ -140,7 +142,7 @@ def backend(model: Model):
 class Units(dict):
     """Numbers of the units met, with their ids one after the other and whether both checks held."""
 
-    ROOM = 400_000  # units kept; when full, those met only once since the last time are forgotten
+    ROOM = 200_000  # units kept; when full, those met only once since the last time are forgotten
 
     def __init__(self, data: bytes, threads: int):
         import sentencepiece
@@ -217,39 +219,46 @@ def _units(data: bytes, threads: int) -> Units:
     return Units(data, threads)
 
 
-def _groups(texts: pd.Series, chars: int = 1 << 19) -> Iterator[list[str | None]]:
-    """Consecutive texts of about so many characters together."""
-    group, total = [], 0
-    for text in texts:
-        group.append(text)
-        total += len(text or "")
-        if total >= chars:
-            yield group
-            group, total = [], 0
-    if group:
-        yield group
+def _encode_rows(known: Units, texts: list[str | None]) -> list[pa.Array]:
+    """``ids``, ``parity`` and ``round_trip`` of some texts."""
+    units = [known.units(t) if t else [] for t in texts]
+    known.learn(units)
+    out = [known.encode(u) for u in units]
+    null = np.array([t is None for t in texts])
+    ends = np.concatenate([[0], np.cumsum([len(ids) for ids, _, _ in out])])
+    offsets = pa.array(ends, pa.int32(), mask=np.append(null, False))
+    ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([ids for ids, _, _ in out]), pa.int32()))
+    return [ids, *[pa.array(np.array([o[k] for o in out]), mask=null) for k in (1, 2)]]
+
 
+def encode(
+    docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "text", threads: int = 2, drop: Sequence[str] = (),
+) -> DataFrame:
+    """``docs`` without the columns ``drop`` but with ``ids``, ``parity`` and ``round_trip``; ``model_path`` is read on the driver.
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "text", threads: int = 2) -> DataFrame:
-    """``docs`` with ``ids``, ``parity`` and ``round_trip``; ``model_path`` is read on the driver."""
+    Rows go through a worker a few at a time (``CHUNK`` bytes of text), so what it holds does not grow with a batch.
+    """
     with open(model_path, "rb") as f:
         data = f.read()
     model = docs.sparkSession.sparkContext.broadcast(data)  # the size of the model file
+    kept = [c for c in docs.columns if c not in (*drop, "ids", "parity", "round_trip")]
+    source = docs.select(F.col(text_col).alias("text"), F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"))
+    schema = StructType([source.schema["row"]]).add("ids", ArrayType(IntegerType())).add("parity", BooleanType()).add("round_trip", BooleanType())
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _units(model.value, threads)
         for batch in batches:
-            out = []
-            for group in _groups(batch):
-                units = [known.units(t) if t else [] for t in group]
-                known.learn(units)
-                out += [known.encode(u) if t is not None else (None, None, None) for t, u in zip(group, units)]
-            yield pd.DataFrame(out, columns=["ids", "parity", "round_trip"], dtype=object)
-
-    encoded = F.pandas_udf(run, "ids array<int>, parity boolean, round_trip boolean")(F.col(text_col))
-    (own,) = free_names(docs.columns, "_encoded")
-    outputs = {n: F.col(f"{own}.{n}") for n in ("ids", "parity", "round_trip")}
-    return docs.withColumn(own, encoded).withColumns(outputs).drop(own)
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            group = np.cumsum(sizes, dtype=np.int64) // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    part = batch.slice(lo, hi - lo)
+                    found = _encode_rows(known, part.column("text").to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column("row"), *found], ["row", "ids", "parity", "round_trip"])
+
+    encoded = source.mapInArrow(run, schema)
+    return encoded.select(*[F.col(f"row.`{c}`") for c in kept], "ids", "parity", "round_trip")
 
 
 def decode(rows: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:

@@ -108,7 +108,7 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op2_pieces")
 def op2_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), drop=["text"])
     return encoded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "parity", "round_trip")
 
 
