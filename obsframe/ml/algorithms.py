@@ -41,8 +41,19 @@ CLASSIFICATION: dict[str, Callable[..., Estimator]] = {
 }
 
 
+# Algorithms that are not one of Spark's estimators by themselves.
+OWN = {"regression": ("earth", "null", "pcr"), "classification": ("null", "lda", "qda", "oner", "nnet")}
+
+
+def check_algorithm(algorithm: str, task: str) -> None:
+    known = REGRESSION if task == "regression" else CLASSIFICATION
+    if algorithm not in known and algorithm not in OWN[task]:
+        raise ValueError(f"unknown algorithm {algorithm} for {task}")
+
+
 def estimator(algorithm: str, task: str, xs: Sequence[str], y: str, **params) -> Pipeline:
     """A pipeline from plain columns to a ``prediction`` column."""
+    check_algorithm(algorithm, task)
     known = REGRESSION if task == "regression" else CLASSIFICATION
     stages: list = [VectorAssembler(inputCols=list(xs), outputCol="features")]
     if algorithm == "pcr":
@@ -63,9 +74,13 @@ _SCRATCH = ("features", "scores", "rawPrediction", "probability")
 
 def fit(df: DataFrame, algorithm: str, task: str, xs: Sequence[str], y: str, **params) -> Predictor:
     """Train and return a function that adds ``prediction``."""
+    check_algorithm(algorithm, task)
     if algorithm == "earth":
-        model = fit_hinges(df, xs[0], y, **params)
-        return lambda d: d.withColumn("prediction", model.predict())
+        column = additive_hinges(df, xs, y, **params)
+        return lambda d: d.withColumn("prediction", column)
+    if algorithm == "nnet" and "classes" not in params:
+        # Labels are numbered from 0.
+        params["classes"] = int(df.agg(F.max(y)).first()[0]) + 1
     if algorithm == "null":
         return null_model(df, y, task)
     if algorithm in ("lda", "qda"):
@@ -76,6 +91,22 @@ def fit(df: DataFrame, algorithm: str, task: str, xs: Sequence[str], y: str, **p
     return lambda d: model.transform(d).drop(*_SCRATCH)
 
 
+def additive_hinges(df: DataFrame, xs: Sequence[str], y: str, cycles: int = 3, **params) -> Column:
+    """A sum of hinge models, one per predictor, by backfitting.
+
+    Each is fitted in turn to what the others leave over, ``cycles`` times round; a single predictor needs one round. A
+    row with a missing predictor is left out of the fits and has no prediction.
+    """
+    data = df.dropna(subset=[*xs, y])
+    parts: dict[str, Column] = {}
+    for _ in range(cycles if len(xs) > 1 else 1):
+        for x in xs:
+            others = sum((c for name, c in parts.items() if name != x), F.lit(0.0))
+            left = data.select(F.col(x), (F.col(y).cast("double") - others).alias("left_over"))
+            parts[x] = fit_hinges(left, x, "left_over", **params).predict()
+    return sum(parts.values(), F.lit(0.0))
+
+
 def null_model(df: DataFrame, y: str, task: str) -> Predictor:
     """The mean, or the commonest class (ties: the smallest)."""
     if task == "regression":
@@ -128,6 +159,8 @@ def discriminant(df: DataFrame, xs: Sequence[str], y: str, quadratic: bool) -> P
     for r, own in zip(rows, covs):
         mean = np.array([r[f"mean_{i}"] for i in range(p)])
         cov = own if quadratic else pooled
+        if np.linalg.matrix_rank(cov) < p:
+            raise ValueError(f"class {r['label']} has too few or too similar rows for a covariance of {p} predictors")
         inverse = np.linalg.inv(cov)
         prior = math.log(r["n"] / total)
         if quadratic:
@@ -144,8 +177,22 @@ def discriminant(df: DataFrame, xs: Sequence[str], y: str, quadratic: bool) -> P
 
 
 def importance(df: DataFrame, algorithm: str, task: str, xs: Sequence[str], y: str, **params) -> DataFrame:
-    """Importance of each predictor in a tree model, the largest scaled to 100."""
-    model = estimator(algorithm, task, xs, y, **params).fit(df).stages[-1]
-    raw = [float(v) for v in model.featureImportances.toArray()]
+    """Importance of each predictor, the largest scaled to 100.
+
+    A tree model has its own; a linear one the size of each coefficient times its predictor's spread; any other
+    algorithm for a number is measured by the line of each predictor alone (its R2).
+    """
+    check_algorithm(algorithm, task)
+    model = estimator(algorithm, task, xs, y, **params).fit(df).stages[-1] if algorithm not in (*OWN[task],) else None
+    if hasattr(model, "featureImportances"):
+        raw = [float(v) for v in model.featureImportances.toArray()]
+    elif hasattr(model, "coefficients"):
+        spread = df.agg(*[F.stddev(c).alias(c) for c in xs]).first()
+        raw = [abs(float(b)) * (spread[c] or 0.0) for c, b in zip(xs, model.coefficients.toArray())]
+    elif task == "regression":
+        fits = df.agg(*[F.regr_r2(F.col(y).cast("double"), F.col(c).cast("double")).alias(c) for c in xs]).first()
+        raw = [float(fits[c] or 0.0) for c in xs]
+    else:
+        raise ValueError(f"no importance for {algorithm}")
     top = max(raw) or 1.0
     return df.sparkSession.createDataFrame([(c, v, v / top * 100) for c, v in zip(xs, raw)], "predictor string, importance double, overall double")

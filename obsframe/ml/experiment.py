@@ -11,6 +11,7 @@ import itertools
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsframe.functions.scalar import hash_fold
-from obsframe.ml.algorithms import estimator
-from obsframe.ml.resample import Scheme, resample_models, summary
+from obsframe.ml.algorithms import check_algorithm, estimator, fit
+from obsframe.ml.resample import Scheme, resample_fits, resample_models, summary
 
 
 @dataclass(frozen=True)
@@ -44,24 +45,35 @@ def cross(task: Task, **alternatives: Sequence) -> list[Task]:
     return out
 
 
-def resample_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], scheme: Scheme) -> DataFrame:
-    """Metrics of every resample of every (linear or mean) task; tasks of one response are run together."""
+def resample_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], scheme: Scheme, **params: Mapping[str, object]) -> DataFrame:
+    """Metrics of every resample of every regression task.
+
+    Lines and means of one response are fitted together from sums; any other algorithm is fitted once per
+    resample, with the parameters given under its name. An unknown algorithm is an error.
+    """
     names = list(dict.fromkeys(k for t in tasks for k in t.parameters))
     labels = df.sparkSession.createDataFrame(
         [(t.name, *[str(t.parameters.get(k)) if k in t.parameters else None for k in names]) for t in tasks],
         ", ".join(["name string", *[f"{k} string" for k in names]]),
     )
-    out = None
+    for t in tasks:
+        check_algorithm(t.algorithm, "regression")
+    parts = []
     for response in dict.fromkeys(t.response for t in tasks):
-        models = {t.name: [] if t.algorithm == "null" else list(t.predictors) for t in tasks if t.response == response}
-        part = resample_models(df, models, response, ids, scheme)
-        out = part if out is None else out.unionByName(part)
-    return labels.join(out.withColumnRenamed("model", "name"), "name")
+        models = {t.name: [] if t.algorithm == "null" else list(t.predictors) for t in tasks if t.response == response and t.algorithm in ("lm", "null")}
+        if models:
+            parts.append(resample_models(df, models, response, ids, scheme).withColumnRenamed("model", "name"))
+    for t in tasks:
+        if t.algorithm not in ("lm", "null"):
+            own = dict(params.get(t.algorithm, {}))
+            per = resample_fits(df, lambda d, t=t, own=own: fit(d, t.algorithm, "regression", t.predictors, t.response, **own), t.predictors, t.response, ids, scheme)
+            parts.append(per.withColumn("name", F.lit(t.name)))
+    return labels.join(reduce(DataFrame.unionByName, parts), "name")
 
 
-def query_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], scheme: Scheme) -> DataFrame:
+def query_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], scheme: Scheme, **params: Mapping[str, object]) -> DataFrame:
     """One row per task: its name, its parameters and its mean metrics."""
-    per = resample_table(df, tasks, ids, scheme)
+    per = resample_table(df, tasks, ids, scheme, **params)
     keys = [c for c in per.columns if c not in ("resample", "n", "rmse", "r2", "mae")]
     return summary(per, keys)
 
@@ -77,13 +89,13 @@ def run_all(spark: SparkSession, tasks: Sequence[Task], train: Callable[[Task],
             try:
                 results[t.name] = train(t)
             except Exception as problem:  # noqa: BLE001
-                error = f"{type(problem).__name__}: {problem}"[:500]
+                error = f"{type(problem).__name__}: {problem}"
         finished = datetime.datetime.now()
         rows.append((
-            t.name, t.algorithm, not error, error, int(bool(error)), "; ".join(str(w.message) for w in seen)[:500],
+            t.name, t.algorithm, not error, int(bool(error)), error, "; ".join(str(w.message) for w in seen),
             started, finished, (finished - started).total_seconds(),
         ))
-    schema = "name string, algorithm string, succeeded boolean, error string, errors int, warnings string, started timestamp, finished timestamp, seconds double"
+    schema = "name string, algorithm string, succeeded boolean, errors int, messages string, warnings string, started timestamp, finished timestamp, seconds double"
     return results, spark.createDataFrame(rows, schema)
 
 

@@ -115,7 +115,11 @@ def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     mean_rank = F.col("below") + (F.col("n") + 1) / 2
     ra = ranking.value_ranks(both, [], "a").select("a", mean_rank.alias("rank_a"))
     rb = ranking.value_ranks(both, [], "b").select("b", mean_rank.alias("rank_b"))
-    return both.join(ra, "a").join(rb, "b").agg(F.corr("rank_a", "rank_b").alias("spearman"))
+    # Equal pairs are one weighted row, so no value brings its rows together; ranks are centred to keep the sums exact.
+    cells = both.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w")).join(ra, "a").join(rb, "b")
+    n = both.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    x, y, w = F.col("rank_a") - (n + 1) / 2, F.col("rank_b") - (n + 1) / 2, F.col("w")
+    return cells.agg(F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x) * F.sum(w * y * y))).alias("spearman"))
 
 
 def calibration(df: DataFrame, observed: str, probability: str, cuts: int = 10) -> DataFrame:

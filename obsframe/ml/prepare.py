@@ -35,12 +35,9 @@ def divide(df: DataFrame, response: str, ids: Sequence[str] = ()) -> tuple[DataF
     return df.drop(response), df.select(*ids, response)
 
 
-def _strata(df: DataFrame, response: str, groups: int) -> DataFrame:
-    """The response itself, or the quantile group of a number with many values."""
-    if response not in numeric_columns(df):
-        return df.withColumn("stratum", F.col(response).cast("string"))
-    few = df.select(response).where(F.col(response).isNotNull()).distinct().limit(groups + 1).count() <= groups
-    if few:
+def _strata(df: DataFrame, response: str, groups: int, by: str | None) -> DataFrame:
+    """The response itself (``by="value"``, the rule for text) or its quantile group (``by="quantile"``, for numbers)."""
+    if (by or ("quantile" if response in numeric_columns(df) else "value")) == "value":
         return df.withColumn("stratum", F.col(response).cast("string"))
     probs = {f"q{i}": i / groups for i in range(1, groups)}
     cuts = ranking.quantiles(df, [], response, probs).first()
@@ -48,9 +45,9 @@ def _strata(df: DataFrame, response: str, groups: int) -> DataFrame:
     return df.withColumn("stratum", place.cast("string"))
 
 
-def split(df: DataFrame, response: str, ids: Sequence[str], p: float = 0.8, seed: int = SEED, groups: int = 5) -> DataFrame:
+def split(df: DataFrame, response: str, ids: Sequence[str], p: float = 0.8, seed: int = SEED, groups: int = 5, by: str | None = None) -> DataFrame:
     """Adds ``part``: test (no response), train (a share ``p`` of each stratum) or validation."""
-    known = _strata(df.where(F.col(response).isNotNull()), response, groups)
+    known = _strata(df.where(F.col(response).isNotNull()), response, groups, by)
     ranked = ranking.hash_rank(known.withColumn("hash_key", hash_key(seed, *ids)), ["stratum"], "hash_key")
     part = F.when(F.col("position") <= F.ceil(F.col("group_n") * p), "train").otherwise("validation")
     parted = ranked.withColumn("part", part).select(*df.columns, "part")
@@ -114,7 +111,9 @@ def _fill(values: dict[str, object]) -> Callable[[DataFrame], DataFrame]:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> Fitted:
-    values = {c: ranking.quantiles(df, [], c, {"m": 0.5}).first()["m"] for c in columns}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "variable", "value")
+    rows = ranking.quantiles(long, ["variable"], "value", {"m": 0.5}).collect()
+    values = {r["variable"]: r["m"] for r in rows}
     return Fitted(_fill(values), values)
 
 

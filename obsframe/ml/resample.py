@@ -7,8 +7,9 @@ fitted from one aggregate with a row per fold, and scored in a second pass.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,10 @@ POISSON_STEPS = tuple(
 
 
 def poisson_weight(digits: Column) -> Column:
-    """How often a row is drawn in one bootstrap sample, from four digits of its hash (compared as text)."""
+    """How often a row is drawn in one bootstrap sample, from four digits of its hash (compared as text).
+
+    Four digits tell 65536 chances apart, so seven draws or more (8 in 100 000 rows) count as seven.
+    """
     weight = F.lit(len(POISSON_STEPS))
     for i, step in reversed(list(enumerate(POISSON_STEPS))):
         weight = F.when(digits < step, i).otherwise(weight)
@@ -87,6 +91,27 @@ def moments(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (), we
     return out
 
 
+def moments_of(df: DataFrame, models: dict[str, list[str]], y: str, by: Sequence[str], weight: Column | None = None) -> dict[str, dict]:
+    """``moments`` of several models in one pass, each over the rows that are complete in its own columns."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    columns, places = [], []
+    for n, xs in enumerate(models.values()):
+        z = [F.lit(1.0), *[F.col(c).cast("double") for c in xs], F.col(y).cast("double")]
+        whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*xs, y)])
+        places.append([(i, j, f"m{n}_{i}_{j}") for i in range(len(z)) for j in range(i, len(z))])
+        columns += [F.sum(F.when(whole, w * z[i] * z[j])).alias(name) for i, j, name in places[-1]]
+    rows = df.groupBy(*by).agg(*columns).collect()
+    out: dict[str, dict] = {}
+    for (name, xs), own in zip(models.items(), places):
+        out[name] = {}
+        for r in rows:
+            m = np.zeros((len(xs) + 2, len(xs) + 2))
+            for i, j, cell in own:
+                m[i, j] = m[j, i] = r[cell] or 0.0
+            out[name][tuple(r[c] for c in by)] = m
+    return out
+
+
 def solve(m: np.ndarray, ridge: float = 0.0) -> np.ndarray:
     """Least squares coefficients (intercept first) from a matrix of sums."""
     a, b = m[:-1, :-1].copy(), m[:-1, -1]
@@ -128,27 +153,58 @@ def resample_models(
 ) -> DataFrame:
     """Held-out metrics of several linear models, a row per model and resample.
 
-    All models share the rows that are complete in every predictor. One pass sums the
-    products of all their columns, each model is solved from its part of that matrix, and
-    one more pass scores them all. A model without predictors is the plain mean.
+    A model uses the rows that are complete in its own predictors, whatever models run beside it. One pass sums the
+    products of every model's columns, one more pass scores them all. A model without predictors is the plain mean.
     """
-    union = sorted({x for xs in models.values() for x in xs})
-    data = df.dropna(subset=[*union, y])
+    data = df.where(F.col(y).isNotNull())
     if scheme.method in ("cv", "repeatedcv"):
         held = folds(data, scheme, ids)
-        own = moments(held, union, y, ["resample"])
-        total = sum(own.values()) / (scheme.repeats if scheme.method == "repeatedcv" else 1)
-        sums = {k[0]: total - m for k, m in own.items()}
+        sums = {}
+        for name, own in moments_of(held, models, y, ["resample"]).items():
+            total = sum(own.values()) / (scheme.repeats if scheme.method == "repeatedcv" else 1)
+            sums[name] = {k[0]: total - m for k, m in own.items()}
     else:
         drawn = resamples(data, scheme, ids)
-        sums = {k[0]: m for k, m in moments(drawn, union, y, ["resample"], F.col("weight")).items()}
+        sums = {
+            name: {k[0]: m for k, m in own.items()}
+            for name, own in moments_of(drawn, models, y, ["resample"], F.col("weight")).items()
+        }
         held = drawn if scheme.method == "none" else drawn.where("weight = 0")
-    coefs = {}
-    for name, xs in models.items():
-        at = [0, *[1 + union.index(x) for x in xs], len(union) + 1]
-        coefs[name] = {k: solve(m[np.ix_(at, at)], ridge) for k, m in sums.items()}
-    scored = held.select(*dict.fromkeys(["resample", y, *union]), _models_by_resample(coefs, models))
-    return regression_metrics(scored, y, "prediction", ["model", "resample"])
+    coefs = {name: {k: solve(m, ridge) for k, m in own.items()} for name, own in sums.items()}
+    used = sorted({x for xs in models.values() for x in xs})
+    scored = held.select(*dict.fromkeys(["resample", y, *used]), _models_by_resample(coefs, models))
+    return regression_metrics(scored.where("prediction IS NOT NULL"), y, "prediction", ["model", "resample"])
+
+
+def resample_fits(
+    df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme
+) -> DataFrame:
+    """Held-out metrics of any algorithm, a row per resample; ``fit`` is run once for each."""
+    data = df.dropna(subset=[*xs, y])
+    if scheme.method in ("cv", "repeatedcv"):
+        marked = folds(data, scheme, ids)
+        repeats = scheme.repeats if scheme.method == "repeatedcv" else 1
+        parts = []
+        for r in range(repeats):
+            for f in range(scheme.number):
+                name = f"Fold{f + 1:02d}" + (f".Rep{r + 1}" if repeats > 1 else "")
+                fold = hash_fold(scheme.number, scheme.seed + r, *ids)
+                parts.append((data.where(fold != f), marked.where(F.col("resample") == name)))
+    elif scheme.method in ("none", "boot"):
+        drawn = resamples(data, scheme, ids)
+        names = ["Apparent"] if scheme.method == "none" else [f"Resample{b + 1:02d}" for b in range(scheme.number)]
+        parts = []
+        for name in names:
+            own = drawn.where(F.col("resample") == name)
+            rows = own.where("weight > 0").select(*df.columns, F.explode(F.sequence(F.lit(1), "weight")).alias("copy")).drop("copy")
+            parts.append((rows, own if scheme.method == "none" else own.where("weight = 0")))
+    else:
+        raise ValueError(f"{scheme.method} needs a closed form, which only linear models have")
+    scored = None
+    for train, held in parts:
+        part = fit(train)(held).select("resample", y, F.col("prediction").cast("double").alias("prediction"))
+        scored = part if scored is None else scored.unionByName(part)
+    return regression_metrics(scored, y, "prediction", ["resample"])
 
 
 def resample_linear(df: DataFrame, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme, ridge: float = 0.0) -> DataFrame:

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsframe.operators import ranking
+
 
 @dataclass(frozen=True)
 class HingeModel:
@@ -35,12 +37,17 @@ class HingeModel:
 
 
 def _candidate_knots(df: DataFrame, x: str, max_knots: int) -> list[float]:
-    """All distinct positions when they are few, otherwise evenly spread quantiles of them."""
-    few = df.select(F.col(x).cast("double").alias("k")).where("k IS NOT NULL").distinct().limit(max_knots + 1).collect()
-    if len(few) <= max_knots:
-        return sorted(r["k"] for r in few)
-    cuts = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / (max_knots - 1) for i in range(max_knots)], 10000)).first()[0]
-    return sorted(set(cuts))
+    """Exact, evenly spread quantiles of the distinct positions: all of them where they are no more than ``max_knots``.
+
+    Rows do not weigh, so the knots depend on the positions alone and are the same on every run.
+    """
+    positions = df.select(F.col(x).cast("double").alias("k")).where("k IS NOT NULL").distinct()
+    n = min(max_knots, positions.count())
+    if n == 0:
+        raise ValueError(f"no row with {x} and a response")
+    probs = {f"q{i}": i / max(n - 1, 1) for i in range(n)}
+    cuts = ranking.quantiles(positions, [], "k", probs).first()
+    return sorted({float(cuts[q]) for q in probs})
 
 
 def fit_hinges(df: DataFrame, x: str, y: str, max_terms: int = 21, penalty: float = 2.0, max_knots: int = 160) -> HingeModel:

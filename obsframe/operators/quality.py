@@ -74,8 +74,12 @@ def nested_years(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return yearly.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("year", "n", "top"))).alias("yearly"))
 
 
-def observation_summary(stations: DataFrame, observations: DataFrame, variable: str) -> DataFrame:
-    """Status, year range and overall counts of every listed station, loaded or not."""
+def observation_summary(stations: DataFrame, observations: DataFrame, variable: str, validated: DataFrame | None = None) -> DataFrame:
+    """Status, year range and overall counts of every listed station, loaded or not.
+
+    ``validated`` (station, status, error) is what the validator of the archives found; a station listed twice is
+    "Duplicate" whatever it found, and one without observations is never "Good".
+    """
     listed = stations.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("listed"))
     overall = yearly_counts(observations, variable).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_year"), F.min("year").alias("min_year"), F.max("year").alias("max_year"),
@@ -86,7 +90,14 @@ def observation_summary(stations: DataFrame, observations: DataFrame, variable:
         F.when(F.col("listed") > 1, "Duplicate").when(F.col("n").isNull(), "Data Missing").otherwise("Good")
     )
     good = F.col("status") == "Good"
-    joined = listed.join(overall, KEYS, "left").withColumn("status", status)
+    joined = listed.join(overall, KEYS, "left")
+    if validated is not None:
+        joined = joined.join(validated.select("station", F.col("status").alias("found"), "error"), "station", "left")
+        bad = F.col("found") != "Good"
+        status = F.when(F.col("listed") > 1, "Duplicate").when(bad, F.col("found")).otherwise(status)
+        joined = joined.withColumns({"status": status, "error": F.coalesce("error", F.lit(""))}).drop("found")
+    else:
+        joined = joined.withColumn("status", status)
     blank = {c: F.when(good, F.col(c)) for c in ("min_year", "max_year")}
     zero = {c: F.when(good, F.col(c)).otherwise(F.lit(0)) for c in ("n_year", "n", "n_present", "n_zero", "n_nonzero")}
     return joined.withColumns({**blank, **zero}).withColumn("n_na", F.col("n") - F.col("n_present")).drop("listed")
@@ -151,8 +162,9 @@ def clean_summary(stations: DataFrame, yearly: DataFrame, info: CleanInfo) -> Da
         F.min("year").alias("min_year"), F.max("year").alias("max_year"), F.sum("n_nonzero").alias("n_nonzero"),
     )
     lon, lat = inside(info)
-    available = F.col("n_year").isNotNull()
+    available = F.col("n_year").isNotNull() & (F.col("listed") == 1)  # a station listed twice is not to be trusted
     known = ranking.first_per_key(stations, KEYS, ["name", "latitude", "longitude"])
+    known = known.join(stations.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("listed")), KEYS)
     return known.join(per_station, KEYS, "left").select(
         *KEYS, "name", "latitude", "longitude",
         available.alias("data_available"), (available & lon).alias("longitude_target_met"),

@@ -207,15 +207,11 @@ def near_zero_variance(
         F.count(F.col(value)).alias("n_distinct"),
         F.max(F.when(present, F.col("n"))).alias("top"),
     )
-    seconds = (
-        cells.where(present).join(tops.select(*by, "top"), by)
-        .groupBy(*by)
-        .agg(
-            F.count_if(F.col("n") == F.col("top")).alias("at_top"),
-            F.max(F.when(F.col("n") < F.col("top"), F.col("n"))).alias("next"),
-        )
-    )
-    second = F.when(F.col("at_top") > 1, F.col("top")).otherwise(F.col("next"))
+    # Only the first two of each task reach the shuffle.
+    ranked = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), value))
+    first_two = cells.where(present).withColumn("place", ranked).where("place <= 2")
+    seconds = first_two.groupBy(*by).agg(F.max(F.when(F.col("place") == 2, F.col("n"))).alias("second"))
+    second = F.col("second")
     ratio = F.when(F.col("n_distinct") <= 1, F.lit(0.0)).otherwise(
         F.try_divide(F.col("top").cast("double"), second.cast("double"))
     )

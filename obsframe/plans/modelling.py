@@ -62,7 +62,17 @@ def divide(spark, sf):
 @query("ml_split", f"""WITH {DOCS}, r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_hash(7, "doc_id")}) AS pos, count(*) OVER (PARTITION BY quality) AS n FROM labelled)
 SELECT doc_id, quality, CASE WHEN pos <= ceil(n*0.8) THEN 'train' ELSE 'validation' END AS part FROM r UNION ALL SELECT doc_id, NULL, 'test' FROM docs WHERE quality IS NULL""")
 def split(spark, sf):
-    return P.split(documents(spark, sf, "left").select("doc_id", "quality"), "quality", ["doc_id"])
+    return P.split(documents(spark, sf, "left").select("doc_id", "quality"), "quality", ["doc_id"], by="value")
+
+
+@query("ml_split_numeric", f"""WITH {DOCS}, k AS (SELECT doc_id, CASE WHEN quality IS NOT NULL THEN kchars END AS kchars FROM docs),
+q AS (SELECT quantile_cont(kchars,[0.2,0.4,0.6,0.8]) AS cuts FROM k), g AS (SELECT doc_id, kchars, len(list_filter(cuts, lambda c: kchars > c)) AS grp FROM k, q WHERE kchars IS NOT NULL),
+r AS (SELECT doc_id, kchars, row_number() OVER (PARTITION BY grp ORDER BY {_hash(7, "doc_id")}) AS pos, count(*) OVER (PARTITION BY grp) AS n FROM g)
+SELECT doc_id, kchars, CASE WHEN pos <= ceil(n*0.8) THEN 'train' ELSE 'validation' END AS part FROM r UNION ALL SELECT doc_id, NULL, 'test' FROM k WHERE kchars IS NULL""")
+def split_numeric(spark, sf):
+    """A number is stratified by its quantile groups; documents without a label have no response here."""
+    response = F.when(F.col("quality").isNotNull(), F.col("kchars")).alias("kchars")
+    return P.split(documents(spark, sf, "left").select("doc_id", response), "kchars", ["doc_id"])
 
 
 @query("ml_filter_complete", f"""WITH {READ} SELECT station, date, value, source FROM readings WHERE value IS NOT NULL""")
@@ -465,17 +475,27 @@ def _tasks() -> list[E.Task]:
     return E.cross(E.Task("price", "l_extendedprice"), algorithm=["lm", "null"], predictor=["l_quantity", "l_tax"])
 
 
-def _task_sql(final: str) -> str:
+_TREE = """xcell AS (SELECT name, resample, x, count(*)::DOUBLE AS n, sum(y) AS sy FROM l WHERE algorithm='rpart' GROUP BY ALL),
+xall AS (SELECT name, x, sum(n) AS n, sum(sy) AS sy FROM xcell GROUP BY ALL), fold AS (SELECT DISTINCT resample FROM l),
+xtrain AS (SELECT a.name, fold.resample, a.x, a.n-coalesce(c.n,0) AS n, a.sy-coalesce(c.sy,0) AS sy FROM xall a CROSS JOIN fold LEFT JOIN xcell c ON c.name=a.name AND c.resample=fold.resample AND c.x=a.x),
+xcum AS (SELECT name, resample, x, sum(n) OVER u AS nl, sum(sy) OVER u AS sl, sum(n) OVER a AS nt, sum(sy) OVER a AS st FROM xtrain WINDOW u AS (PARTITION BY name, resample ORDER BY x), a AS (PARTITION BY name, resample)),
+tree AS (SELECT name, resample, arg_max(x, sl*sl/nl+(st-sl)*(st-sl)/(nt-nl)) AS cut, arg_max(sl/nl, sl*sl/nl+(st-sl)*(st-sl)/(nt-nl)) AS ml,
+ arg_max((st-sl)/(nt-nl), sl*sl/nl+(st-sl)*(st-sl)/(nt-nl)) AS mr FROM xcum WHERE nl > 0 AND nt > nl GROUP BY name, resample)"""
+
+
+def _task_sql(final: str, tree: tuple[tuple[str, str], ...] = ()) -> str:
+    """The experiment in SQL: lines and means from sums, the tree of one split by trying every cut."""
     rows = " UNION ALL ".join(
-        f"SELECT 'price_{a}_{p}' AS name, '{a}' AS algorithm, '{p}' AS predictor, {p if a == 'lm' else '0.0'} AS x, l_extendedprice AS y, printf('Fold%02d', {_number(7, *ITEM_HASH)} % 10 + 1) AS resample FROM lineitem"
-        for a in ("lm", "null") for p in ("l_quantity", "l_tax")
+        f"SELECT 'price_{a}_{p}' AS name, '{a}' AS algorithm, '{p}' AS predictor, {'0.0' if a == 'null' else p} AS x, l_extendedprice AS y, printf('Fold%02d', {_number(7, *ITEM_HASH)} % 10 + 1) AS resample FROM lineitem"
+        for a, p in (*((a, p) for a in ("lm", "null") for p in ("l_quantity", "l_tax")), *tree)
     )
     return f"""WITH l AS ({rows}), c AS (SELECT name, resample, count(*)::DOUBLE AS n, sum(x) sx, sum(y) sy, sum(x*x) sxx, sum(x*y) sxy FROM l GROUP BY ALL),
 t AS (SELECT name, sum(n) n, sum(sx) sx, sum(sy) sy, sum(sxx) sxx, sum(sxy) sxy FROM c GROUP BY name),
 o AS (SELECT c.name, c.resample, t.n-c.n AS n, t.sx-c.sx AS sx, t.sy-c.sy AS sy, t.sxx-c.sxx AS sxx, t.sxy-c.sxy AS sxy FROM c JOIN t USING (name)),
 g AS (SELECT *, CASE WHEN n*sxx-sx*sx > 0 THEN (n*sxy-sx*sy)/(n*sxx-sx*sx) ELSE 0 END AS b FROM o), f AS (SELECT name, resample, b, (sy-b*sx)/n AS a FROM g),
-s AS (SELECT l.name, l.algorithm, l.predictor, l.resample, y, a+b*x AS p, y-a-b*x AS e FROM l JOIN f USING (name, resample)),
-r AS (SELECT name, algorithm, predictor, resample, count(*) AS n, sqrt(avg(e*e)) AS rmse, CASE WHEN algorithm='lm' THEN power(corr(y,p),2) END AS r2, avg(abs(e)) AS mae FROM s GROUP BY name, algorithm, predictor, resample) {final}"""
+{_TREE}, v AS (SELECT l.name, l.algorithm, l.predictor, l.resample, y, CASE WHEN l.algorithm='rpart' THEN CASE WHEN x <= cut THEN ml ELSE mr END ELSE a+b*x END AS p
+ FROM l JOIN f ON f.name=l.name AND f.resample=l.resample LEFT JOIN tree t ON t.name=l.name AND t.resample=l.resample), s AS (SELECT *, y-p AS e FROM v),
+r AS (SELECT name, algorithm, predictor, resample, count(*) AS n, sqrt(avg(e*e)) AS rmse, CASE WHEN algorithm<>'null' THEN power(corr(y,p),2) END AS r2, avg(abs(e)) AS mae FROM s GROUP BY name, algorithm, predictor, resample) {final}"""
 
 
 @query("exp_cross", _task_sql("SELECT name, algorithm, predictor, round(avg(rmse),3) AS rmse FROM r GROUP BY ALL"))
@@ -484,9 +504,11 @@ def exp_cross(spark, sf):
     return rounded(out, "rmse", digits=3).select("name", "algorithm", "predictor", "rmse")
 
 
-@query("exp_query", _task_sql("SELECT name, algorithm, predictor, round(avg(rmse),3) AS rmse, round(avg(r2),7) AS r2, round(avg(mae),3) AS mae, count(*) AS resamples FROM r GROUP BY ALL"))
+@query("exp_query", _task_sql("SELECT name, algorithm, predictor, round(avg(rmse),3) AS rmse, round(avg(r2),7) AS r2, round(avg(mae),3) AS mae, count(*) AS resamples FROM r GROUP BY ALL", (("rpart", "l_quantity"),)))
 def exp_query(spark, sf):
-    out = E.query_table(items(spark, sf), _tasks(), ITEM_IDS, S.Scheme("cv"))
+    """Lines, means and a tree of one split; the tree is fitted anew for every fold."""
+    tree = E.cross(E.Task("price", "l_extendedprice"), algorithm=["rpart"], predictor=["l_quantity"])
+    out = E.query_table(items(spark, sf), [*_tasks(), *tree], ITEM_IDS, S.Scheme("cv"), rpart={"maxDepth": 1, "maxBins": 64})
     return rounded(rounded(out, "rmse", "mae", digits=3), "r2", digits=7)
 
 
@@ -496,12 +518,14 @@ def exp_resample(spark, sf):
     return rounded(rounded(out, "rmse", "mae", digits=3), "r2", digits=7)
 
 
-@query("exp_train_status")
+@query("exp_train_status", """SELECT 'price_' || a AS name, a AS algorithm, a <> 'unknown' AS succeeded, CASE WHEN a='unknown' THEN 1 ELSE 0 END AS errors,
+ CASE WHEN a='unknown' THEN 'ValueError: unknown algorithm unknown for regression' ELSE '' END AS messages, '' AS warnings FROM (VALUES ('lm'), ('glmnet'), ('unknown')) t(a)""")
 def exp_train_status(spark, sf):
     """Two fits that work and one that cannot."""
     tasks = E.cross(E.Task("price", "l_extendedprice", ("l_quantity",)), algorithm=["lm", "glmnet", "unknown"])
     df = items(spark, sf)
-    return E.run_all(spark, tasks, lambda t: A.fit(df, t.algorithm, "regression", t.predictors, t.response))[1]
+    status = E.run_all(spark, tasks, lambda t: A.fit(df, t.algorithm, "regression", t.predictors, t.response))[1]
+    return status.drop("started", "finished", "seconds")  # the clock cannot be compared
 
 
 @query("exp_tune")

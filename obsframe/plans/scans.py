@@ -78,20 +78,29 @@ def csv_delim(spark, sf):
 
 
 @query("src_csv_preamble", f"""WITH {SOI} SELECT year, {", ".join(f"max(soi) FILTER (month={i + 1}) AS {m}" for i, m in enumerate(tables.MONTHLY_MEASURES[:12]))},
- CASE WHEN count(*)=12 THEN round(avg(soi),5) END AS j_d FROM soi GROUP BY year""")
+ CASE WHEN count(*)=12 THEN round(avg(soi),5) END AS j_d,
+ {", ".join(f"(SELECT CASE WHEN count(*)={n} THEN round(avg(s.soi),5) END FROM soi s WHERE s.year*12+s.month BETWEEN soi.year*12+{lo} AND soi.year*12+{lo + n - 1}) AS {name}" for name, lo, n in (("d_n", 0, 12), ("djf", 0, 3), ("mam", 3, 3), ("jja", 6, 3), ("son", 9, 3)))}
+FROM soi GROUP BY year""")
 def csv_preamble(spark, sf):
     index = monthly_index(spark, sf)
     months = [F.max(F.when(F.col("month") == i, F.col("soi"))) for i in range(1, 13)]
-    # Five digits: a twelfth of a three-digit sum never ends exactly halfway there.
-    mean = F.when(F.count(F.lit(1)) == 12, F.round(F.avg("soi"), 5))
-    cells = [F.coalesce(c.cast("string"), F.lit("***")) for c in (*months, mean)] + [F.lit("***")] * 5
-    data = index.groupBy("year").agg(F.array(*cells).alias("cells")).select(
+    # Five digits: a third or twelfth of a three-digit sum never ends exactly halfway there.
+    def season(first: int, n: int) -> Column:
+        """The mean of n months from the given one; month 0 is the December before."""
+        inside = F.col("month").between(first, first + n - 1)
+        return F.when(F.count_if(inside) == n, F.round(F.avg(F.when(inside, F.col("soi"))), 5))
+
+    # A December counts in its own year as month 12 and in the next one as month 0.
+    both = index.select("year", "month", "soi").unionAll(index.where("month = 12").select(F.col("year") + 1, F.lit(0), "soi"))
+    mean = F.when(F.count_if(F.col("month") > 0) == 12, F.round(F.avg(F.when(F.col("month") > 0, F.col("soi"))), 5))
+    seasons = [season(0, 12), season(0, 3), season(3, 3), season(6, 3), season(9, 3)]
+    cells = [F.coalesce(c.cast("string"), F.lit("***")) for c in (*months, mean, *seasons)]
+    data = both.groupBy("year").agg(F.array(*cells).alias("cells"), F.count_if(F.col("month") > 0).alias("n")).where("n > 0").select(
         F.concat_ws(",", F.col("year").cast("string"), F.array_join("cells", ",")).alias("value")
     )
     top = spark.createDataFrame([("Monthly means",), ("Year,Jan,Feb,Mar,Apr",)], "value string")
     path = write_lines(spark, top.unionByName(data), "monthly")
-    wanted = ["year", *tables.MONTHLY_MEASURES[:13]]
-    return tables.monthly_anomalies(spark, path).select(*wanted)
+    return tables.monthly_anomalies(spark, path).drop("file_name")
 
 
 @query("src_text_comment_fixed", f"""WITH {ANNUAL} SELECT 'observatory' AS co2_source, year, round(data_mean_global/1000,2) AS co2_global FROM annual""")
@@ -151,26 +160,42 @@ def html_pre_fwf(spark, sf):
     return html.parse_pre_months(pages, "html", ["product"], "bureau")
 
 
-@query("src_html_link", r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)', 1) AS l FROM pages),
-u AS (SELECT page_id, unnest(range(0, len(l))) AS pos, l FROM a)
-SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(l[pos+1], '(?is)href="([^"]*)"', 1) AS href, trim(regexp_replace(l[pos+1], '(?s)<[^>]*>', '', 'g')) AS text FROM u""")
+@query("src_html_link", r"""WITH a AS (SELECT page_id, string_split(split_part(split_part(html, '<ul>', 2), '</ul>', 1), '<li>') AS items FROM pages),
+u AS (SELECT page_id, unnest(range(1, len(items))) AS pos, items FROM a), l AS (SELECT page_id, pos - 1 AS pos, items[pos + 1] AS item FROM u),
+p AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, split_part(item, chr(34), 2) AS href, split_part(split_part(item, '>', 2), '<', 1) AS text FROM l)
+SELECT * FROM p UNION ALL SELECT page_id, CAST(100 AS INTEGER), '/data', 'All years' FROM pages""")
 def html_link(spark, sf):
-    return html.find_links(table(spark, sf, "pages"), "html", ["page_id"])
+    """The links of the page's list, marked as a block, and the one link with a text in another block.
 
+    Each page gets an id on its navigation and a second block with links before and after the wanted one.
+    """
+    marked = F.replace(F.col("html"), F.lit("<nav>"), F.lit("<nav id='menu'>"))
+    extra = F.lit("<div id=files><div><a href=/skip>Skip</a></div><a title='x' href='/data'>All <i>years</i></a></div><p><a href='/data'>All years</a></p>")
+    pages = table(spark, sf, "pages").select("page_id", F.concat(marked, extra).alias("html"))
+    menu = html.find_links(pages, "html", ["page_id"], block="menu")
+    data = html.find_links(pages, "html", ["page_id"], text="All years", block="files")
+    return menu.unionAll(data.withColumn("pos", F.lit(100)))
 
-def rain_archives(spark, sf) -> DataFrame:
+
+def station_archives(spark, sf, product: archives.Product) -> DataFrame:
     """Daily station rows packed into zip archives, kept together by station and year first."""
     obs = observations(spark, sf).repartition("station", F.year("date")).sortWithinPartitions("station")
     line = F.concat_ws(
-        ",", F.lit("IDCJAC0009"), F.col("station"), F.date_format("date", "yyyy"), F.date_format("date", "MM"),
+        ",", F.lit(product.member.split("_")[0]), F.col("station"), F.date_format("date", "yyyy"), F.date_format("date", "MM"),
         F.date_format("date", "dd"), F.coalesce(F.col("value").cast("string"), F.lit("")), F.col("measurement_days").cast("string"), F.lit("Y"),
     )
-    return archives.pack_archives(obs.select("station", line.alias("line")), archives.RAINFALL)
+    return archives.pack_archives(obs.select("station", line.alias("line")), product)
 
 
-@query("src_zip_csv", f"""WITH {OBS} SELECT 'AUS' AS zone, station, date, value, measurement_days, 'archive' AS source FROM obs""")
+@query("src_zip_csv", f"""WITH {OBS} SELECT p.source, 'AUS' AS zone, station, date, value, measurement_days FROM obs, (VALUES ('rainfall'), ('max_temp'), ('min_temp')) p(source)""")
 def zip_csv(spark, sf):
-    return archives.load_archives(rain_archives(spark, sf), archives.RAINFALL, "archive")
+    """All three products, beside a broken archive that must give no row."""
+    broken = spark.createDataFrame([("1", bytearray(b"no zip at all"))], "station string, content binary")
+    out = None
+    for product in (archives.RAINFALL, archives.MAX_TEMP, archives.MIN_TEMP):
+        part = archives.load_archives(station_archives(spark, sf, product).unionByName(broken), product, product.name)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("src_multi_station", f"""WITH {OBS} SELECT o.zone, o.station, o.date, o.value, o.measurement_days, o.source FROM obs o JOIN stations s USING (zone, station)
@@ -185,21 +210,35 @@ def multi_station(spark, sf):
     )
 
 
-@query("src_wide_dimension", """SELECT 'F' || n_nationkey AS "FID", n_name AS name, r_name AS continent, CAST(n_nationkey AS INTEGER) AS scalerank, count(*)::INTEGER AS pop_est, round(sum(s_acctbal),2) AS gdp_md_est,
- CAST(110 + n_nationkey AS DOUBLE) AS "Longitude", CAST(-40 + n_nationkey AS DOUBLE) AS "Latitude" FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY n_nationkey, n_name, r_name""")
+def _wide_value(column: str, position: int) -> tuple[str, str]:
+    """A value for a column of the wide dimension, in Spark's SQL and in the check's."""
+    special = {"FID": "concat('F', n_nationkey)", "name": "n_name", "continent": "r_name", "pop_est": "CAST(n AS INT)", "gdp_md_est": "balance"}
+    if column in special:
+        return (special[column],) * 2
+    if column in tables.CENTROID_INT:
+        return (f"CAST(n_nationkey * {position} AS INT)",) * 2
+    if column in tables.CENTROID_DOUBLE:
+        return (f"CAST(n_nationkey + {position} AS DOUBLE)",) * 2
+    if position % 9 == 0:
+        return "CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)"
+    return (f"concat(n_name, ', {column} ', {position})",) * 2
+
+
+_WIDE = {c: _wide_value(c, n) for n, c in enumerate(tables.CENTROID_COLUMNS)}
+_NATIONS = """SELECT n_nationkey, n_name, r_name, count(*) AS n, round(sum(s_acctbal),2) AS balance
+FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY n_nationkey, n_name, r_name"""
+
+
+@query("src_wide_dimension", f"""SELECT {", ".join(f'{sql} AS "{c}"' for c, (_, sql) in _WIDE.items())} FROM ({_NATIONS})""")
 def wide_dimension(spark, sf):
+    """All 68 columns, with commas and missing values in the text."""
     per_nation = (
         table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .groupBy("n_nationkey", "n_name", "r_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
     )
-    known = {
-        "FID": F.concat(F.lit("F"), F.col("n_nationkey").cast("string")), "name": F.col("n_name"), "continent": F.col("r_name"),
-        "scalerank": F.col("n_nationkey"), "pop_est": F.col("n"), "gdp_md_est": F.col("balance"),
-        "Longitude": F.lit(110) + F.col("n_nationkey"), "Latitude": F.lit(-40) + F.col("n_nationkey"),
-    }
-    wide = per_nation.select(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in tables.CENTROID_COLUMNS])
-    return tables.country_centroids(spark, write_csv(spark, wide, "centroids")).select(*known)
+    wide = per_nation.select(*[F.expr(own).alias(c) for c, (own, _) in _WIDE.items()])
+    return tables.country_centroids(spark, write_csv(spark, wide, "centroids"))
 
 
 @query("src_ws_bbox", f"""WITH {STN} SELECT s_name AS country, min(longitude) AS longmin, min(latitude) AS latmin, max(longitude)+5 AS longmax, max(latitude)+5 AS latmax
@@ -213,18 +252,47 @@ def ws_bbox(spark, sf):
     return tables.whitespace_boxes(spark, write_lines(spark, top.unionByName(data), "boxes"))
 
 
-@query("src_validate_file", """SELECT CAST(d.doc_id AS VARCHAR) AS station, CASE WHEN l.doc_id IS NULL THEN 'Data Missing' WHEN quality=0 THEN 'Read Error' WHEN toxic=1 THEN 'No Data' ELSE 'Good' END AS status,
- CASE WHEN l.doc_id IS NOT NULL AND quality=0 THEN 'BadZipFile' ELSE '' END AS error, CASE WHEN quality=1 AND toxic=0 THEN 1 ELSE 0 END::BIGINT AS rows FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id""")
+# By the last digit of a station: no archive, no zip at all, a damaged stream, a wrong checksum, no data; else good.
+_FAULTS = {0: ("Data Missing", ""), 1: ("Read Error", "BadZipFile"), 2: ("Read Error", "error"), 3: ("Read Error", "BadZipFile"), 4: ("No Data", "")}
+
+
+def _case(field: int, digit: str) -> str:
+    whens = " ".join(f"WHEN {k} THEN '{v[field]}'" for k, v in _FAULTS.items())
+    return f"CASE {digit} {whens} ELSE '{'Good' if field == 0 else ''}' END"
+
+
+def damaged_archives(stations_of: DataFrame, product: archives.Product) -> DataFrame:
+    """An archive per station (with ``lines``), broken as its last digit says."""
+    digit = F.substring("station", -1, 1)
+    code = product.member.split("_")[0]
+    own = F.transform(F.sequence(F.lit(1), F.col("lines")), lambda n: F.concat(F.lit(f"{code},"), F.col("station"), F.lit(",2000,01,01,"), n.cast("string"), F.lit(".5,1,Y")))
+    rows = stations_of.where(digit != "0").select("station", F.when(digit == "4", "").otherwise(F.array_join(own, "\n")).alias("line"))
+    packed = archives.pack_archives(rows, product)
+    at = F.instr(F.hex("content"), F.hex(F.lit("Data.csv"))) + 16  # the hexadecimal digits after the first member name: its data
+    hexed = F.hex("content")
+
+    def overwritten(start: Column, digits: str) -> Column:
+        return F.unhex(F.overlay(hexed, F.lit(digits), start))
+
+    central = F.instr(hexed, "504B0102")  # the checksum stands 16 bytes into the list of members, and 14 into the member
+    wrong = F.overlay(F.overlay(hexed, F.lit("DEADBEEF"), central + 32), F.lit("DEADBEEF"), F.lit(29))
+    return packed.withColumn("content", F.when(digit == "1", F.encode(F.lit("no zip at all"), "utf-8")).when(digit == "2", overwritten(at, "FF"))
+                             .when(digit == "3", F.unhex(wrong)).otherwise(F.col("content")))
+
+
+@query("src_validate_file", f"""SELECT p.product, CAST(doc_id AS VARCHAR) AS station, {_case(0, "doc_id%10")} AS status, {_case(1, "doc_id%10")} AS error,
+ CASE WHEN doc_id%10 >= 5 THEN CASE WHEN doc_id%50=7 THEN 25000 ELSE 1+doc_id%3 END ELSE 0 END::BIGINT AS rows
+ FROM documents, (VALUES ('rainfall'), ('max_temp'), ('min_temp')) p(product)""")
 def validate_file(spark, sf):
-    """Documents are the station list; labelled ones have an archive, broken, empty or good."""
-    listed = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("station"))
-    labels = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("station"), "quality", "toxic")
-    row = F.concat(F.lit("IDCJAC0009,"), F.col("station"), F.lit(",2000,01,01,1.5,1,Y"))
-    packed = archives.pack_archives(
-        labels.where("quality = 1").select("station", F.when(F.col("toxic") == 0, row).otherwise(F.lit("")).alias("line")), archives.RAINFALL
-    )
-    broken = labels.where("quality = 0").select("station", F.encode(F.lit("no zip at all"), "utf-8").alias("content"))
-    return archives.validate_archives(listed, packed.unionByName(broken), archives.RAINFALL)
+    """Documents are the station list; every product has archives broken in every way, some of them long."""
+    listed = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("station"), "doc_id")
+    lines = F.when(F.col("doc_id") % 50 == 7, 25_000).otherwise(1 + F.col("doc_id") % 3).cast("int")
+    out = None
+    for product in (archives.RAINFALL, archives.MAX_TEMP, archives.MIN_TEMP):
+        found = damaged_archives(listed.withColumn("lines", lines), product)
+        part = archives.validate_archives(listed, found, product).withColumn("product", F.lit(product.name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("snk_memoise", f"""WITH {OBS} SELECT zone, station, year, count(*) AS n, count(value) AS n_present, count(*) FILTER (value=0) AS n_zero, count(*) FILTER (value<>0) AS n_nonzero FROM obs GROUP BY ALL""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.operators import baseline as B
@@ -15,6 +16,7 @@ from obsframe.plans.binding import (
 )
 from obsframe.plans.joins import ANNUAL_READ, annual_readings
 from obsframe.plans.registry import query
+from obsframe.sources import archives
 
 CLEAN = Q.CleanInfo("sample", yearly_n_target=60, yearly_present_target=50, clean_years_target=3)
 TEMP = B.temperature_valuation(baseline_start=BASE_START, baseline_end=BASE_END, minor_period=B.month_period)
@@ -165,9 +167,32 @@ SUMMARY = f"""{OBS}, {YEARLY}, summary AS (SELECT s.zone, s.station, s.longitude
  FROM stations s LEFT JOIN yearly y ON s.zone=y.zone AND s.station=y.station GROUP BY ALL)"""
 
 
-@query("dom_observation_summary", f"""WITH {SUMMARY} SELECT zone, station, status, n_year, min_year, max_year, n, n_present, n_zero, n_nonzero, n_na FROM summary""")
+def listed_twice(spark, sf) -> DataFrame:
+    """The station list with every tenth code a second time, under another name and place."""
+    one = stations(spark, sf)
+    again = one.where(F.col("station").cast("int") % 10 == 3)
+    return one.unionAll(again.withColumns({"name": F.concat("name", F.lit(" (moved)")), "latitude": F.col("latitude") + 1}))
+
+
+# By the last digit of a station: what the validator found in its archive.
+_STATUS = """CASE WHEN CAST(station AS INTEGER)%10=3 THEN 'Duplicate' WHEN CAST(station AS INTEGER)%10=5 THEN 'Data Missing' WHEN CAST(station AS INTEGER)%10=6 THEN 'Read Error'
+ WHEN CAST(station AS INTEGER)%10=7 THEN 'No Data' ELSE status END"""
+
+
+@query("dom_observation_summary", f"""WITH {SUMMARY}, st AS (SELECT * EXCLUDE (status), {_STATUS} AS status FROM summary)
+SELECT zone, station, status, CASE WHEN CAST(station AS INTEGER)%10=6 THEN 'BadZipFile' ELSE '' END AS error, 'value' AS variable, 'mm' AS units,
+ CASE WHEN status='Good' THEN min_year END AS min_year, CASE WHEN status='Good' THEN max_year END AS max_year,
+ {", ".join(f"CASE WHEN status='Good' THEN {c} ELSE 0 END AS {c}" for c in ("n_year", "n", "n_present", "n_zero", "n_nonzero", "n_na"))} FROM st""")
 def observation_summary(spark, sf):
-    return Q.observation_summary(stations(spark, sf), observations(spark, sf), "value")
+    """Every status: the validator reads real archives, of which some are missing, broken or empty."""
+    listed, digit = listed_twice(spark, sf), F.substring("station", -1, 1)
+    row = F.concat(F.lit("IDCJAC0009,"), F.col("station"), F.lit(",2000,01,01,1.5,1,Y"))
+    lines = listed.select("station").distinct().where(~digit.isin("5")).select("station", F.when(digit == "7", "").otherwise(row).alias("line"))
+    packed = archives.pack_archives(lines, archives.RAINFALL)
+    packed = packed.withColumn("content", F.when(digit == "6", F.encode(F.lit("no zip"), "utf-8")).otherwise(F.col("content")))
+    validated = archives.validate_archives(listed, packed, archives.RAINFALL)
+    out = Q.observation_summary(listed, observations(spark, sf), "value", validated)
+    return out.withColumns({"variable": F.lit("value"), "units": F.lit("mm")})
 
 
 QUALITY = f"""{SUMMARY}, quality AS (SELECT *, round(n/nullif(n_year*365,0)::DOUBLE*100,6) AS n_pct, round(n_na/nullif(n,0)::DOUBLE*100,6) AS na_pct,
@@ -211,9 +236,9 @@ def clean_info(spark, sf):
 
 CLEANED = f"""{OBS}, {YEARLY}, cy AS (SELECT *, n > 60 AND n_present > 50 AS year_clean FROM yearly),
 ps AS (SELECT zone, station, count(*) AS n_year, count(*) FILTER (year_clean) AS clean_years, min(year) AS min_year, max(year) AS max_year, sum(n_nonzero) AS nz FROM cy GROUP BY ALL),
-cs AS (SELECT s.*, n_year IS NOT NULL AS data_available, n_year IS NOT NULL AND longitude BETWEEN 112 AND 155 AS longitude_target_met,
- n_year IS NOT NULL AND latitude BETWEEN -44 AND -10 AS latitude_target_met, coalesce(nz > 0, false) AS is_present_target_met, n_year, clean_years, min_year, max_year,
- coalesce(n_year IS NOT NULL AND longitude BETWEEN 112 AND 155 AND latitude BETWEEN -44 AND -10 AND nz > 0 AND clean_years > 3, false) AS clean
+cs AS (SELECT s.*, n_year IS NOT NULL AND CAST(s.station AS INTEGER)%10<>3 AS data_available, n_year IS NOT NULL AND CAST(s.station AS INTEGER)%10<>3 AND longitude BETWEEN 112 AND 155 AS longitude_target_met,
+ n_year IS NOT NULL AND CAST(s.station AS INTEGER)%10<>3 AND latitude BETWEEN -44 AND -10 AS latitude_target_met, coalesce(nz > 0, false) AS is_present_target_met, n_year, clean_years, min_year, max_year,
+ coalesce(n_year IS NOT NULL AND CAST(s.station AS INTEGER)%10<>3 AND longitude BETWEEN 112 AND 155 AND latitude BETWEEN -44 AND -10 AND nz > 0 AND clean_years > 3, false) AS clean
  FROM stations s LEFT JOIN ps USING (zone, station)),
 clean_sy AS (SELECT cy.zone, cy.station, cy.year FROM cy JOIN cs USING (zone, station) WHERE cs.clean AND year_clean)"""
 
@@ -221,18 +246,18 @@ clean_sy AS (SELECT cy.zone, cy.station, cy.year FROM cy JOIN cs USING (zone, st
 @query("dom_clean_summary", f"""WITH {CLEANED} SELECT * FROM cs""")
 def clean_summary(spark, sf):
     yearly = Q.yearly_counts(observations(spark, sf), "value")
-    return Q.clean_summary(stations(spark, sf), yearly, CLEAN)
+    return Q.clean_summary(listed_twice(spark, sf), yearly, CLEAN)
 
 
 @query("dom_clean_observations", f"""WITH {CLEANED} SELECT o.zone, o.station, o.date, o.value, o.measurement_days, o.source FROM obs o JOIN clean_sy USING (zone, station, year)""")
 def clean_observations(spark, sf):
-    return Q.clean_observations(stations(spark, sf), observations(spark, sf), "value", CLEAN)
+    return Q.clean_observations(listed_twice(spark, sf), observations(spark, sf), "value", CLEAN)
 
 
 @query("dom_baseline_stations", f"""WITH {CLEANED}, b AS (SELECT zone, station, count(*) AS n_years FROM clean_sy WHERE year BETWEEN 1996 AND 1998 GROUP BY ALL)
 SELECT s.*, n_years FROM stations s JOIN b USING (zone, station) WHERE n_years >= 3""")
 def baseline_stations(spark, sf):
-    return Q.baseline_stations(stations(spark, sf), observations(spark, sf), "value", CLEAN, BASE_START, BASE_END)
+    return Q.baseline_stations(listed_twice(spark, sf), observations(spark, sf), "value", CLEAN, BASE_START, BASE_END)
 
 
 @query("dom_baseline_stations_ratio", f"""WITH {OBS}, b AS (SELECT zone, station, count(*) AS n_days FROM obs WHERE value IS NOT NULL AND year BETWEEN 1996 AND 1998 GROUP BY ALL)

@@ -27,28 +27,55 @@ def loess(spark, sf):
     return rounded(stats.loess(daily, [], "x", "price", 0.05, "price_smooth"), "price_smooth", digits=4)
 
 
+def _t_quantile() -> str:
+    """The 97.5 % point of the t distribution in SQL, from its series in the inverse degrees of freedom."""
+    z = 1.959963984540054
+    terms = (
+        (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    return f"({z!r}::DOUBLE" + "".join(f" + {t!r}::DOUBLE/power({{df}},{i + 1})" for i, t in enumerate(terms)) + ")"
+
+
+T_QUANTILE = _t_quantile()
+
+
+@query("st_loess_repeated", f"""WITH d AS (SELECT year(o_orderdate)*12+month(o_orderdate) AS x, o_totalprice/1000 AS y FROM orders),
+p AS (SELECT CAST(x AS DOUBLE) AS x, count(*) AS c, sum(y) AS y FROM d GROUP BY 1), q AS (SELECT greatest(4, CAST(floor(sum(c)*0.3 + 1e-5) AS BIGINT)) AS q FROM p),
+k AS (SELECT a.x AS x0, b.x, b.c, b.y, abs(b.x-a.x) AS d, coalesce(sum(b.c) OVER (PARTITION BY a.x ORDER BY abs(b.x-a.x), b.x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p a, p b),
+n AS (SELECT *, max(d) OVER (PARTITION BY x0) AS h FROM k, q WHERE before < q), w AS (SELECT x0, (x-x0)/h AS u, c, y, power(1-power(d/h,3),3) AS w FROM n),
+s AS (SELECT x0, sum(w*c) s0, sum(w*u*c) s1, sum(w*u*u*c) s2, sum(w*u*u*u*c) s3, sum(w*u*u*u*u*c) s4, sum(w*y) t0, sum(w*u*y) t1, sum(w*u*u*y) t2 FROM w GROUP BY x0)
+SELECT CAST(x0 AS INTEGER) AS x, round((t0*(s2*s4-s3*s3) - s1*(t1*s4-t2*s3) + s2*(t1*s3-t2*s2)) / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2)),4) AS price_smooth FROM s""")
+def loess_repeated(spark, sf):
+    """Every order as a point of its own, many at one month."""
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    prices = table(spark, sf, "orders").select(month.alias("x"), (F.col("o_totalprice") / 1000).alias("price"))
+    return rounded(stats.loess(prices, [], "x", "price", 0.3, "price_smooth"), "price_smooth", digits=4)
+
+
+# The check adds up the t density over 4000 steps for the p value.
 @query("st_lm_simple", """WITH m AS (SELECT l_returnflag, count(*) AS n, regr_slope(l_extendedprice,l_quantity) AS b, regr_intercept(l_extendedprice,l_quantity) AS a,
  regr_r2(l_extendedprice,l_quantity) AS r2, regr_sxx(l_extendedprice,l_quantity) AS sxx, regr_syy(l_extendedprice,l_quantity) AS syy, regr_sxy(l_extendedprice,l_quantity) AS sxy FROM lineitem GROUP BY 1)
-SELECT l_returnflag, n, round(b,4) AS slope, round(a,3) AS intercept, round(r2,8) AS r2, round(sqrt((syy-sxy*sxy/sxx)/(n-2))/sqrt(sxx),5) AS slope_se FROM m""")
+SELECT l_returnflag, n, round(b,4) AS slope, round(a,3) AS intercept, round(r2,8) AS r2, round(se,5) AS slope_se, round(b/se,4) AS t_value,
+ round(1-2*(SELECT sum(power(1+power(abs(b/se)*(i+0.5)/4000,2)/(n-2),-(n-1)/2)) FROM range(4000) t(i))*abs(b/se)/4000*exp(lgamma((n-1)/2)-lgamma((n-2)/2))/sqrt((n-2)*pi()),5) AS p_value, round(b-tq*se,3) AS slope_low, round(b+tq*se,3) AS slope_high
+FROM (SELECT *, sqrt((syy-sxy*sxy/sxx)/(n-2))/sqrt(sxx) AS se, """ + T_QUANTILE.format(df="(n-2)") + """ AS tq FROM m)""")
 def lm_simple(spark, sf):
     fit = stats.linear_fit(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
     return fit.select(
         "l_returnflag", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"),
-        F.round("r2", 8).alias("r2"), F.round("slope_se", 5).alias("slope_se"),
+        F.round("r2", 8).alias("r2"), F.round("slope_se", 5).alias("slope_se"), F.round("t_value", 4).alias("t_value"),
+        F.round("p_value", 5).alias("p_value"), F.round("slope_low", 3).alias("slope_low"), F.round("slope_high", 3).alias("slope_high"),
     )
 
 
 @query("st_lm_trend", f"""WITH {RSERIES}, d AS (SELECT region_id, date, rainfall_l12_median AS y, date_diff('day', DATE '1970-01-01', date) AS x FROM series),
 t AS (SELECT region_id, count(*) AS n, regr_slope(y,x) AS b, regr_intercept(y,x) AS a, regr_avgx(y,x) AS mx, regr_sxx(y,x) AS sxx, regr_syy(y,x) AS syy, regr_sxy(y,x) AS sxy FROM d GROUP BY 1)
-SELECT d.region_id, d.date, round(a+b*x,4) AS fit, round(sqrt((syy-sxy*sxy/sxx)/(n-2))*sqrt(1.0/n+(x-mx)*(x-mx)/sxx),4) AS fit_se FROM d JOIN t USING (region_id)""")
+SELECT region_id, date, round(fit,4) AS fit, round(fit-tq*fit_se,4) AS fit_low, round(fit+tq*fit_se,4) AS fit_high FROM (
+ SELECT d.region_id, d.date, a+b*x AS fit, sqrt((syy-sxy*sxy/sxx)/(n-2))*sqrt(1.0/n+(x-mx)*(x-mx)/sxx) AS fit_se, {T_QUANTILE.format(df="(n-2)")} AS tq FROM d JOIN t USING (region_id))""")
 def lm_trend(spark, sf):
     series = l12_series(spark, sf).withColumn("day", F.unix_date("date"))
     band = stats.trend_band(series, ["region_id"], "day", "rainfall_l12_median")
-    fits = stats.linear_fit(series, ["region_id"], "day", "rainfall_l12_median").select("region_id", "t_factor")
-    return band.join(fits, "region_id").select(
-        "region_id", "date", F.round("fit", 4).alias("fit"),
-        F.round((F.col("fit_high") - F.col("fit")) / F.col("t_factor"), 4).alias("fit_se"),
-    )
+    return band.select("region_id", "date", *[F.round(c, 4).alias(c) for c in ("fit", "fit_low", "fit_high")])
 
 
 @query("st_mars_trend")
@@ -106,10 +133,11 @@ def _per_variable(select: str, source: str, names: list[str]) -> str:
 
 @query("st_distribution", _per_variable(
     """count(*) AS n, count(*) FILTER (@ IS NULL) AS n_na, round(avg(@),6) AS mean, round(stddev_samp(@),6) AS sd, min(@) AS lowest, round(quantile_cont(@,0.25),6) AS first_q,
- round(median(@),6) AS median, round(quantile_cont(@,0.75),6) AS third_q, max(@) AS highest""", "lineitem", ["l_quantity", "l_discount", "l_extendedprice"]))
+ round(median(@),6) AS median, round(quantile_cont(@,0.75),6) AS third_q, max(@) AS highest,
+ round((SELECT avg(power(l2.@-mu,3))/power(sd2,3) FROM lineitem l2, (SELECT avg(@) AS mu, stddev_samp(@) AS sd2 FROM lineitem) GROUP BY sd2),6) AS skew""", "lineitem", ["l_quantity", "l_discount", "l_extendedprice"]))
 def distribution(spark, sf):
     out = stats.variable_distribution(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"])
-    return rounded(out.drop("skew"), "mean", "sd", "first_q", "median", "third_q")
+    return rounded(out, "skew", "mean", "sd", "first_q", "median", "third_q")
 
 
 @query("st_degeneracy", """WITH l AS (SELECT 'c_nationkey' AS variable, CAST(c_nationkey AS DOUBLE) AS v FROM customer UNION ALL SELECT 'c_acctbal', c_acctbal FROM customer),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from obsframe.functions import scalar as S
 
-LINES_PER_BATCH = 20_000
+LINES_PER_BATCH = 20_000  # lines sent on at a time
 
 
 @dataclass(frozen=True)
@@ -53,34 +55,52 @@ def heading(product: Product) -> list[str]:
     return [PRODUCT_CODE, STATION_NUMBER, "Year", "Month", "Day", product.value, product.days, "Quality"]
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
+
+
+def _named(files: DataFrame) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.withColumn("station", F.regexp_extract(name, r"_(\d+)(?:_1800)?\.zip$", 1))
+
+
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
     """(station, content) of every zip below a folder; the code is the digits in the file name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_extract(name, r"_(\d+)(?:_1800)?\.zip$", 1).alias("station"), "content")
+    return _named(_files(spark, path)).select("station", "content")
+
+
+# What a damaged, encrypted or unsupported archive can raise.
+READ_ERRORS = (zipfile.BadZipFile, zlib.error, KeyError, OSError, EOFError, RuntimeError, NotImplementedError, ValueError)
+
+
+def _tested(archive: zipfile.ZipFile, member: str) -> None:
+    """Reads a member to its end, where its checksum is compared, and keeps nothing."""
+    with archive.open(member) as raw:
+        while raw.read(1 << 20):
+            pass
 
 
 def archive_lines(archives: DataFrame, product: Product) -> DataFrame:
     """The text lines of each archive's member, read as a stream and sent on in batches.
 
-    Gives (station, line, error): a broken archive gives one row with its error and no line.
+    Gives (station, line, error). A member is first read through to its checksum, then line by line, so a broken
+    archive of any length gives one row with its error and no line.
     """
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for station, content in zip(pdf["station"], pdf["content"]):
-                held: list[str] = []
+                member = product.member_of(station)
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(product.member_of(station)) as raw:
-                        for line in io.TextIOWrapper(raw, encoding="utf-8", errors="replace"):
-                            held.append(line.rstrip("\r\n"))
-                            if len(held) >= LINES_PER_BATCH:
-                                yield pd.DataFrame({"station": station, "line": held, "error": None})
-                                held = []
-                    if held:
-                        yield pd.DataFrame({"station": station, "line": held, "error": None})
-                except (zipfile.BadZipFile, KeyError, OSError, EOFError) as problem:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    _tested(archive, member)
+                except READ_ERRORS as problem:
                     yield pd.DataFrame({"station": [station], "line": [None], "error": [type(problem).__name__]})
+                    continue
+                with archive, archive.open(member) as raw:
+                    lines = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
+                    while held := [line.rstrip("\r\n") for line in itertools.islice(lines, LINES_PER_BATCH)]:
+                        yield pd.DataFrame({"station": station, "line": held, "error": None})
 
     return archives.select("station", "content").mapInPandas(unzip, "station string, line string, error string")
 
@@ -102,8 +122,11 @@ def load_archives(archives: DataFrame, product: Product, source: str, zone: str
 
 def load_stations(spark: SparkSession, path: str, product: Product, stations: DataFrame, source: str) -> DataFrame:
     """Only the archives of the wanted stations are opened; a station without one is skipped."""
-    wanted = list_archives(spark, path).join(stations.select("station").distinct(), "station", "left_semi")
-    return load_archives(wanted, product, source)
+    files = _named(_files(spark, path)).select("station", "path")
+    wanted = files.join(stations.select("station").distinct(), "station", "left_semi").select("path")
+    # The names alone are read for the choice; the join then drops whole files before their content travels.
+    chosen = _files(spark, path).join(wanted, "path", "left_semi")
+    return load_archives(_named(chosen).select("station", "content"), product, source)
 
 
 def validate_archives(stations: DataFrame, archives: DataFrame, product: Product) -> DataFrame:

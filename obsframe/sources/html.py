@@ -30,22 +30,60 @@ def read_pre_months(spark: SparkSession, path: str, source: str) -> DataFrame:
     return parse_pre_months(pages, "html", [], source)
 
 
+_VALUE = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+# The entities that addresses and link texts need most.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def unescaped(text: Column) -> Column:
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, in either kind of quotes or none."""
+    pattern = rf"(?is)^<[^>]*?\s{name}\s*=\s*{_VALUE}"
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def element(html: Column, block: str) -> Column:
+    """The inside of the element with an id, up to the end tag that belongs to it; empty if there is none."""
+    opening = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*?\sid\s*=\s*(?:\"{block}\"|'{block}'|{block}(?=[\s>]))[^>]*>"
+    name = F.lower(F.regexp_extract(html, opening, 1))
+    rest = F.regexp_extract(html, opening + r"(.*)", 2)
+    # Cut before every tag of that name; the depth after each piece tells where the element ends.
+    tag = F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)"))
+    pieces = F.split(rest, tag)
+    lower = F.transform(pieces, lambda p: F.lower(F.substr(p, F.lit(1), F.length(name) + 2)))
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+
+    def step(acc: Column, i: Column) -> Column:
+        closes = F.startswith(F.element_at(lower, i), F.concat(F.lit("</"), name))
+        opens = ~closes & F.startswith(F.element_at(lower, i), F.concat(F.lit("<"), name))
+        depth = acc["depth"] + F.when(closes, -1).when(opens, 1).otherwise(0)
+        depth = F.when(acc["depth"] <= 0, acc["depth"]).otherwise(depth)
+        return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["text"], F.element_at(pieces, i))).otherwise(acc["text"]).alias("text"))
+
+    inside = F.aggregate(F.sequence(F.lit(1), F.size(pieces)), start, step)["text"]
+    return F.when(name != "", inside).otherwise(F.lit(""))
+
+
 def links(html: Column) -> Column:
     """All anchors with an address, as an array of (href, text); tags inside the text go."""
-    anchors = F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>)"), F.lit(1))
+    anchors = F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
+    anchors = F.filter(anchors, lambda a: F.rlike(a, F.lit(r"(?is)^<a\s[^>]*?href\s*=")))
     return F.transform(
         anchors,
         lambda a: F.struct(
-            F.regexp_extract(a, r"(?is)href=\"([^\"]*)\"", 1).alias("href"),
-            F.trim(F.regexp_replace(a, r"(?s)<[^>]*>", "")).alias("text"),
+            unescaped(attribute(a, "href")).alias("href"),
+            F.trim(unescaped(F.regexp_replace(a, r"(?s)<[^>]*>", ""))).alias("text"),
         ),
     )
 
 
 def find_links(pages: DataFrame, html: str, keys: list[str], text: str | None = None, block: str | None = None) -> DataFrame:
-    """The links of each page; only those with the given text, only after the element with the given id."""
-    body = F.col(html)
-    if block is not None:
-        body = F.regexp_extract(html, rf"(?is)id=\"{block}\"(.*)", 1)
+    """The links of each page; only those with the given text, only inside the element with the given id."""
+    body = F.col(html) if block is None else element(F.col(html), block)
     out = pages.select(*keys, F.posexplode(links(body)).alias("pos", "link")).select(*keys, "pos", "link.href", "link.text")
     return out if text is None else out.where(F.col("text") == text)
