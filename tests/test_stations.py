@@ -149,7 +149,7 @@ def test_quality_rules(spark):
     assert status == {"a": ("Good", 30), "b": ("Good", 30), "c": ("Data Missing", 0), "d": ("Duplicate", 0)}
     info = Q.CleanInfo("t", yearly_n_target=9, yearly_present_target=9, clean_years_target=2)
     clean = {r["station"]: r["clean"] for r in Q.clean_summary(stations, Q.yearly_counts(o, "value"), info).collect()}
-    assert clean == {"a": True, "b": False, "c": False, "d": True}
+    assert clean == {"a": True, "b": False, "c": False, "d": False}
     strict = Q.CleanInfo("t", yearly_n_target=9, yearly_present_target=9, clean_years_target=3)
     assert Q.clean_summary(stations, Q.yearly_counts(o, "value"), strict).where("clean").count() == 0
     picked = Q.baseline_stations(stations.where("station = 'a'"), o, "value", info, 2000, 2002).collect()
