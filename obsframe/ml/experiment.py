@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,25 +99,33 @@ def run_all(spark: SparkSession, tasks: Sequence[Task], train: Callable[[Task],
     return results, spark.createDataFrame(rows, schema)
 
 
+def _judge(task: str, y: str, metric: str | None):
+    """Spark's evaluator for a metric: rmse, mae, r2 ... for numbers, accuracy, f1, logLoss ... for classes."""
+    if task == "regression":
+        return RegressionEvaluator(labelCol=y, metricName=metric or "rmse")
+    return MulticlassClassificationEvaluator(labelCol=y, metricName=metric or "accuracy")
+
+
 def tune(
-    df: DataFrame, algorithm: str, xs: Sequence[str], y: str, ids: Sequence[str], grid: Mapping[str, Sequence], k: int = 3, seed: int = 7
+    df: DataFrame, algorithm: str, xs: Sequence[str], y: str, ids: Sequence[str], grid: Mapping[str, Sequence], k: int = 3, seed: int = 7,
+    task: str = "regression", metric: str | None = None, fixed: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """Cross-validated error of every combination of a tuning grid, the best one marked."""
-    pipeline = estimator(algorithm, "regression", xs, y)
+    """The cross-validated metric of every combination of a tuning grid, the best one marked; ``fixed`` parameters hold for all."""
+    pipeline = estimator(algorithm, task, xs, y, **dict(fixed or {}))
     model = pipeline.getStages()[-1]
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(model.getParam(name), list(values))
     maps = builder.build()
-    judge = RegressionEvaluator(labelCol=y, metricName="rmse")
+    judge = _judge(task, y, metric)
     folded = df.withColumn("fold", hash_fold(k, seed, *ids))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=judge, numFolds=k, foldCol="fold", parallelism=4, seed=seed)
-    errors = cv.fit(folded).avgMetrics
-    best = min(range(len(maps)), key=errors.__getitem__)
+    scores = cv.fit(folded).avgMetrics
+    best = (max if judge.isLargerBetter() else min)(range(len(maps)), key=scores.__getitem__)
     rows = [
-        (i + 1, *[float(m[model.getParam(n)]) for n in grid], float(errors[i]), i == best) for i, m in enumerate(maps)
+        (i + 1, *[float(m[model.getParam(n)]) for n in grid], float(scores[i]), i == best) for i, m in enumerate(maps)
     ]
-    schema = ", ".join(["index int", *[f"{n} double" for n in grid], "rmse double", "best boolean"])
+    schema = ", ".join(["index int", *[f"{n} double" for n in grid], f"{judge.getMetricName()} double", "best boolean"])
     return df.sparkSession.createDataFrame(rows, schema)
 
 

@@ -267,21 +267,29 @@ def _classification(spark, sf, algorithm: str, **params) -> DataFrame:
     return rounded(out.withColumn("algorithm", F.lit(algorithm)), "accuracy", "kappa")
 
 
-def _tree_sql(depth: int) -> str:
-    """A regression tree with exact cuts, one level after the other; nodes are numbered 0, 1 2, 3 4 5 6, ..."""
-    out = [f"""n0 AS MATERIALIZED (SELECT *, {_number(P.SEED, *ITEM_HASH)} % 5 <> 0 AS train, 0 AS node FROM lineitem)"""]
+def _tree_sql(start: str, depth: int) -> str:
+    """Regression trees with exact cuts, one per ``grp`` of ``start``, level by level; nodes are numbered 0, 1 2, 3 4 5 6, ..."""
+    out = [f"n0 AS MATERIALIZED ({start})"]
     for k in range(depth):
-        long = " UNION ALL ".join(f"SELECT node, '{x}' AS f, {x} AS x, l_extendedprice AS y FROM n{k} WHERE train" for x in ITEM_X)
+        long = " UNION ALL ".join(f"SELECT grp, node, '{x}' AS f, {x} AS x, l_extendedprice AS y FROM n{k} WHERE train" for x in ITEM_X)
         side = " ".join(f"WHEN '{x}' THEN {x}" for x in ITEM_X)
-        out.append(f"""c{k} AS (SELECT node, f, x, count(*)::DOUBLE AS n, sum(y) AS sy FROM ({long}) GROUP BY ALL),
-u{k} AS (SELECT node, f, x, sum(n) OVER (PARTITION BY node, f ORDER BY x) AS nl, sum(sy) OVER (PARTITION BY node, f ORDER BY x) AS sl, sum(n) OVER (PARTITION BY node, f) AS nt, sum(sy) OVER (PARTITION BY node, f) AS st FROM c{k}),
-b{k} AS MATERIALIZED (SELECT node, arg_max(f, sl*sl/nl+(st-sl)*(st-sl)/(nt-nl)) AS f, arg_max(x, sl*sl/nl+(st-sl)*(st-sl)/(nt-nl)) AS cut FROM u{k} WHERE nt > nl GROUP BY node),
-n{k + 1} AS MATERIALIZED (SELECT n{k}.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN n{k}.node WHEN (CASE b.f {side} END) <= b.cut THEN 2*n{k}.node+1 ELSE 2*n{k}.node+2 END AS node FROM n{k} LEFT JOIN b{k} b ON b.node=n{k}.node)""")
-    return ", ".join(out) + f", leaf AS (SELECT node, avg(l_extendedprice) AS p FROM n{depth} WHERE train GROUP BY node)"
+        out.append(f"""c{k} AS (SELECT grp, node, f, x, count(*)::DOUBLE AS n, sum(y) AS sy FROM ({long}) GROUP BY ALL),
+u{k} AS (SELECT grp, node, f, x, sum(n) OVER u AS nl, sum(sy) OVER u AS sl, sum(n) OVER a AS nt, sum(sy) OVER a AS st FROM c{k}
+ WINDOW u AS (PARTITION BY grp, node, f ORDER BY x), a AS (PARTITION BY grp, node, f)),
+b{k} AS MATERIALIZED (SELECT grp, node, arg_max(f, sl*sl/nl+(st-sl)*(st-sl)/(nt-nl)) AS f, arg_max(x, sl*sl/nl+(st-sl)*(st-sl)/(nt-nl)) AS cut FROM u{k} WHERE nt > nl GROUP BY grp, node),
+n{k + 1} AS MATERIALIZED (SELECT n{k}.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN n{k}.node WHEN (CASE b.f {side} END) <= b.cut THEN 2*n{k}.node+1 ELSE 2*n{k}.node+2 END AS node
+ FROM n{k} LEFT JOIN b{k} b ON b.node=n{k}.node AND b.grp=n{k}.grp)""")
+    return ", ".join(out)
 
 
-_RPART = f"""WITH {_tree_sql(5)}, s AS (SELECT l_extendedprice AS y, p FROM n5 JOIN leaf ON leaf.node=n5.node WHERE NOT train)
-SELECT 'rpart' AS algorithm, count(*) AS n, round(sqrt(avg((y-p)*(y-p))),4) AS rmse, round(power(corr(y,p),2),4) AS r2, round(avg(abs(y-p)),4) AS mae FROM s"""
+def _leaves_sql(level: int) -> str:
+    """Held-out rows with the mean of their leaf when the trees are cut at a level."""
+    return f"""(SELECT n.grp, n.l_extendedprice AS y, t.p FROM n{level} n JOIN (SELECT grp, node, avg(l_extendedprice) AS p FROM n{level} WHERE train GROUP BY grp, node) t
+ ON t.node=n.node AND t.grp=n.grp WHERE NOT n.train)"""
+
+
+_RPART = f"""WITH {_tree_sql(f"SELECT *, {_number(P.SEED, *ITEM_HASH)} % 5 <> 0 AS train, 0 AS grp, 0 AS node FROM lineitem", 5)}
+SELECT 'rpart' AS algorithm, count(*) AS n, round(sqrt(avg((y-p)*(y-p))),4) AS rmse, round(power(corr(y,p),2),4) AS r2, round(avg(abs(y-p)),4) AS mae FROM {_leaves_sql(5)}"""
 
 for _name, _params in {
     "glmnet": {}, "enet": {}, "rlm": {}, "pcr": {}, "rpart": {"maxDepth": 5, "maxBins": 64}, "treebag": {"maxDepth": 5},
@@ -544,9 +552,27 @@ def exp_train_status(spark, sf):
     return status.drop("started", "finished", "seconds")  # the clock cannot be compared
 
 
-@query("exp_tune")
+_TUNED = " UNION ALL ".join(
+    f"SELECT {i + 1} AS index, {d}.0::DOUBLE AS maxDepth, avg(m) AS mae FROM (SELECT grp, avg(abs(y-p)) AS m FROM {_leaves_sql(d)} GROUP BY grp)" for i, d in enumerate((2, 4))
+)
+
+
+@query("exp_tune", f"""WITH {_tree_sql(f"SELECT l.*, {_number(7, *ITEM_HASH)} % 3 <> g.grp AS train, g.grp, 0 AS node FROM lineitem l, (SELECT unnest(range(3)) AS grp) g", 4)}, r AS ({_TUNED})
+SELECT CAST(index AS INTEGER) AS index, maxDepth, round(mae,3) AS mae, mae=(SELECT min(mae) FROM r) AS best FROM r""")
 def exp_tune(spark, sf):
-    return E.tune(items(spark, sf), "rpart", ITEM_X, "l_extendedprice", ITEM_IDS, {"maxDepth": [2, 4]})
+    """The depth of a tree, tuned by a chosen metric."""
+    out = E.tune(items(spark, sf), "rpart", ITEM_X, "l_extendedprice", ITEM_IDS, {"maxDepth": [2, 4]}, metric="mae", fixed={"maxBins": 64})
+    return rounded(out, "mae", digits=3)
+
+
+@query("tun_classes", f"""WITH {DOCS}, f AS (SELECT quality, {_number(7, "doc_id")} % 3 AS fold FROM labelled),
+c AS (SELECT g.grp, (SELECT arg_max(quality, n*10 - quality) FROM (SELECT quality, count(*) AS n FROM f WHERE fold<>g.grp GROUP BY 1)) AS p FROM (SELECT unnest(range(3)) AS grp) g),
+a AS (SELECT fold, avg(CASE WHEN quality=p THEN 1.0 ELSE 0.0 END) AS acc FROM f JOIN c ON c.grp=f.fold GROUP BY fold)
+SELECT CAST(1 AS INTEGER) AS index, 1000000.0::DOUBLE AS regParam, round(avg(acc),6) AS accuracy, true AS best FROM a""")
+def tun_classes(spark, sf):
+    """A class model tuned by accuracy; so strong a penalty leaves the commonest class."""
+    out = E.tune(documents(spark, sf), "plr", DOC_X, "quality", ["doc_id"], {"regParam": [1e6]}, task="classification", metric="accuracy")
+    return rounded(out, "accuracy")
 
 
 @query("exp_importance")
