@@ -20,6 +20,8 @@ gives no rows; extra columns stay, those named as the outputs are replaced.
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 import os
 import re
 import struct
@@ -142,7 +144,7 @@ def backend(model: Model):
 class Units(dict):
     """Numbers of the units met, with their ids one after the other and whether both checks held."""
 
-    ROOM = 200_000  # units kept; when full, those met only once since the last time are forgotten
+    ROOM = 600_000  # units kept; when full, those met only once since the last time are forgotten
 
     def __init__(self, data: bytes, threads: int):
         import sentencepiece
@@ -152,6 +154,7 @@ class Units(dict):
         self.tokenizer = backend(self.model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         plain = not self.model.charsmap and not self.model.trim_spaces
+        self.texts = [t for t, _, _ in self.model.pieces]
         self.lone = self.tokenizer.token_to_id(MARK)
         self.split = plain and unit_borders_hold(self.model)
         self._clear(self.ROOM)
@@ -162,21 +165,30 @@ class Units(dict):
         self.at, self.size, self.met = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.int32)
         self.same, self.back = np.zeros(room, bool), np.zeros(room, bool)
 
-    def _add(self, unit: str, ids: np.ndarray, same: bool, back: bool) -> None:
-        k = self[unit] = len(self)
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.int32)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.at[k], self.size[k], self.same[k], self.back[k] = self.used, len(ids), same, back
-        self.used += len(ids)
+    def _add(self, units: list[str], flat: np.ndarray, size: np.ndarray, same: np.ndarray, back: np.ndarray) -> None:
+        lo, hi = len(self), len(self) + len(units)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(flat)), np.int32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.at[lo:hi] = self.used + np.cumsum(size) - size
+        self.size[lo:hi], self.same[lo:hi], self.back[lo:hi] = size, same, back
+        self.used += len(flat)
+        self.update(zip(units, range(lo, hi)))
 
     def _make_room(self, wanted: int) -> None:
-        often = [(u, self.ids[self.at[k] : self.at[k] + self.size[k]], self.same[k], self.back[k]) for u, k in self.items() if self.met[k] > 1]
+        often = [u for u, k in self.items() if self.met[k] > 1]
         if len(often) + wanted > self.ROOM:
             often = []
+        k = np.fromiter(map(self.__getitem__, often), np.int64, len(often))
+        kept = self._flat(k), self.size[k], self.same[k], self.back[k]
         self._clear(max(self.ROOM, wanted))
-        for unit in often:
-            self._add(*unit)
+        self._add(often, *kept)
+
+    def _flat(self, known: np.ndarray) -> np.ndarray:
+        """The ids of some units, one after the other."""
+        size = self.size[known]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.at[known] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
     def units(self, text: str) -> list[str]:
         """A text as units, each without its first marker (the one the normaliser puts in front)."""
@@ -196,21 +208,22 @@ class Units(dict):
         if not new:
             return
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        right = self.library.encode(new, num_threads=1)
-        again = self.library.decode(ids)
-        for unit, own, other, text in zip(new, ids, right, again):
-            if self.split and not unit:  # a marker by itself: the library adds none to an empty text
-                self._add(unit, [self.lone], True, True)
-            else:
-                self._add(unit, own, own == other, text == unit)
+        same = list(map(operator.eq, ids, self.library.encode(new, num_threads=1)))
+        back = [text == MARK + u.replace(" ", MARK) for u, text in zip(new, map("".join, (map(self.texts.__getitem__, i) for i in ids)))]
+        odd = [k for k, b in enumerate(back) if not b or MARK in new[k]]  # bytes, or a marker that is no space
+        for k, text in zip(odd, self.library.decode([ids[k] for k in odd])):
+            back[k] = text == new[k]
+        if self.split and "" in wanted and "" in new:  # a marker by itself: the library adds none to an empty text
+            k = new.index("")
+            ids[k], same[k], back[k] = [self.lone], True, True
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum()))
+        self._add(new, flat, size, np.array(same), np.array(back))
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, bool, bool]:
         known = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
         self.met[known] += 1
-        size = self.size[known]
-        ends = np.cumsum(size)
-        places = np.repeat(self.at[known] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-        return self.ids[places], bool(self.same[known].all()), bool(self.back[known].all())
+        return self._flat(known), bool(self.same[known].all()), bool(self.back[known].all())
 
 
 @functools.lru_cache(maxsize=2)
