@@ -70,9 +70,9 @@ def one_label_per_id(labels: DataFrame, id_col: str, names: Sequence[str]) -> Da
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, names: Sequence[str], rows_of: Callable[[str], np.ndarray],
-    limit: int, id_col: str = "doc_id", text_col: str = "text",
+    limit: int, id_col: str = "doc_id", text_col: str = "text", counted: bool = True,
 ) -> pd.DataFrame:
-    """At most ``limit`` labelled documents outside the held-out fold: labels, distinct feature rows and counts.
+    """At most ``limit`` labelled documents outside the held-out fold: labels, distinct feature rows and (``counted``) counts.
 
     The ids come first in the order of a hash, so the choice is the same on every run. Only
     the hashed features of the sample reach the driver.
@@ -88,7 +88,8 @@ def labelled_sample(
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bags = [np.unique(rows_of(t), return_counts=True) for t in batch.pop("text")]
-            yield batch.assign(rows=[r.astype(np.int32) for r, _ in bags], counts=[c.astype(np.int32) for _, c in bags])
+            batch = batch.assign(rows=[r.astype(np.int32) for r, _ in bags])
+            yield batch.assign(counts=[c.astype(np.int32) for _, c in bags]) if counted else batch
 
-    sample = joined.mapInPandas(count, f"id long, {kinds}, rows array<int>, counts array<int>").toPandas()
+    sample = joined.mapInPandas(count, f"id long, {kinds}, rows array<int>" + ", counts array<int>" * counted).toPandas()
     return sample.sort_values("id", ignore_index=True, kind="stable").drop_duplicates("id", ignore_index=True)

@@ -30,12 +30,12 @@ from obsframe.llm import features
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 3000  # bound of the sample that reaches the driver
+    train_rows: int = 1500  # bound of the sample that reaches the driver
     bits: int = 16  # the table has 2**bits rows
     dim: int = 10
     epochs: int = 4
     rate: float = 0.6
-    row_rate: float = 40.0  # rows move by this much more: each gets only its share of a mean over many inputs
+    row_rate: float = 40.0  # rows move by this much more: each gets only its share of a mean over many inputs (at most so much)
     threshold: float = 0.3
     least_steps: int = 8000  # a small sample is gone through more often
     seed: int = 7
@@ -75,7 +75,8 @@ def train(sample: pd.DataFrame, cfg: Settings) -> tuple[np.ndarray, float]:
             p = np.exp(z - z.max())
             p /= p.sum()
             p[labels[d]] -= 1
-            step = (cfg.row_rate * rate * (out @ p)).astype(np.float32)
+            faster = min(cfg.row_rate, 1 / float(share @ share))  # a short text moves its few rows no further than its mean
+            step = (faster * rate * (out @ p)).astype(np.float32)
             out -= rate * np.outer(hidden, p)
             bias -= rate * p
             table[rows] -= np.outer(share, step)

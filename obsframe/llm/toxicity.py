@@ -29,7 +29,7 @@ from obsframe.llm.frames import free_names
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 6000  # bound of the sample that reaches the driver
+    train_rows: int = 5000  # bound of the sample that reaches the driver
     bits: int = 18  # words are hashed to 2**bits weights
     folds: int = 3
     epochs: int = 3
@@ -109,7 +109,7 @@ def score_toxicity(
 ) -> DataFrame:
     """``docs`` with ``p_<category>`` for each category, in the order of the chain."""
     bits, names = cfg.bits, list(categories)
-    sample = features.labelled_sample(docs, labels, names, lambda t: word_rows(t, bits), cfg.train_rows, id_col, text_col)
+    sample = features.labelled_sample(docs, labels, names, lambda t: word_rows(t, bits), cfg.train_rows, id_col, text_col, counted=False)
     model = docs.sparkSession.sparkContext.broadcast(fit_chain(sample, names, cfg))  # 2**bits numbers per category
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
