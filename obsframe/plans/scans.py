@@ -203,7 +203,7 @@ WHERE s.zone IN ('ASIA','EUROPE') AND s.longitude BETWEEN 112 AND 155 AND s.lati
 def multi_station(spark, sf):
     """Land the observations once, then read only the wanted zones and stations."""
     path = scratch_path(spark, "observations")
-    sinks.land_observations(observations(spark, sf), path, buckets=16)
+    sinks.land_observations(observations(spark, sf), path)
     wanted = stations(spark, sf).where(F.col("longitude").between(112, 155) & F.col("latitude").between(-44, -10))
     return sinks.read_landed(spark, path, wanted, zones=["ASIA", "EUROPE"]).select(
         *KEYS, "date", "value", "measurement_days", "source"

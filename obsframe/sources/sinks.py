@@ -31,17 +31,16 @@ def rebuild(spark: SparkSession, folder: str, name: str, build: Callable[[], Dat
     return spark.read.parquet(path)
 
 
-def land_observations(observations: DataFrame, path: str, buckets: int = 64) -> None:
+def land_observations(observations: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """One Parquet table, in folders by zone, stations kept together inside each folder.
 
-    Rows are spread by station and month before writing, so a hot station is split over
-    tasks; sorting lets a reader skip row groups by station.
+    Spark balances the tasks by size, with the rows of a station together; a task that grows too large is split,
+    whatever station it holds. Sorting lets a reader skip row groups by station.
     """
-    spread = observations.withColumn("month", F.trunc("date", "month"))
     (
-        spread.repartition(buckets, "zone", "station", "month").drop("month")
+        observations.hint("rebalance", "zone", "station")
         .sortWithinPartitions("zone", "station", "date")
-        .write.mode("overwrite").partitionBy("zone").parquet(path)
+        .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("zone").parquet(path)
     )
 
 
