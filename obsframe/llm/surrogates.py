@@ -4,11 +4,11 @@ Detected entities (patterns below) get a replacement of the same type, derived f
 the entity's canonical form by SHA-256. It keeps the format: digits stay digits, letters stay letters of the same script and
 case, separators stay where they are; card numbers keep a right or wrong check digit, addresses stay addresses, names
 keep title, gender and script. One entity has one surrogate throughout the corpus however it is written, so mentions
-that refer to the same thing still do; a surname has the same surrogate with every first name.
+that refer to the same thing still do; a surname has the same surrogate with every first name, and a first name with every surname.
 
 Two entities of a type never share a surrogate, and none is an entity that occurs: proposals are checked against all entities and all
 surrogates given before, and those that collide are derived anew with the next attempt number. Only distinct entities take part in
-that; texts without an entity are never shuffled.
+that; texts without an entity are never shuffled. Names are made of surrogates that surnames and first names have by themselves.
 
 Defined results: a null text stays null, an empty one empty, both without entities; rows of a repeated id are treated each; an
 empty table gives no rows; extra columns stay, those named as the outputs are replaced. When a type's forms are used up,
@@ -139,21 +139,34 @@ def _word(syllables: list[str], numbers: Column, first: int, n: int) -> Column:
     return F.concat(*[F.element_at(options, F.element_at(numbers, first + j + 1) % len(syllables) + 1) for j in range(n)])
 
 
-def _name(key: str, attempt: int, form: Column) -> Column:
-    """First and last name by themselves; a surname alone depends on itself only. Later attempts lengthen them."""
-    gender, names = F.substring_index(form, " ", 1), F.split(form, " ")
-    surname = F.element_at(names, -1)
-    cyrillic = F.rlike(form, F.lit(r"\p{IsCyrillic}"))
-    numbers = _draw(key, attempt, F.lit("surname"), surname, F.lit(8))
-    n = 2 + min(attempt, 6)
-    last = F.when(cyrillic, _word(CYRILLIC_SYLLABLES, numbers, 0, n)).otherwise(_word(LATIN_SYLLABLES, numbers, 0, n))
-    pick = F.element_at(_draw(key, attempt, F.concat(F.lit("first "), gender), F.element_at(names, 2), F.lit(2)), 1)
+def _cyrillic(word: Column) -> Column:
+    return F.rlike(word, F.lit(r"\p{IsCyrillic}"))
+
+
+def _surname(key: str, attempt: int, form: Column) -> Column:
+    """Syllables of the script; later attempts have more of them."""
+    numbers, n = _draw(key, attempt, F.lit("surname"), form, F.lit(8)), 2 + min(attempt, 6)
+    return F.when(_cyrillic(form), _word(CYRILLIC_SYLLABLES, numbers, 0, n)).otherwise(_word(LATIN_SYLLABLES, numbers, 0, n))
+
+
+def _first_name(key: str, attempt: int, gender: Column, form: Column) -> Column:
+    """A name of the gender and script; after a few attempts it is lengthened by syllables."""
+    numbers, n = _draw(key, attempt, F.concat(F.lit("first "), gender), form, F.lit(8)), min(max(0, attempt - 3), 6)
     first = None
     for (g, script), options in FIRST_NAMES.items():
-        fits = (gender == g) & (cyrillic == F.lit(script == "cyrillic"))
-        value = F.element_at(F.array(*[F.lit(o.lower()) for o in options]), pick % len(options) + 1)
+        fits = (gender == g) & (_cyrillic(form) == F.lit(script == "cyrillic"))
+        value = F.element_at(F.array(*[F.lit(o.lower()) for o in options]), F.element_at(numbers, 1) % len(options) + 1)
+        if n:
+            value = F.concat(value, _word(CYRILLIC_SYLLABLES if script == "cyrillic" else LATIN_SYLLABLES, numbers, 1, n))
         first = F.when(fits, value) if first is None else first.when(fits, value)
-    return F.concat_ws(" ", gender, F.when(F.size(names) > 2, first), last)
+    return first
+
+
+def _name(key: str, attempt: int, form: Column) -> Column:
+    """First and last name by themselves; a surname alone depends on itself only."""
+    gender, names = F.substring_index(form, " ", 1), F.split(form, " ")
+    first = F.when(F.size(names) > 2, _first_name(key, attempt, gender, F.element_at(names, 2)))
+    return F.concat_ws(" ", gender, first, _surname(key, attempt, F.element_at(names, -1)))
 
 
 def propose(key: str, attempt: int) -> Column:
@@ -168,18 +181,20 @@ def propose(key: str, attempt: int) -> Column:
         .when(kind == "phone", _phone(form, numbers))
         .when(kind == "email", _email(form, numbers))
         .when(kind == "name", _name(key, attempt, form))
+        .when(kind == "surname", _surname(key, attempt, form))
+        .when(F.startswith(kind, F.lit("first ")), _first_name(key, attempt, F.substr(kind, F.lit(7)), form))
         .when(kind == "iban", F.concat(F.substr(form, F.lit(1), F.lit(2)), F.substr(_same_classes(form, numbers, F.lit(False)), F.lit(3))))
         .otherwise(_same_classes(form, numbers, hexadecimal))
     )
 
 
-def assign(entities: DataFrame, key: str) -> DataFrame:
-    """``kind``, ``form`` and ``surrogate`` for distinct entities, without collisions."""
+def _assign_each(entities: DataFrame, key: str) -> DataFrame:
+    """Rounds over the entities that have no surrogate yet. A first name may be one that occurs: the surname tells."""
     entities = pin(entities)
     pending, assigned = entities, None
     for attempt in range(MAX_ATTEMPTS):
         proposed = pending.withColumn("surrogate", propose(key, attempt))
-        taken = entities.select("kind", F.col("form").alias("surrogate"))
+        taken = entities.where("kind not like 'first %'").select("kind", F.col("form").alias("surrogate"))
         if assigned is not None:
             taken = taken.unionAll(assigned.select("kind", "surrogate"))
         free = proposed.join(taken, ["kind", "surrogate"], "left_anti")
@@ -191,6 +206,27 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"entities without a free surrogate after {MAX_ATTEMPTS} attempts")
 
 
+def assign(entities: DataFrame, key: str) -> DataFrame:
+    """``kind``, ``form`` and ``surrogate`` for distinct entities, without collisions.
+
+    Names are put together from surrogates of their parts: surnames, and first names of each gender, are entities of their own.
+    """
+    entities = pin(entities)
+    words = F.split("form", " ")
+    names = entities.where("kind = 'name'").select(
+        "form", F.element_at(words, -1).alias("surname"), F.concat(F.lit("first "), F.element_at(words, 1)).alias("first_kind"),
+        F.when(F.size(words) > 2, F.element_at(words, 2)).alias("first"),
+    )
+    surnames = names.select(F.lit("surname").alias("kind"), F.col("surname").alias("form"))
+    firsts = names.where("first is not null").select(F.col("first_kind").alias("kind"), F.col("first").alias("form"))
+    assigned = pin(_assign_each(entities.where("kind <> 'name'").unionAll(surnames.unionAll(firsts).distinct()), key))
+    last = assigned.where("kind = 'surname'").select(F.col("form").alias("surname"), F.col("surrogate").alias("new_last"))
+    first = assigned.where("kind like 'first %'").select(F.col("kind").alias("first_kind"), F.col("form").alias("first"), F.col("surrogate").alias("new_first"))
+    whole = F.concat_ws(" ", F.substring_index("form", " ", 1), "new_first", "new_last")
+    named = names.join(last, "surname").join(first, ["first_kind", "first"], "left").select(F.lit("name").alias("kind"), "form", whole.alias("surrogate"))
+    return assigned.where("kind <> 'surname' and kind not like 'first %'").unionAll(named)
+
+
 def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate written as the mention is: its characters in place of letters and digits, upper case where that was."""
     named = F.concat(F.regexp_extract(mention, rf"^{_TITLE} ", 0), F.initcap(F.substr(surrogate, F.instr(surrogate, " ") + 1)))

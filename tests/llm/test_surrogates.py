@@ -102,3 +102,16 @@ def test_odd_rows_and_clashing_columns(spark):
 @pytest.mark.parametrize("text", ["version 1.2.3 of 2024", "12345678", "a@b", "5 @ home", "Mr. lower", "abcdef0123456789"])
 def test_ordinary_text_stays(spark, text):
     assert replaced(spark, [text]) == [text]
+
+
+def test_many_surnames_keep_one_surrogate_each(spark):
+    """More surnames than two syllables give: each keeps its surrogate alone, with any title and with any first name."""
+    names = ["Name" + chr(97 + n // 26) + chr(97 + n % 26) for n in range(400)]
+    firsts = ["First" + chr(97 + n) for n in range(25)]
+    texts = [f"Dr {n}, Mr {firsts[i % 25]} {n}, Mrs {firsts[i % 7]} {n}" for i, n in enumerate(names)]
+    got = [[m.split()[1:] for m in t.split(", ")] for t in replaced(spark, texts)]
+    last = [{m[-1] for m in mentions} for mentions in got]
+    assert all(len(s) == 1 for s in last) and len(set.union(*last)) == 400 and not set.union(*last) & set(names)
+    for at, n in ((1, 25), (2, 7)):
+        pairs = {(firsts[i % n], mentions[at][0]) for i, mentions in enumerate(got)}
+        assert len(pairs) == n == len({new for _, new in pairs})
