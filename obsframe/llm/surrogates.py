@@ -37,7 +37,7 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?",
 }
 ANY = "|".join(PATTERNS.values())
-MAYBE = rf"[0-9@]|(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}"
+MAYBE = rf"[0-9@]|[a-fA-F]{{32}}|(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z]{{16}}|(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}"
 MAX_ATTEMPTS = 50
 
 FIRST_NAMES = {

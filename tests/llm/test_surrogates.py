@@ -115,3 +115,9 @@ def test_many_surnames_keep_one_surrogate_each(spark):
     for at, n in ((1, 25), (2, 7)):
         pairs = {(firsts[i % n], mentions[at][0]) for i, mentions in enumerate(got)}
         assert len(pairs) == n == len({new for _, new in pairs})
+
+
+def test_secrets_without_digits_are_replaced(spark):
+    secrets = ["AKIA" + "IOSFODNNEXAMPLEQ", "ghp_" + "abcdefghijKLMNOPqrst", "sk-" + "ABCDEFGHIJKLMNOPQ", "abcdefab" * 4, "ABCDEFAB" * 4]
+    out = replaced(spark, [f"the key is {s} here" for s in secrets])
+    assert all(re.fullmatch(r"the key is \S+ here", t) and s not in t for s, t in zip(secrets, out))
