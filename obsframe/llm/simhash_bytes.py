@@ -16,7 +16,7 @@ a component of rows with null ids only has a null id; an empty table gives no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -54,12 +54,12 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, carried: Sequence[Column] = ()) -> DataFrame:
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), F.pandas_udf(compute, "long")(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), F.pandas_udf(compute, "long")(F.col(text_col)).alias("fp"), *carried)
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -87,16 +87,21 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def link_near_duplicates(
     docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    carried: Sequence[Column] = (),
 ) -> DataFrame:
-    """``id``, ``fp`` (the fingerprint as a signed number) and ``component`` (its smallest id) of every row."""
+    """``id``, ``fp`` (the fingerprint as a signed number) and ``component`` (its smallest id) of every row.
+
+    With ``carried`` columns of ``docs`` (named unlike these) also those, and ``root``, a fingerprint that names the component.
+    """
     if not 0 <= max_bits <= 3:
         raise ValueError("the index guarantees links of up to 3 differing bits")
     spark = docs.sparkSession
     path = scratch_path(spark, "fingerprints")
-    with_fingerprints(docs, id_col, text_col, shingle).write.parquet(path)
+    with_fingerprints(docs, id_col, text_col, shingle, carried).write.parquet(path)
     rows = spark.read.parquet(path)
     classes = rows.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(links(classes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.join(rooted.join(smallest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    found = rows.join(rooted.join(smallest, "root").select("fp", "component", "root"), "fp")
+    return found.select("id", "fp", "component", *(["root", *rows.columns[2:]] if carried else []))
