@@ -1,7 +1,7 @@
 """A corpus cleaned in stages, each written as Parquet and read again as the next one's documents.
 
-Low quality goes, repeated lines go, one document of each group of near-duplicates (linked by a Jaccard similarity of 0.8 or more of
-their five-word shingles) stays, documents that hold benchmark items go, and what is left is encoded. All stages but the last return the columns they were given; a stage that
+Low quality goes, repeated lines go, one document of each group of near-duplicates (linked by SimHash fingerprints of three-word
+shingles that differ in at most three bits) stays, documents that hold benchmark items go, and what is left is encoded. All stages but the last return the columns they were given; a stage that
 changes a text sets ``n_chars`` to its length. Columns that bear the name of an operator's output keep their own
 values. A document whose lines all go stays, with an empty text.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import decontaminate, line_runs, pieces, quality, shingle_join
+from obsframe.llm import decontaminate, line_runs, pieces, quality, simhash_bytes
 from obsframe.llm.registry import table
 from obsframe.session import scratch_path
 
@@ -40,8 +40,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_first_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exactly one row of each component: the smallest id's (null last), of its texts the one with the smallest hash, of equal rows one."""
-    linked = shingle_join.link_similar(docs)
-    keys = linked.groupBy("id", "version").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("rows"))
+    linked = simhash_bytes.link_near_duplicates(docs, shingle=3, max_bits=3, carried=[F.xxhash64("text").alias("version")])
+    path = scratch_path(spark, "linked")
+    linked.select("id", "version", "root").write.parquet(path)
+    keys = spark.read.parquet(path).groupBy("id", "version").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("rows"))
     key = F.struct(F.col("id").isNull().alias("unknown"), "id", "version")
     firsts = keys.groupBy("root").agg(F.min(key).alias("first"))
     marked = keys.join(firsts, "root").select("id", "version", "rows", key.eqNullSafe(F.col("first")).alias("stays"))
