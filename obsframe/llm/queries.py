@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import decontaminate, hash_forest, line_runs, pieces, quality, repeats, simhash_bytes, surrogates, toxicity, url_rules
+from obsframe.llm import (
+    decontaminate, hash_forest, line_runs, pair_search, pieces, quality, repeats, simhash_bytes, surrogates, toxicity, url_rules,
+)
 from obsframe.llm.registry import query, table
 
 
@@ -124,3 +126,32 @@ def op5_toxicity_chain(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_surrogates")
 def op3_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return surrogates.replace_entities(table(spark, sf, "documents").select("doc_id", "text"), "corpus key")
+
+
+SEARCH_SQL = r"""
+WITH found AS (
+ SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM found WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM docs),
+measured AS (SELECT doc_id, terms, 75 + (25 * n * docs) // total AS m FROM docs, corpus),
+tfs AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM measured) GROUP BY doc_id, m, term),
+weights AS (
+ SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+ FROM tfs, corpus GROUP BY term),
+asked AS (
+ SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark) GROUP BY item_id, term),
+scores AS (
+ SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+ FROM asked JOIN weights USING (term) JOIN tfs USING (term) GROUP BY item_id, doc_id)
+SELECT * FROM (
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+ FROM scores WHERE score > 0) WHERE rank <= 20"""
+
+
+@query("op11_pair_search", SEARCH_SQL)
+def op11_pair_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = pair_search.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
