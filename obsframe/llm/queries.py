@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsframe.llm import (
-    decontaminate, hash_forest, line_runs, pair_search, pieces, quality, repeats, simhash_bytes, surrogates, toxicity, url_rules,
+    coordinate_join, decontaminate, hash_forest, line_runs, pair_search, pieces, quality, repeats, simhash_bytes, surrogates,
+    toxicity, url_rules,
 )
 from obsframe.llm.registry import query, table
 
@@ -155,3 +156,30 @@ SELECT * FROM (
 def op11_pair_search(spark: SparkSession, sf: str) -> DataFrame:
     found = pair_search.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE split AS (
+ SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+ SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS shingle FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (
+ SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+ GROUP BY a.doc_id, b.doc_id),
+links AS (
+ SELECT a, b FROM met JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+reach(doc_id, other) AS (
+ SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+firsts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT f.doc_id, coalesce(n, 0) AS n_shingles, component_id, f.doc_id = component_id AS kept
+FROM firsts f LEFT JOIN sizes s ON f.doc_id = s.doc_id"""
+
+
+@query("op12_coordinate_join", NEAR_SQL)
+def op12_coordinate_join(spark: SparkSession, sf: str) -> DataFrame:
+    linked = coordinate_join.link_similar(table(spark, sf, "documents"))
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    return linked.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
