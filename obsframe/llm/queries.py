@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsframe.llm import (
     coordinate_join, decontaminate, hash_forest, line_runs, pair_search, pieces, quality, repeats, simhash_bytes, surrogates,
-    toxicity, url_rules,
+    toxicity, turn_grammar, url_rules,
 )
 from obsframe.llm.registry import query, table
 
@@ -183,3 +183,99 @@ def op12_coordinate_join(spark: SparkSession, sf: str) -> DataFrame:
     linked = coordinate_join.link_similar(table(spark, sf, "documents"))
     kept = F.col("id").eqNullSafe(F.col("component"))
     return linked.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut, repeated or given the wrong role by a checksum of their key; nulls are one space there and in the texts."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("damage")).where("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def _plus(way: str, cost: str, edit: str) -> str:
+    """A way, nine digits of cost and then the audit, with one more edit."""
+    return f"(lpad(CAST(CAST(substr({way}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({way}, 10) || '{edit}')"
+
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE bytes AS (SELECT unnest(range(256)) AS b),
+shifted AS (
+ SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM bytes),
+crc AS (SELECT list(v ORDER BY b) AS t FROM shifted),
+keyed AS (
+ SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+marked AS (
+ SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) % 20 AS damage FROM keyed, crc),
+damaged AS (
+ SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+  CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN damage = 3 THEN [1, 2] ELSE [1] END) AS copy FROM marked WHERE damage <> 0),
+numbered AS (
+ SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+  regexp_replace(text, '[ 	-]+$', '') AS core FROM damaged),
+judged AS (
+ SELECT conv_id, turn, role, text, n, role[1] AS initial,
+  CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+   WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM numbered),
+ways AS (
+ SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3 FROM judged
+ UNION ALL
+ SELECT w.conv_id, r.n, {_plus('c0', '4', 'D')},
+  CASE WHEN stays AND initial = 's' THEN least({_plus('c1', '4', 'D')}, {_plus('c0', 'more', 'K')}) ELSE {_plus('c1', '4', 'D')} END,
+  CASE WHEN NOT stays THEN {_plus('c2', '4', 'D')} WHEN initial = 'u' THEN least({_plus('c2', '4', 'D')}, {_plus('before', 'more', 'K')})
+   ELSE least({_plus('c2', '4', 'D')}, {_plus('before', '(3 + more)', 'R')}) END,
+  CASE WHEN NOT stays THEN {_plus('c3', '4', 'D')} WHEN initial = 'a' THEN least({_plus('c3', '4', 'D')}, {_plus('c2', 'more', 'K')})
+   ELSE least({_plus('c3', '4', 'D')}, {_plus('c2', '(3 + more)', 'R')}) END
+ FROM (
+  SELECT conv_id, n, v0 AS c0, v1 AS c1, c2, least(v3, {_plus('c2', '3', 'I')}) AS c3, least(v0, v1, least(v3, {_plus('c2', '3', 'I')})) AS before FROM (
+   SELECT *, least(v2, {_plus('v0', '3', 'I')}, {_plus('v1', '3', 'I')}, {_plus('v3', '3', 'I')}) AS c2 FROM ways)) w
+ JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM judged) r
+  ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = w.n + 1),
+counts AS (
+ SELECT conv_id, count(*) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+  count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM judged GROUP BY conv_id),
+ends AS (
+ SELECT c.*, least(v0, v3, {_plus('least(v2, ' + _plus('v1', '3', 'I') + ')', '3', 'I')}) AS best
+ FROM counts c JOIN ways w ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.n),
+edits AS (
+ SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS edit, generate_subscripts(string_split(substr(best, 10), ''), 1) AS p FROM ends WHERE length(best) > 9),
+placed AS (
+ SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS n,
+  count(*) FILTER (WHERE edit <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS place FROM edits),
+left_over AS (
+ SELECT p.conv_id, p.p, p.place, edit, CASE WHEN edit = 'K' THEN role END AS role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text,
+  bool_or(place = 1 AND edit = 'K' AND initial = 's') OVER (PARTITION BY p.conv_id) AS system
+ FROM placed p LEFT JOIN judged j ON p.conv_id IS NOT DISTINCT FROM j.conv_id AND p.n = j.n WHERE edit <> 'D'),
+texts AS (
+ SELECT conv_id, sha256(string_agg(coalesce(role, CASE WHEN (place - CASE WHEN system THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END)
+  || ':' || text, chr(10) ORDER BY p)) AS digest FROM left_over GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+ coalesce(illegal, 0) AS illegal, CAST(coalesce(substr(best, 1, 9), '0') AS BIGINT) AS cost, coalesce(substr(best, 10), '') AS audit,
+ coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN texts t ON o.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
+@query("op13_turn_grammar", REPAIR_SQL)
+def op13_turn_grammar(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return repaired_conversations(rows.select("conv_id").distinct(), damaged_conversations(rows))
+
+
+def repaired_conversations(original: DataFrame, rows: DataFrame) -> DataFrame:
+    """The report on every original conversation and the digest of its repaired turns."""
+    report, turns = turn_grammar.repair_conversations(rows)
+    digests = turn_grammar.digests(turns).select(F.col("conv").alias("conv_"), "sha256")
+    found = original.join(report, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("conv_")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), digest)
