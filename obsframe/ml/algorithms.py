@@ -13,8 +13,10 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsframe.operators.mars import fit_hinges
 from obsframe.ml.prepare import SEED
+from obsframe.operators import neighbours
+from obsframe.operators.mars import fit_hinges
+from obsframe.session import pin
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -42,7 +44,7 @@ CLASSIFICATION: dict[str, Callable[..., Estimator]] = {
 
 
 # Algorithms that are not one of Spark's estimators by themselves.
-OWN = {"regression": ("earth", "null", "pcr"), "classification": ("null", "lda", "qda", "oner", "nnet")}
+OWN = {"regression": ("earth", "null", "pcr", "knn"), "classification": ("null", "lda", "qda", "oner", "nnet", "knn")}
 
 
 def check_algorithm(algorithm: str, task: str) -> None:
@@ -87,6 +89,8 @@ def fit(df: DataFrame, algorithm: str, task: str, xs: Sequence[str], y: str, **p
         return discriminant(df, xs, y, quadratic=algorithm == "qda")
     if algorithm == "oner":
         return one_rule(df, xs, y)
+    if algorithm == "knn":
+        return nearest_rows(df, xs, y, task, **params)
     model = estimator(algorithm, task, xs, y, **params).fit(df)
     return lambda d: model.transform(d).drop(*_SCRATCH)
 
@@ -117,6 +121,22 @@ def null_model(df: DataFrame, y: str, task: str) -> Predictor:
     return lambda d: d.withColumn("prediction", F.lit(value))
 
 
+def nearest_rows(df: DataFrame, xs: Sequence[str], y: str, task: str, k: int = 5) -> Predictor:
+    """The mean or the commonest class of the ``k`` nearest training rows; equal predictors are asked for once."""
+    place = F.array(*[F.col(c).cast("double") for c in xs])
+    train = df.dropna(subset=[*xs, y]).select(place.alias("place_"), F.col(y).alias("response_"))
+    refs = pin(train.withColumn("ref_", F.monotonically_increasing_id()))
+
+    def predict(d: DataFrame) -> DataFrame:
+        asked = pin(d.dropna(subset=list(xs)).select(place.alias("place_")).distinct().withColumn("ref_", F.monotonically_increasing_id()))
+        near = neighbours.nearest(asked, refs, "ref_", "place_", k)
+        answer = neighbours.average if task == "regression" else neighbours.vote
+        told = asked.join(answer(near, refs, "ref_", "response_"), F.col("ref_") == F.col("query_id")).select("place_", "prediction")
+        return d.withColumn("place_", place).join(told, "place_", "left").drop("place_")
+
+    return predict
+
+
 def one_rule(df: DataFrame, xs: Sequence[str], y: str) -> Predictor:
     """The one categorical predictor whose majority rule errs least; unseen levels get the commonest class."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in xs], F.col(y).alias("response")).unpivot(

@@ -20,18 +20,24 @@ from pyspark.sql import functions as F
 
 from obsframe.functions.scalar import hash_fold
 from obsframe.ml.algorithms import check_algorithm, estimator, fit
-from obsframe.ml.resample import Scheme, resample_fits, resample_models, summary
+from obsframe.ml.metrics import classification_metrics, regression_metrics
+from obsframe.ml.resample import Scheme, resample_models, score_fits
+from obsframe.ml.together import score_together
 
 
 @dataclass(frozen=True)
 class Task:
-    """A named model: response, predictors, algorithm and the parameters it was crossed with."""
+    """A named model: response, predictors, algorithm and the parameters it was crossed with; ``kind`` is regression or classification."""
 
     name: str
     response: str
     predictors: tuple[str, ...] = ()
     algorithm: str = "lm"
     parameters: Mapping[str, object] = field(default_factory=dict)
+    kind: str = "regression"
+
+
+METRICS = {"regression": ("rmse", "r2", "mae"), "classification": ("accuracy", "kappa")}
 
 
 def cross(task: Task, **alternatives: Sequence) -> list[Task]:
@@ -41,15 +47,16 @@ def cross(task: Task, **alternatives: Sequence) -> list[Task]:
         chosen = dict(zip(alternatives, combo))
         name = "_".join([task.name, *[str(v) for v in combo]])
         predictors = (chosen["predictor"],) if "predictor" in chosen else task.predictors
-        out.append(Task(name, task.response, predictors, chosen.get("algorithm", task.algorithm), {**task.parameters, **chosen}))
+        out.append(Task(name, task.response, predictors, chosen.get("algorithm", task.algorithm), {**task.parameters, **chosen}, task.kind))
     return out
 
 
 def resample_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], scheme: Scheme, **params: Mapping[str, object]) -> DataFrame:
-    """Metrics of every resample of every regression task.
+    """Metrics of every resample of every task: those of numbers, of classes, or both where the tasks are of both kinds.
 
-    Lines and means of one response are fitted together from sums; any other algorithm is fitted once per
-    resample, with the parameters given under its name. An unknown algorithm is an error.
+    Lines and means of one response are fitted together from sums, and so are trees and the models of classes that sums
+    suffice for; any other algorithm is fitted once per resample, with the parameters given under its name. An unknown
+    algorithm is an error.
     """
     names = list(dict.fromkeys(k for t in tasks for k in t.parameters))
     labels = df.sparkSession.createDataFrame(
@@ -57,25 +64,35 @@ def resample_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], sch
         ", ".join(["name string", *[f"{k} string" for k in names]]),
     )
     for t in tasks:
-        check_algorithm(t.algorithm, "regression")
+        check_algorithm(t.algorithm, t.kind)
+    lines = [t for t in tasks if t.kind == "regression" and t.algorithm in ("lm", "null")]
     parts = []
-    for response in dict.fromkeys(t.response for t in tasks):
-        models = {t.name: [] if t.algorithm == "null" else list(t.predictors) for t in tasks if t.response == response and t.algorithm in ("lm", "null")}
-        if models:
-            parts.append(resample_models(df, models, response, ids, scheme).withColumnRenamed("model", "name"))
-    for t in tasks:
-        if t.algorithm not in ("lm", "null"):
-            own = dict(params.get(t.algorithm, {}))
-            per = resample_fits(df, lambda d, t=t, own=own: fit(d, t.algorithm, "regression", t.predictors, t.response, **own), t.predictors, t.response, ids, scheme)
-            parts.append(per.withColumn("name", F.lit(t.name)))
-    return labels.join(reduce(DataFrame.unionByName, parts), "name")
+    for response in dict.fromkeys(t.response for t in lines):
+        models = {t.name: [] if t.algorithm == "null" else list(t.predictors) for t in lines if t.response == response}
+        parts.append(resample_models(df, models, response, ids, scheme).withColumnRenamed("model", "name"))
+    for kind, measure in (("regression", regression_metrics), ("classification", classification_metrics)):
+        scored: dict[str, DataFrame] = {}
+        for t in tasks:
+            if t.kind == kind and t not in lines:
+                own = dict(params.get(t.algorithm, {}))
+                one = score_together(df, t.algorithm, kind, t.predictors, t.response, ids, scheme, **own)
+                if one is None:
+                    one = score_fits(df, lambda d, t=t, own=own: fit(d, t.algorithm, kind, t.predictors, t.response, **own), t.predictors, t.response, ids, scheme)
+                one = one.select(F.lit(t.name).alias("name"), "resample", F.col(t.response).alias("observed"), "prediction")
+                as_type = "double" if kind == "regression" else one.schema["observed"].dataType
+                one = one.withColumns({c: F.col(c).cast(as_type) for c in ("observed", "prediction")})
+                key = str(as_type)  # labels of one type are measured in one pass
+                scored[key] = scored[key].unionByName(one) if key in scored else one
+        parts += [measure(one, "observed", "prediction", ["name", "resample"]) for one in scored.values()]
+    return labels.join(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "name")
 
 
 def query_table(df: DataFrame, tasks: Sequence[Task], ids: Sequence[str], scheme: Scheme, **params: Mapping[str, object]) -> DataFrame:
     """One row per task: its name, its parameters and its mean metrics."""
     per = resample_table(df, tasks, ids, scheme, **params)
-    keys = [c for c in per.columns if c not in ("resample", "n", "rmse", "r2", "mae")]
-    return summary(per, keys)
+    measures = [m for own in METRICS.values() for m in own if m in per.columns]
+    keys = [c for c in per.columns if c not in ("resample", "n", *measures)]
+    return per.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in measures], F.count(F.lit(1)).alias("resamples"))
 
 
 def run_all(spark: SparkSession, tasks: Sequence[Task], train: Callable[[Task], object]) -> tuple[dict[str, object], DataFrame]:

@@ -46,20 +46,22 @@ def poisson_weight(digits: Column) -> Column:
     return weight
 
 
+def _drawn(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """Rows with their hashes, and how often each bootstrap sample draws a row."""
+    # One hash of a row serves eight samples; it is a column of its own so that it is taken once.
+    hashed = df.withColumns({f"hash_{i}": hash_key(scheme.seed + i, *ids) for i in range(math.ceil(scheme.number / 8))})
+    return hashed, [poisson_weight(F.substring(f"hash_{b // 8}", 1 + 4 * (b % 8), 4)) for b in range(scheme.number)]
+
+
 def resamples(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> DataFrame:
     """Adds ``resample`` and ``weight``: rows of weight 0 are held out, the others are drawn."""
     if scheme.method == "none":
         return df.withColumns({"resample": F.lit("Apparent"), "weight": F.lit(1)})
     if scheme.method != "boot":
         raise ValueError(f"{scheme.method} has no drawn rows")
-    # One hash of a row serves eight samples; it is a column of its own so that it is taken once.
-    hashes = {f"hash_{i}": hash_key(scheme.seed + i, *ids) for i in range(math.ceil(scheme.number / 8))}
-    draws = [
-        F.struct(F.lit(f"Resample{b + 1:02d}").alias("resample"), F.substring(f"hash_{b // 8}", 1 + 4 * (b % 8), 4).alias("digits"))
-        for b in range(scheme.number)
-    ]
-    drawn = df.withColumns(hashes).select(*df.columns, F.inline(F.array(*draws)))
-    return drawn.withColumn("weight", poisson_weight(F.col("digits"))).drop("digits")
+    hashed, per = _drawn(df, scheme, ids)
+    draws = [F.struct(F.lit(name).alias("resample"), w.alias("weight")) for name, w in zip(names_of(scheme), per)]
+    return hashed.select(*df.columns, F.inline(F.array(*draws)))
 
 
 def folds(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> DataFrame:
@@ -75,6 +77,39 @@ def folds(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> DataFrame:
     return df.select("*", F.explode(F.array(*names)).alias("resample"))
 
 
+def names_of(scheme: Scheme) -> list[str]:
+    """The resamples of a scheme, in order."""
+    if scheme.method == "none":
+        return ["Apparent"]
+    if scheme.method == "boot":
+        return [f"Resample{b + 1:02d}" for b in range(scheme.number)]
+    if scheme.method not in ("cv", "repeatedcv"):
+        raise ValueError(f"{scheme.method} is no scheme with resamples that are fitted")
+    repeats = scheme.repeats if scheme.method == "repeatedcv" else 1
+    return [f"Fold{f + 1:02d}" + (f".Rep{r + 1}" if repeats > 1 else "") for r in range(repeats) for f in range(scheme.number)]
+
+
+def shares(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """The rows with helper columns, and for each resample a Column: how often a row is trained on, 0 where it is held out."""
+    names = names_of(scheme)
+    if scheme.method == "none":
+        return df, [F.lit(1)]
+    if scheme.method == "boot":
+        wide, per = _drawn(df, scheme, ids)
+        return wide, per
+    repeats = scheme.repeats if scheme.method == "repeatedcv" else 1
+    marked = df.withColumns({f"fold_{r}": hash_fold(scheme.number, scheme.seed + r, *ids) for r in range(repeats)})
+    return marked, [(F.col(f"fold_{i // scheme.number}") != i % scheme.number).cast("int") for i in range(len(names))]
+
+
+def held_out(marked: DataFrame, per: Sequence[Column], scheme: Scheme, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of every row with each ``resample`` (and its ``number``, from 0) that holds it out; without resampling, of all rows."""
+    names = names_of(scheme)
+    pairs = [F.struct(F.lit(name).alias("resample"), F.lit(i).alias("number"), w.alias("weight")) for i, (name, w) in enumerate(zip(names, per))]
+    rows = marked.select(*dict.fromkeys(columns), F.inline(F.array(*pairs)))
+    return (rows if scheme.method == "none" else rows.where("weight = 0")).drop("weight")
+
+
 def moments(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (), weight: Column | None = None) -> dict:
     """Sums of all products of (1, xs, y) per group, as matrices keyed by group."""
     z = [F.lit(1.0), *[F.col(c).cast("double") for c in xs], F.col(y).cast("double")]
@@ -176,35 +211,24 @@ def resample_models(
     return regression_metrics(scored.where("prediction IS NOT NULL"), y, "prediction", ["model", "resample"])
 
 
-def resample_fits(
+def score_fits(
     df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme
 ) -> DataFrame:
-    """Held-out metrics of any algorithm, a row per resample; ``fit`` is run once for each."""
-    data = df.dropna(subset=[*xs, y])
-    if scheme.method in ("cv", "repeatedcv"):
-        marked = folds(data, scheme, ids)
-        repeats = scheme.repeats if scheme.method == "repeatedcv" else 1
-        parts = []
-        for r in range(repeats):
-            for f in range(scheme.number):
-                name = f"Fold{f + 1:02d}" + (f".Rep{r + 1}" if repeats > 1 else "")
-                fold = hash_fold(scheme.number, scheme.seed + r, *ids)
-                parts.append((data.where(fold != f), marked.where(F.col("resample") == name)))
-    elif scheme.method in ("none", "boot"):
-        drawn = resamples(data, scheme, ids)
-        names = ["Apparent"] if scheme.method == "none" else [f"Resample{b + 1:02d}" for b in range(scheme.number)]
-        parts = []
-        for name in names:
-            own = drawn.where(F.col("resample") == name)
-            rows = own.where("weight > 0").select(*df.columns, F.explode(F.sequence(F.lit(1), "weight")).alias("copy")).drop("copy")
-            parts.append((rows, own if scheme.method == "none" else own.where("weight = 0")))
-    else:
-        raise ValueError(f"{scheme.method} needs a closed form, which only linear models have")
+    """``resample``, the response and ``prediction`` of the held-out rows of any algorithm; ``fit`` is run once for each resample.
+
+    Leaving out one row at a time needs a closed form, which only linear models have.
+    """
+    marked, per = shares(df.dropna(subset=[*xs, y]), scheme, ids)
     scored = None
-    for train, held in parts:
-        part = fit(train)(held).select("resample", y, F.col("prediction").cast("double").alias("prediction"))
+    for name, weight in zip(names_of(scheme), per):
+        train = marked.where(weight > 0)
+        if scheme.method == "boot":
+            train = train.select(*df.columns, F.explode(F.array_repeat(F.lit(1), weight)).alias("copy_")).drop("copy_")
+        held = marked if scheme.method == "none" else marked.where(weight == 0)
+        held = held.select(*df.columns, F.lit(name).alias("resample"))
+        part = fit(train.select(*df.columns))(held).select("resample", y, "prediction")
         scored = part if scored is None else scored.unionByName(part)
-    return regression_metrics(scored, y, "prediction", ["resample"])
+    return scored
 
 
 def resample_linear(df: DataFrame, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme, ridge: float = 0.0) -> DataFrame:
@@ -225,9 +249,3 @@ def _leave_one_out(df: DataFrame, xs: list[str], y: str) -> DataFrame:
     error = (F.col(y) - line(solve(m), xs)) / (1 - leverage)
     scored = df.withColumns({"resample": F.lit("LeaveOneOut"), "prediction": F.col(y) - error})
     return regression_metrics(scored, y, "prediction", ["resample"])
-
-
-def summary(per_resample: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return per_resample.groupBy(*by).agg(
-        F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("resamples")
-    )
