@@ -92,12 +92,14 @@ def bounds_of(most: list[int], joint: list[int]) -> tuple[list[int], list[bool]]
 class Segment:
     """The postings, impacts, maxima and pair lists of a run of documents."""
 
-    PARTS = ("terms", "starts", "docs", "impacts", "maxima", "pair_starts", "pair_docs", "joint")
+    # ``parts`` of the impacts: what they are without the weight of their term, which keeps them small.
+    PARTS = ("terms", "starts", "docs", "parts", "maxima", "pair_starts", "pair_docs", "joint")
 
-    def __init__(self, size: int, parts: dict[str, np.ndarray]):
+    def __init__(self, size: int, weights: np.ndarray, parts: dict[str, np.ndarray]):
         self.size = size
         for name in self.PARTS:
             setattr(self, name, parts[name])
+        self.impacts = self.parts * np.repeat(weights[self.terms], np.diff(self.starts))
         self.looked = self.skipped = 0
 
     @staticmethod
@@ -106,12 +108,13 @@ class Segment:
         doc = np.repeat(np.arange(len(held)), [len(h) for h in held])
         term, tf = np.concatenate(held).astype(np.int64), np.concatenate(counts).astype(np.int64)
         m = np.array([100 - cfg.slope + cfg.slope * length * n // total for length in lengths.tolist()], np.int64)
-        impact = queries.weights[term] * (SCALE * tf // (1000 * tf + cfg.saturation * m[doc]))
+        part = SCALE * tf // (1000 * tf + cfg.saturation * m[doc])
         order = np.argsort(term, kind="stable")
-        term, doc, impact = term[order], doc[order], impact[order]
+        term, doc, part = term[order], doc[order], part[order]
         terms, starts = np.unique(term, return_index=True)
-        parts = {"terms": terms, "starts": np.append(starts, len(term)), "docs": doc, "impacts": impact, "maxima": np.maximum.reduceat(impact, starts)}
-        segment = Segment(len(held), parts | dict.fromkeys(("pair_starts", "pair_docs", "joint")))
+        parts = {"terms": terms, "starts": np.append(starts, len(term)), "docs": doc, "parts": part}
+        parts["maxima"] = np.maximum.reduceat(part, starts) * queries.weights[terms]
+        segment = Segment(len(held), queries.weights, parts | dict.fromkeys(("pair_starts", "pair_docs", "joint")))
         slots = segment.slots(len(queries.weights))
         both, joint, scratch = [], [], np.zeros(len(held), np.int64)
         for a, times_a, b, times_b in queries.pairs.tolist():
@@ -218,13 +221,14 @@ def _forward(vocabulary: dict[bytes, int]):
 
 _SEGMENT = T.StructType(
     [T.StructField("segment", T.LongType()), T.StructField("bounds", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType()))]
-    + [T.StructField(p, T.ArrayType(T.LongType() if p in ("impacts", "maxima", "joint") else T.IntegerType())) for p in Segment.PARTS]
+    + [T.StructField(p, T.ArrayType(T.LongType() if p in ("maxima", "joint") else T.ShortType() if p in ("docs", "pair_docs") else T.IntegerType())) for p in Segment.PARTS]
 )
 
 
 def _segments(queries, n: int, total: int, cfg: Settings):
     """Rows of the forward index become rows that hold a segment each."""
-    kinds = {f.name: pa.int64() if f.dataType.elementType == T.LongType() else pa.int32() for f in _SEGMENT.fields[1:]}
+    widths = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.ShortType(): pa.int16()}
+    kinds = {f.name: widths[f.dataType.elementType] for f in _SEGMENT.fields[1:]}
 
     def row(number: int, ids: list, lengths: list, held: list, counts: list) -> pa.RecordBatch:
         segment = Segment.build(queries.value, np.array(lengths, np.int64), held, counts, n, total, cfg)
@@ -268,7 +272,7 @@ def _searched(queries, thresholds: list[int], cfg: Settings):
                 ids = batch.column("ids")[i].values
                 known, ids = ~ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(_LAST).to_numpy()
                 parts = {p: batch.column(p)[i].values.to_numpy() for p in Segment.PARTS}
-                segment = Segment(len(ids), parts)
+                segment = Segment(len(ids), queries.value.weights, parts)
                 slots = segment.slots(len(queries.value.weights))
                 for j in wanted:
                     found, scores = segment.search(items[j], slots, best[j].threshold)
@@ -311,7 +315,8 @@ def _search_block(docs: DataFrame, rows: list, id_type: T.DataType, cfg: Setting
     some.mapInArrow(_segments(queries, n, total, cfg), _SEGMENT).write.parquet(path)
     segments = spark.read.parquet(path)
     highest = segments.select("segment", F.posexplode("bounds").alias("item", "bound")).groupBy("item").agg(F.max_by("segment", F.struct("bound", "segment")).alias("segment"))
-    first = segments.join(highest.select("segment").distinct(), "segment", "left_semi").select(segments.columns)
+    # One segment an item at most, so the list is bounded by the block of items; as a filter it reaches the scan.
+    first = segments.where(F.col("segment").isin(sorted({r["segment"] for r in highest.collect()})))
     kind = "item int, id long, score long"
     seeds = _top(first.mapInArrow(_searched(queries, [1] * len(rows), cfg), kind), cfg.k).where(F.col("rank") == cfg.k)
     thresholds = [1] * len(rows)
@@ -331,6 +336,8 @@ def rank_documents(
 
     A set of items larger than ``block_bytes`` takes several passes; the counts that scores depend on are over all documents in each.
     """
+    if not 0 < cfg.segment_docs < 1 << 15:
+        raise ValueError("a segment holds up to 32767 documents")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     asked = items.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
