@@ -530,12 +530,54 @@ def exp_cross(spark, sf):
 
 @query("exp_query", _task_sql("SELECT name, algorithm, predictor, round(avg(rmse),3) AS rmse, round(avg(r2),7) AS r2, round(avg(mae),3) AS mae, count(*) AS resamples FROM r GROUP BY ALL", (("rpart", "l_quantity"),)))
 def exp_query(spark, sf):
-    """Lines, means and a tree of one split; the tree is fitted anew for every fold."""
+    """Lines, means and a tree of one split; the trees of all folds are grown together."""
     tree = E.cross(E.Task("price", "l_extendedprice"), algorithm=["rpart"], predictor=["l_quantity"])
     out = E.query_table(items(spark, sf), [*_tasks(), *tree], ITEM_IDS, S.Scheme("cv"), rpart={"maxDepth": 1, "maxBins": 64})
     return rounded(rounded(out, "rmse", "mae", digits=3), "r2", digits=7)
 
 
+@query("exp_trees", f"""WITH {_tree_sql(f"SELECT l.*, {_number(7, *ITEM_HASH)} % 10 <> g.grp AS train, g.grp, 0 AS node FROM lineitem l, (SELECT unnest(range(10)) AS grp) g", 4)},
+r AS ({" UNION ALL ".join(f"SELECT {d} AS depth, grp, count(*) AS n, sqrt(avg((y-p)*(y-p))) AS rmse, avg(abs(y-p)) AS mae FROM {_leaves_sql(d)} GROUP BY grp" for d in (1, 4))})
+SELECT 'depth_' || depth AS name, printf('Fold%02d', grp + 1) AS resample, n, round(rmse,3) AS rmse, round(mae,3) AS mae FROM r""")
+def exp_trees(spark, sf):
+    """Trees of three predictors, one and four splits deep, the ten folds of a depth grown together."""
+    parts = []
+    for depth in (1, 4):
+        task = E.Task(f"depth_{depth}", "l_extendedprice", tuple(ITEM_X), "rpart")
+        parts.append(E.resample_table(items(spark, sf), [task], ITEM_IDS, S.Scheme("cv"), rpart={"maxDepth": depth, "maxBins": 64}))
+    return rounded(parts[0].unionByName(parts[1]), "rmse", "mae", digits=3).select("name", "resample", "n", "rmse", "mae")
+
+
+_CLASS_FOLDS = f"""f AS (SELECT *, {_number(7, "doc_id")} % 5 AS fold FROM labelled), g AS (SELECT unnest(range(5)) AS grp),
+m AS (SELECT grp, quality AS k, count(*)::DOUBLE AS n, avg(kchars) AS mx, avg(commas) AS my, covar_samp(kchars,kchars) AS sxx, covar_samp(kchars,commas) AS sxy, covar_samp(commas,commas) AS syy,
+ var_pop(kchars) AS vx, var_pop(commas) AS vy FROM f, g WHERE fold<>grp GROUP BY grp, quality),
+o AS (SELECT grp, greatest(var_pop(kchars), var_pop(commas))*1e-9 AS e FROM f, g WHERE fold<>grp GROUP BY grp),
+pl AS (SELECT grp, sum((n-1)*sxx)/(sum(n)-count(*)) AS a, sum((n-1)*sxy)/(sum(n)-count(*)) AS b, sum((n-1)*syy)/(sum(n)-count(*)) AS d, sum(n) AS total FROM m GROUP BY grp),
+sc AS (
+ SELECT 'null' AS algorithm, f.doc_id, grp, quality, k, n AS score FROM f JOIN m ON fold=grp
+ UNION ALL SELECT 'lda', f.doc_id, grp, quality, k, (d*mx-b*my)/(a*d-b*b)*(kchars-mx/2)+(a*my-b*mx)/(a*d-b*b)*(commas-my/2)+ln(n/total) FROM f JOIN m ON fold=grp JOIN pl USING (grp)
+ UNION ALL SELECT 'nb', f.doc_id, grp, quality, k, ln(n/total)-0.5*(ln(vx+e)+ln(vy+e)+power(kchars-mx,2)/(vx+e)+power(commas-my,2)/(vy+e)) FROM f JOIN m ON fold=grp JOIN pl USING (grp) JOIN o USING (grp)),
+ol AS (SELECT grp, v, lv, quality, count(*) AS n FROM (SELECT 'lang' AS v, lang AS lv, quality, fold FROM f UNION ALL SELECT 'source', source, quality, fold FROM f) l, g WHERE fold<>grp GROUP BY ALL),
+rl AS (SELECT *, row_number() OVER (PARTITION BY grp, v, lv ORDER BY n DESC, quality) AS rn FROM ol),
+bv AS (SELECT grp, arg_min(v, (-s, v)) AS v FROM (SELECT grp, v, sum(n) AS s FROM rl WHERE rn=1 GROUP BY grp, v) GROUP BY grp),
+cm AS (SELECT grp, arg_max(k, n*10-k) AS k FROM m GROUP BY grp),
+pr AS (
+ SELECT algorithm, grp, quality AS o, arg_max(k, score) AS p FROM sc GROUP BY algorithm, grp, doc_id, quality
+ UNION ALL SELECT 'oner', bv.grp, f.quality, coalesce(rl.quality, cm.k) FROM f JOIN bv ON bv.grp=fold JOIN cm ON cm.grp=fold
+  LEFT JOIN rl ON rl.grp=fold AND rl.v=bv.v AND rl.rn=1 AND rl.lv = CASE bv.v WHEN 'lang' THEN f.lang ELSE f.source END),
+ce AS (SELECT algorithm, grp, count(*) AS n, avg(CASE WHEN o=p THEN 1.0 ELSE 0.0 END) AS po, (avg(o)*avg(p)+(1-avg(o))*(1-avg(p))) AS pe FROM pr GROUP BY algorithm, grp)"""
+
+
+@query("exp_classes", f"""WITH {DOCS}, {_CLASS_FOLDS}
+SELECT 'quality_' || algorithm AS name, algorithm, printf('Fold%02d', grp + 1) AS resample, n, round(po,6) AS accuracy, round(CASE WHEN pe=1 THEN 0 ELSE (po-pe)/(1-pe) END,6) AS kappa FROM ce""")
+def exp_classes(spark, sf):
+    """Class models of five folds: the commonest class, discriminants, naive Bayes and one rule."""
+    df = documents(spark, sf)
+    tasks = E.cross(E.Task("quality", "quality", tuple(DOC_X), kind="classification"), algorithm=["null", "lda", "nb"])
+    tasks.append(E.Task("quality_oner", "quality", ("lang", "source"), "oner", {"algorithm": "oner"}, "classification"))
+    return rounded(E.resample_table(df, tasks, ["doc_id"], S.Scheme("cv", number=5)), "accuracy", "kappa")
+
+
 @query("exp_resample", _task_sql("SELECT name, algorithm, predictor, resample, n, round(rmse,3) AS rmse, round(r2,7) AS r2, round(mae,3) AS mae FROM r"))
 def exp_resample(spark, sf):
     out = E.resample_table(items(spark, sf), _tasks(), ITEM_IDS, S.Scheme("cv"))
