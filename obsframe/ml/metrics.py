@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.operators import ranking
+from obsframe.session import pin
 
 
 def regression_metrics(df: DataFrame, observed: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
@@ -67,7 +68,7 @@ def two_class_metrics(df: DataFrame, observed: str, score: str, threshold: float
 
 
 def per_class(df: DataFrame, observed: str, predicted: str) -> DataFrame:
-    """Sensitivity, specificity, precision and F1 of every class against the rest."""
+    """Sensitivity, specificity, both predictive values, F1, detection rate and balanced accuracy of every class against the rest."""
     cells = confusion(df, observed, predicted)
     sides = F.array(
         F.struct(F.col("observed").alias("level"), F.lit(1).alias("o"), (F.col("observed") == F.col("predicted")).cast("int").alias("p")),
@@ -85,14 +86,57 @@ def per_class(df: DataFrame, observed: str, predicted: str) -> DataFrame:
     return counts.select(
         "level", F.try_divide(tp, tp + fn).alias("sens"), F.try_divide(total - tp - fn - fp, total - tp - fn).alias("spec"),
         F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        F.try_divide(total - tp - fn - fp, total - tp - fp).alias("npv"), F.try_divide(tp, total).alias("detection"),
+        ((F.try_divide(tp, tp + fn) + F.try_divide(total - tp - fn - fp, total - tp - fn)) / 2).alias("balanced"),
     )
 
 
-def multi_class_metrics(df: DataFrame, observed: str, predicted: str) -> DataFrame:
-    """Unweighted means over the classes, beside accuracy and kappa."""
-    names = ("sens", "spec", "precision", "f1")
-    means = per_class(df, observed, predicted).agg(*[F.avg(c).alias(f"mean_{c}") for c in names], F.lit(0).alias("k"))
-    return classification_metrics(df, observed, predicted).withColumn("k", F.lit(0)).join(means, "k").drop("k")
+def _by_level(df: DataFrame, observed: str, probabilities: Mapping[object, str]) -> DataFrame:
+    """A row per row and class: ``level``, its ``score`` and whether the class was ``event``."""
+    rows = [
+        F.struct(F.lit(v).alias("level"), F.col(c).cast("double").alias("score"), F.col(observed).eqNullSafe(F.lit(v)).cast("int").alias("event"))
+        for v, c in probabilities.items()
+    ]
+    return df.where(F.col(observed).isNotNull()).select(F.inline(F.array(*rows))).where("score IS NOT NULL")
+
+
+def class_curves(df: DataFrame, observed: str, probabilities: Mapping[object, str], direct_limit: int = ranking.DIRECT_LIMIT) -> DataFrame:
+    """``level``, ``events``, ``roc`` and ``pr``: the areas under the exact curves of each class against the rest.
+
+    A curve has a point at every distinct score. Both areas are sums over the scores that have events, of the rows and the
+    events at or above them; these come from running counts over ranges of values, so no class is gathered in one
+    place. The area under precision against recall is that of the trapezoids from the first point on.
+    """
+    long = pin(_by_level(df, observed, probabilities).groupBy("level", "score").agg(F.count(F.lit(1)).alias("rows"), F.sum("event").alias("hits")))
+    every = ranking.weighted_ranks(long, ["level"], "score", "rows", direct_limit)
+    events = ranking.weighted_ranks(long.where("hits > 0"), ["level"], "score", "hits", direct_limit)
+    mine = events.select("level", "score", F.col("n").alias("e"), F.col("below").alias("e_below"), F.col("total").alias("e_total"))
+    both = every.join(mine, ["level", "score"])
+    e, n, p, q = (F.col(c).cast("double") for c in ("e", "n", "e_total", "total"))
+    hit, called = p - F.col("e_below"), q - F.col("below")
+    here, before = hit / called, F.try_divide(hit - e, called - n)
+    return both.groupBy("level").agg(
+        F.max("e_total").alias("events"),
+        F.try_divide(F.sum(e * (F.col("below") + (n + 1) / 2)) - F.max(p * (p + 1) / 2), F.max(p * (q - p))).alias("roc"),
+        F.coalesce(F.sum(e / p * (here + before) / 2), F.lit(0.0)).alias("pr"),
+    )
+
+
+_RATES = ("sens", "spec", "precision", "npv", "f1", "detection", "balanced")
+
+
+def multi_class_metrics(df: DataFrame, observed: str, predicted: str, probabilities: Mapping[object, str] | None = None) -> DataFrame:
+    """Unweighted means over the classes, beside accuracy and kappa.
+
+    With ``probabilities`` (class to column) also the mean areas under the curves of each class against the rest, and the log loss.
+    """
+    means = per_class(df, observed, predicted).agg(*[F.avg(c).alias(f"mean_{c}") for c in _RATES], F.lit(0).alias("k"))
+    out = classification_metrics(df, observed, predicted).withColumn("k", F.lit(0)).join(means, "k")
+    if probabilities:
+        areas = class_curves(df, observed, probabilities).agg(F.avg("roc").alias("auc"), F.avg("pr").alias("pr_auc"), F.lit(0).alias("k"))
+        loss = class_log_loss(df, observed, probabilities).withColumn("k", F.lit(0))
+        out = out.join(areas, "k").join(loss, "k")
+    return out.drop("k")
 
 
 def log_loss(df: DataFrame, observed: str, probability: str) -> DataFrame:
@@ -100,13 +144,24 @@ def log_loss(df: DataFrame, observed: str, probability: str) -> DataFrame:
     return df.agg(F.avg(-F.ln(F.when(F.col(observed) == 1, p).otherwise(1 - p))).alias("log_loss"))
 
 
-def precision_recall(df: DataFrame, observed: str, predicted: str) -> DataFrame:
+def class_log_loss(df: DataFrame, observed: str, probabilities: Mapping[object, str]) -> DataFrame:
+    """The mean negative log of the probability that the observed class was given."""
+    own = F.coalesce(*[F.when(F.col(observed) == F.lit(v), F.col(c).cast("double")) for v, c in probabilities.items()])
+    return df.agg(F.avg(-F.ln(F.least(F.greatest(own, F.lit(1e-15)), F.lit(1 - 1e-15)))).alias("log_loss"))
+
+
+def precision_recall(df: DataFrame, observed: str, predicted: str, probability: str | None = None) -> DataFrame:
+    """Precision, recall and F1 of the event 1; with its ``probability`` also the area under their curve."""
     o, p = F.col(observed) == 1, F.col(predicted) == 1
     hit = F.count_if(o & p).cast("double")
-    return df.agg(
+    out = df.agg(
         F.try_divide(hit, F.count_if(p).cast("double")).alias("precision"), F.try_divide(hit, F.count_if(o).cast("double")).alias("recall"),
-        F.try_divide(2 * hit, (F.count_if(p) + F.count_if(o)).cast("double")).alias("f1"),
+        F.try_divide(2 * hit, (F.count_if(p) + F.count_if(o)).cast("double")).alias("f1"), F.lit(1).alias("level"),
     )
+    if probability is None:
+        return out.drop("level")
+    area = class_curves(df.withColumn(observed, F.col(observed).cast("int")), observed, {1: probability}).select("level", F.col("pr").alias("pr_auc"))
+    return out.join(area, "level", "left").drop("level")
 
 
 def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:

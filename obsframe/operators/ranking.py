@@ -83,19 +83,24 @@ def _levels(distinct: int, direct_limit: int) -> int:
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
     """One row per group and distinct value: ``n``, rows ``below`` it and the group ``total``."""
-    df, by = _keyed(df, keys)
-    levels = _levels(_distinct_in_largest(df, by, value), direct_limit)
-    counts = _counts(df, by, value)
+    counted, by = _keyed(df, keys)
+    return _ranked(_counts(counted, by, value), by, value, _distinct_in_largest(counted, by, value), direct_limit).select(*keys, value, "n", "below", "total")
+
+
+def weighted_ranks(counts: DataFrame, keys: list[str], value: str, weight: str, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+    """``value_ranks`` of rows that are counted already: one row per group and value, which stands for ``weight`` rows."""
+    counted, by = _keyed(counts.where(F.col(value).isNotNull()), keys)
+    counted = counted.select(*by, value, F.col(weight).alias("n"))
+    return _ranked(counted, by, value, _distinct_in_largest(counted, by, value), direct_limit).select(*keys, value, "n", "below", "total")
+
+
+def _ranked(counts: DataFrame, by: list[str], value: str, distinct: int, direct_limit: int) -> DataFrame:
+    levels = _levels(distinct, direct_limit)
     if levels:
-        inside, starts, parts = _ranged_counts(counts, by, value, levels)
-        out = _add_up(inside, starts, parts, by, value)
-    else:
-        group = Window.partitionBy(*by)
-        earlier = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        out = counts.withColumns({
-            "below": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "total": F.sum("n").over(group),
-        })
-    return out.select(*keys, value, "n", "below", "total")
+        return _add_up(*_ranged_counts(counts, by, value, levels), by, value)
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumns({"below": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "total": F.sum("n").over(group)})
 
 
 def _at(value: str, position: Column) -> Column:

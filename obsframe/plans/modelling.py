@@ -12,11 +12,13 @@ from obsframe.ml import experiment as E
 from obsframe.ml import metrics as M
 from obsframe.ml import prepare as P
 from obsframe.ml import resample as S
+from obsframe.ml import together as T
 from obsframe.ml import transforms as X
 from obsframe.operators import neighbours
 from obsframe.plans.binding import READ, readings, table
 from obsframe.plans.stations import rounded
 from obsframe.plans.registry import query
+from obsframe.session import pin
 
 ITEM_IDS = ["l_orderkey", "l_linenumber"]
 ITEM_X = ["l_quantity", "l_discount", "l_tax"]
@@ -454,23 +456,66 @@ def met_two_class(spark, sf):
     return rounded(M.two_class_metrics(scored_documents(spark, sf), "quality", "probability"), "roc", "sens", "spec")
 
 
-@query("met_multi", f"""WITH {SCORED}, k AS (SELECT unnest([0,1]) AS k), t AS (SELECT k, coalesce(sum(n) FILTER (o=k AND p=k),0) AS tp, coalesce(sum(n) FILTER (o=k AND p<>k),0) AS fn, coalesce(sum(n) FILTER (o<>k AND p=k),0) AS fp, sum(n) AS t FROM cells, k GROUP BY k)
-SELECT any_value(acc.n) AS n, round(any_value(po),6) AS accuracy, round(any_value((po-pe)/(1-pe)),6) AS kappa, round(avg(tp/nullif(tp+fn,0)),6) AS mean_sens, round(avg((t-tp-fn-fp)/nullif(t-tp-fn,0)),6) AS mean_spec,
- round(avg(tp/nullif(tp+fp,0)),6) AS mean_precision, round(avg(2*tp/nullif(2*tp+fp+fn,0)),6) AS mean_f1 FROM t, acc""")
+LANGUAGES = ["de", "en", "es", "fr"]
+LANGUAGE_P = {v: f"p_{v}" for v in LANGUAGES}
+
+
+def scored_languages(spark, sf) -> DataFrame:
+    """Every labelled document's language by discriminants of the other folds, with the probability of each language."""
+    df = documents(spark, sf).where(F.col("lang").isin(LANGUAGES))
+    out = T.score_forms(df, "lda", DOC_X, "lang", ["doc_id"], S.Scheme("cv", number=5), probabilities=True)
+    return rounded(out, *LANGUAGE_P.values(), digits=9)
+
+
+# ``long`` has a row per document and language with its probability, ``area`` the areas under both curves of a language against the rest.
+_SPOKEN = f"""f AS (SELECT *, {_number(7, "doc_id")} % 5 AS fold FROM labelled WHERE lang IN ('de','en','es','fr')), g AS (SELECT unnest(range(5)) AS grp),
+m AS (SELECT grp, lang AS k, count(*)::DOUBLE AS n, avg(kchars) AS mx, avg(commas) AS my, covar_samp(kchars,kchars) AS sxx, covar_samp(kchars,commas) AS sxy, covar_samp(commas,commas) AS syy FROM f, g WHERE fold<>grp GROUP BY grp, lang),
+pl AS (SELECT grp, sum((n-1)*sxx)/(sum(n)-count(*)) AS a, sum((n-1)*sxy)/(sum(n)-count(*)) AS b, sum((n-1)*syy)/(sum(n)-count(*)) AS d, sum(n) AS total FROM m GROUP BY grp),
+odds AS (SELECT doc_id, lang, k, (d*mx-b*my)/(a*d-b*b)*(kchars-mx/2)+(a*my-b*mx)/(a*d-b*b)*(commas-my/2)+ln(n/total) AS score FROM f JOIN m ON fold=grp JOIN pl USING (grp)),
+ex AS (SELECT doc_id, lang, k, exp(score - max(score) OVER (PARTITION BY doc_id)) AS z FROM odds),
+long AS (SELECT doc_id, lang, k, round(z/sum(z) OVER (PARTITION BY doc_id),9) AS p, z, CAST(lang=k AS INTEGER) AS event FROM ex),
+told AS (SELECT doc_id, lang AS o, arg_max(k, z) AS p FROM long GROUP BY doc_id, lang),
+pt AS (SELECT k, p, count(*)::DOUBLE AS n, sum(event)::DOUBLE AS e FROM long GROUP BY k, p),
+cu AS (SELECT k, p, n, e, sum(n) OVER w AS called, sum(e) OVER w AS hit, sum(e) OVER (PARTITION BY k) AS ev, sum(n) OVER (PARTITION BY k) AS total FROM pt WINDOW w AS (PARTITION BY k ORDER BY p DESC)),
+area AS (SELECT k, (sum(e*(total-called+(n+1)/2))-any_value(ev*(ev+1)/2))/any_value(ev*(total-ev)) AS roc, sum(CASE WHEN called>n THEN e/ev*(hit/called+(hit-e)/(called-n))/2 ELSE 0 END) AS pr FROM cu GROUP BY k),
+spoken AS (SELECT o, p, count(*)::DOUBLE AS n FROM told GROUP BY ALL), ks AS (SELECT DISTINCT k FROM (SELECT o AS k FROM spoken UNION SELECT p FROM spoken)),
+rates AS (SELECT k, coalesce(sum(n) FILTER (o=k AND p=k),0) AS tp, coalesce(sum(n) FILTER (o=k AND p<>k),0) AS fn, coalesce(sum(n) FILTER (o<>k AND p=k),0) AS fp, sum(n) AS t FROM spoken, ks GROUP BY k),
+told_acc AS (SELECT sum(n) FILTER (o=p)/sum(n) AS po, (SELECT sum(a.s*coalesce(b.s,0)) FROM (SELECT o AS k, sum(n) s FROM spoken GROUP BY o) a LEFT JOIN (SELECT p AS k, sum(n) s FROM spoken GROUP BY p) b USING (k))/power(sum(n),2) AS pe, CAST(sum(n) AS BIGINT) AS n FROM spoken)"""
+SPOKEN = f"{DOCS}, {_SPOKEN}"
+
+
+@query("met_multi", f"""WITH {SPOKEN} SELECT any_value(told_acc.n) AS n, round(any_value(po),6) AS accuracy, round(any_value((po-pe)/(1-pe)),6) AS kappa, round(avg(tp/nullif(tp+fn,0)),6) AS mean_sens, round(avg((t-tp-fn-fp)/nullif(t-tp-fn,0)),6) AS mean_spec,
+ round(avg(tp/nullif(tp+fp,0)),6) AS mean_precision, round(avg((t-tp-fn-fp)/nullif(t-tp-fp,0)),6) AS mean_npv, round(avg(2*tp/nullif(2*tp+fp+fn,0)),6) AS mean_f1, round(avg(tp/t),6) AS mean_detection,
+ round(avg((tp/nullif(tp+fn,0)+(t-tp-fn-fp)/nullif(t-tp-fn,0))/2),6) AS mean_balanced, (SELECT round(avg(roc),6) FROM area) AS auc, (SELECT round(avg(pr),6) FROM area) AS pr_auc,
+ (SELECT round(avg(-ln(least(greatest(p,1e-15),1-1e-15))),6) FROM long WHERE lang=k) AS log_loss FROM rates, told_acc""")
 def met_multi(spark, sf):
-    out = M.multi_class_metrics(scored_documents(spark, sf), "quality", "prediction")
-    return rounded(out, "accuracy", "kappa", "mean_sens", "mean_spec", "mean_precision", "mean_f1")
+    """Means over four languages, their curves and log loss, of probabilities from other folds."""
+    out = M.multi_class_metrics(pin(scored_languages(spark, sf)), "lang", "prediction", LANGUAGE_P)
+    return rounded(out, *[c for c in out.columns if c != "n"])
 
 
-@query("met_logloss", f"""WITH {SCORED} SELECT round(avg(-ln(CASE WHEN quality=1 THEN least(greatest(probability,1e-15),1-1e-15) ELSE 1-least(greatest(probability,1e-15),1-1e-15) END)),6) AS log_loss FROM sc""")
+@query("met_logloss", f"""WITH {SCORED}, {_SPOKEN}
+SELECT 'quality' AS label, round(avg(-ln(CASE WHEN quality=1 THEN least(greatest(probability,1e-15),1-1e-15) ELSE 1-least(greatest(probability,1e-15),1-1e-15) END)),6) AS log_loss FROM sc
+UNION ALL SELECT 'lang', round(avg(-ln(least(greatest(p,1e-15),1-1e-15))),6) FROM long WHERE lang=k""")
 def met_logloss(spark, sf):
-    return rounded(M.log_loss(scored_documents(spark, sf), "quality", "probability"), "log_loss")
+    """Of two classes, and of four."""
+    two = M.log_loss(scored_documents(spark, sf), "quality", "probability").withColumn("label", F.lit("quality"))
+    four = M.class_log_loss(scored_languages(spark, sf), "lang", LANGUAGE_P).withColumn("label", F.lit("lang"))
+    return rounded(two.unionByName(four), "log_loss")
 
 
-@query("met_pr", f"""WITH {SCORED}, c AS (SELECT count(*) FILTER (quality=1 AND prediction=1)::DOUBLE AS tp, count(*) FILTER (prediction=1) AS pp, count(*) FILTER (quality=1) AS op FROM sc)
-SELECT round(tp/pp,6) AS precision, round(tp/op,6) AS recall, round(2*tp/(pp+op),6) AS f1 FROM c""")
+@query("met_pr", f"""WITH {SCORED}, c AS (SELECT count(*) FILTER (quality=1 AND prediction=1)::DOUBLE AS tp, count(*) FILTER (prediction=1) AS pp, count(*) FILTER (quality=1) AS op FROM sc),
+pt AS (SELECT probability AS p, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS e FROM sc GROUP BY 1), cu AS (SELECT n, e, sum(n) OVER w AS called, sum(e) OVER w AS hit, sum(e) OVER () AS ev FROM pt WINDOW w AS (ORDER BY p DESC)),
+area AS (SELECT sum(CASE WHEN called>n THEN e/ev*(hit/called+(hit-e)/(called-n))/2 ELSE 0 END) AS pr FROM cu)
+SELECT round(tp/pp,6) AS precision, round(tp/op,6) AS recall, round(2*tp/(pp+op),6) AS f1, round(pr,6) AS pr_auc FROM c, area""")
 def met_pr(spark, sf):
-    return rounded(M.precision_recall(scored_documents(spark, sf), "quality", "prediction"), "precision", "recall", "f1")
+    return rounded(M.precision_recall(scored_documents(spark, sf), "quality", "prediction", "probability"), "precision", "recall", "f1", "pr_auc")
+
+
+@query("met_curves", f"""WITH {SPOKEN} SELECT k AS level, CAST(any_value(ev) AS BIGINT) AS events, any_value(round(roc,6)) AS roc, any_value(round(pr,6)) AS pr FROM cu JOIN area USING (k) GROUP BY k""")
+def met_curves(spark, sf):
+    """Each language against the rest."""
+    return rounded(M.class_curves(scored_languages(spark, sf), "lang", LANGUAGE_P), "roc", "pr")
 
 
 @query("met_confusion", f"""WITH {SCORED} SELECT lang, quality AS observed, prediction AS predicted, count(*) AS n FROM sc GROUP BY ALL""")
