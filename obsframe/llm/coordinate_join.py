@@ -10,9 +10,10 @@ at most ``held - matches`` of its values may miss, any partner meets it in one o
 these lists are merged; the long ones are skipped and looked up for the pairs that met. Pairs with enough collisions are
 confirmed on their whole sets.
 
-Equal sets are one class from the start. Only components are wanted, so a large group does not form all its pairs: a text is first
-compared with the smallest of its lists' first texts, then with the first text of each list that holds texts of several
-components, then in lists that still do with all texts of other components. A pair that is not compared lies in one component already.
+Equal sets are one class from the start. Only components are wanted, so a large group does not form all its pairs as rows. A text is first
+compared with the smallest of its lists' first texts. Of the lists that then hold texts of several components, the short ones form
+their pairs, whose number is bounded by that of their entries. Texts that share long ones are dealt into blocks of bounded size, a
+task compares two blocks, and gives back only links that join components. A pair that is not compared lies in one component already.
 
 Defined results: words are parted by ASCII white space and lower-cased in ASCII; a text with fewer words than a shingle is one
 shingle of all its words; a null text or one without words has an empty set, a component of its own and is kept; every row of a
@@ -41,6 +42,9 @@ class Settings:
     percent: int = 85
     coordinates: int = 64
     matches: int = 38
+    short: int = 16  # texts of a list that forms its pairs
+    block_texts: int = 512
+    block_shingles: int = 200_000
 
 
 class _WordHashes(dict):
@@ -112,6 +116,60 @@ def _described(cfg: Settings):
     return describe
 
 
+def _block_links(cfg: Settings):
+    """Links between the texts of two blocks, or of one, as few as join all the components that links join."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        # In one order, so that a lost task gives the same links again.
+        table = table.sort_by("node")
+        node, root, n, block = (table[c].to_numpy() for c in ("node", "root", "n", "block"))
+        rows = len(node)
+        sets, held = (table[c].combine_chunks() for c in ("set", "tokens"))
+        owner = np.repeat(np.arange(rows), np.diff(held.offsets.to_numpy()))
+        tokens = held.flatten().to_numpy()
+        mask = (1 << max(1, int(cfg.coordinates - 1).bit_length())) - 1
+        coordinates = np.full((rows, cfg.coordinates), -1, np.int64)
+        known = np.zeros((rows, cfg.coordinates), bool)
+        coordinates[owner, tokens & mask], known[owner, tokens & mask] = tokens, True
+
+        owner = np.repeat(np.arange(rows), np.diff(sets.offsets.to_numpy()))
+        shared, place, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        again = times[place] > 1
+        owner, place = owner[again], number[place[again]]
+        bits = np.zeros((rows, max(1, int(number[-1] + 8) // 8)), np.uint8)
+        np.bitwise_or.at(bits, (owner, place >> 3), (1 << (place & 7)).astype(np.uint8))
+
+        parent = {int(r): int(r) for r in root}
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        low = table["lo"][0].as_py()
+        alone = low == table["hi"][0].as_py()
+        left = np.flatnonzero(block == low)
+        right = left if alone else np.flatnonzero(block != low)
+        links, step = [], max(1, (16 << 20) // bits.shape[1])
+        for i in left.tolist():
+            others = right[right > i] if alone else right
+            others = others[(root[others] != root[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * cfg.percent)]
+            others = others[((coordinates[others] == coordinates[i]) & known[others] & known[i]).sum(axis=1) >= cfg.matches]
+            for start in range(0, len(others), step):
+                some = others[start : start + step]
+                both = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64)
+                for j in some[both * 100 >= (n[some] + n[i] - both) * cfg.percent].tolist():
+                    a, b = find(int(root[i])), find(int(root[j]))
+                    if a != b:
+                        parent[a] = b
+                        links.append((int(node[i]), int(node[j])))
+        ends = [pa.array([pair[k] for pair in links], pa.int64()) for k in (0, 1)]
+        return pa.Table.from_arrays(ends, ["a", "b"])
+
+    return compare
+
+
 def link_similar(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n`` (size of the set) and ``component`` (its smallest id) of every row."""
     spark = docs.sparkSession
@@ -135,46 +193,55 @@ def link_similar(docs: DataFrame, cfg: Settings = Settings(), id_col: str = "doc
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * cfg.percent
 
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        """``node``, ``n`` and ``set`` of the nodes that are wanted."""
+        ends = kept(wanted.select("node").distinct(), f"ends-{name}")
+        sets = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("set"))
+        return kept(sets, f"sets-{name}")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs ``a``, ``b`` that collide often enough and whose sets are similar enough."""
         for side, other in (("a", "b"), ("b", "a")):
             pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("key").alias(f"key_{side}")), side)
         met = kept(pairs.where(F.size(F.array_intersect("key_a", "key_b")) >= cfg.matches).select("a", "b"), f"met-{name}")
-        ends = kept(met.select(F.col("a").alias("node")).unionAll(met.select("b")).distinct(), "ends")
-        sets = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("set"))
-        sets = kept(sets, f"sets-{name}")
+        sets = sets_of(met.select(F.col("a").alias("node")).unionAll(met.select("b")), name)
         for side in ("a", "b"):
             met = met.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}")), side)
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         linked = both * 100 >= (F.col("n_a") + F.col("n_b") - both) * cfg.percent
         return kept(met.where(linked).select("a", "b"), f"near-{name}")
 
-    def starred(lists: DataFrame, first: Column) -> DataFrame:
-        """Each entry with the first text of its list, where the list has others."""
-        firsts = kept(lists.groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "firsts")
-        return lists.join(firsts, "key")
-
-    star = starred(posts, F.struct("node", "n")).where((F.col("node") > F.col("first.node")) & fits(F.col("n"), F.col("first.n")))
+    firsts = posts.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size"))
+    firsts = kept(firsts.where("size > 1").drop("size"), "firsts")
+    star = posts.join(firsts, "key").where((F.col("node") > F.col("first.node")) & fits(F.col("n"), F.col("first.n")))
     star = kept(star.groupBy("node").agg(F.min("first.node").alias("a")).select("a", F.col("node").alias("b")), "star")
     near = confirmed(star, "star")
 
-    def open_lists(near: DataFrame) -> DataFrame:
-        """Entries of the lists that hold texts of several components."""
-        rooted = posts.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = kept(rooted, "rooted")
-        open_keys = kept(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "open")
-        return rooted.join(open_keys, "key", "left_semi")
-
-    hub = starred(open_lists(near), F.struct("root", "node", "n")).where((F.col("root") != F.col("first.root")) & fits(F.col("n"), F.col("first.n")))
-    hub = hub.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
-    hub = kept(hub.join(star, ["a", "b"], "left_anti"), "hub")
-    near = near.unionAll(confirmed(hub, "hub"))
-    left = kept(open_lists(near), "left")
-    right = left.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+    rooted = posts.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = kept(rooted, "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
+    several = kept(several.where("lo < hi").drop("lo", "hi"), "open")
+    left = kept(rooted.join(several, "key"), "left")
+
+    few = left.where(F.col("size") <= cfg.short)
+    right = few.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
     apart = (F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & fits(F.col("n"), F.col("other_n"))
-    last = left.join(right, "key").where(apart).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    last = last.join(star.unionAll(hub), ["a", "b"], "left_anti")
-    roots = components(near.unionAll(confirmed(last, "rest")))
+    pairs = few.join(right, "key").where(apart).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = kept(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    near = near.unionAll(confirmed(pairs, "pairs"))
+
+    many = left.where(F.col("size") > cfg.short)
+    groups = kept(components(many.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), "groups")
+    members = kept(groups.withColumnRenamed("root", "group").join(many.select("node", "n", "root").distinct(), "node"), "members")
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("texts") / cfg.block_texts), F.ceil(F.col("shingles") / cfg.block_shingles)).cast("int")
+    sizes = kept(sizes.select("group", blocks.alias("blocks")), "sizes")
+    placed = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root")
+    placed = placed.join(nodes.withColumnRenamed("key", "tokens"), "node").join(sets_of(members, "blocks").drop("n"), "node")
+    near = near.unionAll(kept(placed.groupBy("group", "lo", "hi").applyInArrow(_block_links(cfg), "a long, b long"), "near-blocks"))
+    roots = components(near)
 
     firsts = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     rooted = kept(firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")

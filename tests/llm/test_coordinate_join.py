@@ -58,6 +58,20 @@ def test_components_match_all_pairs(spark, seed):
     assert found(spark, rows) == want and links > 100
 
 
+@pytest.mark.parametrize("cfg", [Settings(short=1), Settings(short=1, block_texts=7), Settings(short=3, block_shingles=400)])
+def test_blocks_match_all_pairs(spark, cfg):
+    rng = random.Random(5)
+    vocabulary = [f"w{n}" for n in range(60)]
+    base, rows = rng.choices(vocabulary, k=90), []
+    for i in range(130):  # one large group around the bound, with changes that texts share
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    want, links = slow_components(rows + corpus(9)[:90])
+    assert found(spark, rows + corpus(9)[:90], cfg) == want and len({c for *_, c in want}) > 10
+
+
 def test_other_settings(spark):
     rows = corpus(7)
     want, _ = slow_components(rows, 92)
