@@ -7,6 +7,7 @@ under ANSI mode: a value that cannot be read becomes NULL.
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def numbers(values: Iterable[float], kind: str = "double") -> Column:
+    """An array of many numbers as one literal."""
+    return F.split(F.lit(" ".join(repr(v) for v in values)), " ").cast(f"array<{kind}>")
+
+
 def to_double(c: Column | str) -> Column:
     return F.trim(_col(c)).try_cast("double")
 

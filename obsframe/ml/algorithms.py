@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from obsframe.ml.prepare import SEED
 from obsframe.operators import neighbours
+from obsframe.operators.hinge_products import fit_products
 from obsframe.operators.mars import fit_hinges
 from obsframe.session import pin
 
@@ -78,7 +79,7 @@ def fit(df: DataFrame, algorithm: str, task: str, xs: Sequence[str], y: str, **p
     """Train and return a function that adds ``prediction``."""
     check_algorithm(algorithm, task)
     if algorithm == "earth":
-        column = additive_hinges(df, xs, y, **params)
+        column = hinges(df, xs, y, **params)
         return lambda d: d.withColumn("prediction", column)
     if algorithm == "nnet" and "classes" not in params:
         # Labels are numbered from 0.
@@ -95,20 +96,11 @@ def fit(df: DataFrame, algorithm: str, task: str, xs: Sequence[str], y: str, **p
     return lambda d: model.transform(d).drop(*_SCRATCH)
 
 
-def additive_hinges(df: DataFrame, xs: Sequence[str], y: str, cycles: int = 3, **params) -> Column:
-    """A sum of hinge models, one per predictor, by backfitting.
-
-    Each is fitted in turn to what the others leave over, ``cycles`` times round; a single predictor needs one round. A
-    row with a missing predictor is left out of the fits and has no prediction.
-    """
-    data = df.dropna(subset=[*xs, y])
-    parts: dict[str, Column] = {}
-    for _ in range(cycles if len(xs) > 1 else 1):
-        for x in xs:
-            others = sum((c for name, c in parts.items() if name != x), F.lit(0.0))
-            left = data.select(F.col(x), (F.col(y).cast("double") - others).alias("left_over"))
-            parts[x] = fit_hinges(left, x, "left_over", **params).predict()
-    return sum(parts.values(), F.lit(0.0))
+def hinges(df: DataFrame, xs: Sequence[str], y: str, **params) -> Column:
+    """A hinge model of one predictor, or of several with products up to ``degree``; a missing predictor leaves no prediction."""
+    if len(xs) == 1 and params.get("degree", 1) == 1:
+        return fit_hinges(df, xs[0], y, **{k: v for k, v in params.items() if k != "degree"}).predict()
+    return fit_products(df, xs, y, **params).predict()
 
 
 def null_model(df: DataFrame, y: str, task: str) -> Predictor:

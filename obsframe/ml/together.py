@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsframe.functions.scalar import numbers
 from obsframe.ml import trees
 from obsframe.ml.resample import Scheme, folds, held_out, moments, names_of, resamples, shares
 from obsframe.session import pin
@@ -122,7 +123,7 @@ def score_forms(df: DataFrame, algorithm: str, xs: Sequence[str], y: str, ids: S
     held = held.withColumn("z_", F.array(*[z[i] * z[j] for i, j in places]))
     scores = []
     for k in range(len(labels)):
-        own = trees.numbers(table[:, k], "double")
+        own = numbers(table[:, k].ravel().tolist())
         parts = [F.get(own, F.col("number") * len(places) + t) * F.col("z_")[t] for t in range(len(places)) if table[:, k, t].any()]
         scores.append(sum(parts[1:], parts[0]))
     held = held.withColumn("scores_", F.array(*scores)).withColumn("top_", F.array_max("scores_"))

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsframe.functions.scalar import numbers
 from obsframe.operators import ranking
 from obsframe.session import pin
 
@@ -44,7 +45,7 @@ class Trees:
         """Adds ``prediction`` by the tree of each row's ``resample`` (a number from 0)."""
         width = self.value.shape[1]
         x = F.array(*[F.col(c).cast("double") for c in self.xs])
-        feature, cut, value = (numbers(t, k) for t, k in ((self.feature, "int"), (self.cut, "double"), (self.value, "double")))
+        feature, cut, value = (numbers(t.ravel().tolist(), k) for t, k in ((self.feature, "int"), (self.cut, "double"), (self.value, "double")))
         out = df.withColumns({"tree_": (resample * width).cast("int"), "node_": F.lit(0)})
         for _ in range(self.depth):
             out = out.withColumn("feature_", F.get(feature, F.col("tree_") + F.col("node_")))
@@ -56,12 +57,6 @@ class Trees:
         return out.withColumn("prediction", found).drop("tree_", "node_", "feature_")
 
 
-def numbers(values: np.ndarray, kind: str) -> Column:
-    """An array of many numbers as one literal."""
-    text = " ".join(repr(v) for v in np.ravel(values).tolist())
-    return F.split(F.lit(text), " ").cast(f"array<{kind}>")
-
-
 def cut_points(df: DataFrame, xs: Sequence[str], max_bins: int) -> dict[str, list[float]]:
     """Where each predictor may be cut (at or below, above): every distinct value but the last, or exact quantiles of many."""
     out = {}
@@ -81,7 +76,7 @@ def _cells(df: DataFrame, xs: Sequence[str], cuts: dict[str, list[float]], targe
     moved = []
     for i, c in enumerate(xs):
         place = reduce(Column.__add__, [(F.col(c) > k).cast("int") for k in cuts[c]], F.lit(0))
-        moved.append(F.get(numbers(np.array([*cuts[c], np.inf]), "double"), place).alias(f"x{i}"))
+        moved.append(F.get(numbers([*cuts[c], float("inf")]), place).alias(f"x{i}"))
     plain = df.select(*moved, *[w.cast("double").alias(f"w{r}") for r, w in enumerate(weights)], *[t.cast("double").alias(f"t{k}") for k, t in enumerate(targets)])
     sums = [F.sum(f"w{r}").alias(f"n{r}") for r in range(len(weights))]
     sums += [F.sum(F.col(f"w{r}") * F.col(f"t{k}")).alias(f"s{r}_{k}") for r in range(len(weights)) for k in range(len(targets))]
@@ -93,7 +88,7 @@ def _cells(df: DataFrame, xs: Sequence[str], cuts: dict[str, list[float]], targe
 def _splits(cells: DataFrame, trees: dict, level: int, predictors: int, targets: int, cfg: TreeSettings) -> list:
     """The best split of each open node of a level: predictor, cut, gain and the sums on both sides."""
     width = 2 ** (level + 1) - 1
-    feature, cut = (numbers(trees[n][:, :width], k) for n, k in (("feature", "int"), ("cut", "double")))
+    feature, cut = (numbers(trees[n][:, :width].ravel().tolist(), k) for n, k in (("feature", "int"), ("cut", "double")))
     rows = cells.select("x", F.inline("per")).where("n > 0").withColumn("node", F.lit(0))
     for _ in range(level):
         at = F.col("r") * width + F.col("node")

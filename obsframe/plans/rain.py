@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from obsframe.functions.scalar import hash_fold
+from obsframe.ml import lags
+from obsframe.ml.resample import Scheme
 from obsframe.operators import rainfall as R
 from obsframe.operators import regions as G
 from obsframe.operators.spatial import grid_interpolate, location_percentile
@@ -182,6 +184,15 @@ def lag_experiment(spark, sf):
     return rounded(out, "rmse", "mae", digits=5)
 
 
+@query("dom_lag_hinges")
+def lag_hinge_models(spark, sf):
+    """Hinge models and plain means for 25 lags of the index, each under 25 bootstrap samples."""
+    rating = ratings(spark, sf).groupBy("date").agg(F.avg("rainfall_rating").alias("rating"))
+    series = rating.join(monthly_index(spark, sf).select("date", "soi"), "date", "full")
+    out = lags.lag_hinges(series, "rating", "soi", range(25), Scheme("boot", number=25, seed=100))
+    return rounded(out, "rmse", "mae", "terms", digits=5)
+
+
 WIDE = f"""wide AS (SELECT station, CAST(year(date) AS INTEGER) AS year, {", ".join(f"CASE WHEN count(value) FILTER (month(date)={m}) >= 6 THEN CAST(sum(value) FILTER (month(date)={m}) AS VARCHAR) ELSE 'n/a' END AS m{m}" for m in range(1, 13))},
  CASE WHEN count(value) >= 70 THEN CAST(sum(value) AS VARCHAR) ELSE 'n/a' END AS annual FROM readings GROUP BY ALL)"""
 

@@ -6,12 +6,14 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from obsframe.functions.scalar import hash_fold
 from obsframe.operators import mars, stats
 from obsframe.operators.relational import scaled
 from obsframe.plans.binding import OBS, PRICES, daily_prices, table
 from obsframe.plans.stations import loess_sql, rounded
 from obsframe.plans.rain import RSERIES, l12_series
 from obsframe.plans.registry import query
+from obsframe.session import pin
 
 
 @query("st_scale", """WITH s AS (SELECT avg(o_totalprice) AS mu, stddev_samp(o_totalprice) AS sd FROM orders)
@@ -78,13 +80,24 @@ def lm_trend(spark, sf):
     return band.select("region_id", "date", *[F.round(c, 4).alias(c) for c in ("fit", "fit_low", "fit_high")])
 
 
+def daily_trend(spark, sf):
+    """The trend of the mean daily price with the number of terms that predicts best over ten folds, and the error of each number."""
+    daily = pin(daily_prices(spark, sf).select(F.unix_date("date").alias("x"), "price"))
+    return daily, *mars.tune_hinges(daily, "x", "price", hash_fold(10, 7, "x"), max_terms=15)
+
+
 @query("st_mars_trend")
 def mars_trend(spark, sf):
-    daily = daily_prices(spark, sf).select(F.unix_date("date").alias("x"), "price")
-    model = mars.fit_hinges(daily, "x", "price", max_terms=15)
+    daily, model, _ = daily_trend(spark, sf)
     return rounded(daily.withColumn("price_prediction", model.predict()), "price_prediction", digits=4)
 
 
+@query("st_mars_sizes")
+def mars_sizes(spark, sf):
+    _, _, sizes = daily_trend(spark, sf)
+    return rounded(spark.createDataFrame(sizes, "terms int, rmse double, best boolean"), "rmse", digits=4)
+
+
 @query("st_kmeans")
 def kmeans(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
