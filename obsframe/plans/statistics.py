@@ -29,6 +29,25 @@ def loess(spark, sf):
     return rounded(stats.loess(daily, [], "x", "price", 0.05, "price_smooth"), "price_smooth", digits=4)
 
 
+@query("st_loess_vertices", f"""WITH RECURSIVE {PRICES}, d AS (SELECT CAST(CAST(date - DATE '1970-01-01' AS INTEGER) AS DOUBLE) AS x, price AS y FROM prices WHERE price IS NOT NULL),
+p AS (SELECT x, y, row_number() OVER (ORDER BY x) AS n FROM d), nn AS (SELECT count(*) AS n, greatest(4, least(count(*), CAST(floor(count(*)*0.05 + 1e-5) AS BIGINT))) AS q, CAST(floor(count(*)*0.05*0.2) AS BIGINT) AS most FROM p),
+cells AS (SELECT CAST(0 AS BIGINT) AS lo, n AS hi FROM nn UNION ALL SELECT unnest([lo, m]), unnest([m, hi]) FROM (SELECT lo, hi, (lo+1+hi)//2 AS m FROM cells, nn WHERE hi-lo > most)),
+cut AS (SELECT (a.x+b.x)/2 AS v FROM cells, nn, p a, p b WHERE hi-lo > most AND a.n = (lo+1+hi)//2 AND b.n = a.n+1),
+box AS (SELECT min(x) AS lo, max(x) AS hi, 0.005*greatest(max(x)-min(x), 1e-3*greatest(abs(min(x)), abs(max(x)))+1e-30) AS margin FROM p),
+vs AS (SELECT v FROM cut UNION ALL SELECT lo-margin FROM box UNION ALL SELECT hi+margin FROM box),
+c AS (SELECT v, x, y, abs(x-v) AS d, row_number() OVER (PARTITION BY v ORDER BY abs(x-v), x) AS rn FROM vs, p), k AS (SELECT *, max(d) OVER (PARTITION BY v) AS h FROM c, nn WHERE rn <= q),
+w AS (SELECT v, h, (x-v)/h AS u, y, power(1-power(d/h,3),3) AS w FROM k),
+s AS (SELECT v, h, sum(w) s0, sum(w*u) s1, sum(w*u*u) s2, sum(w*u*u*u) s3, sum(w*u*u*u*u) s4, sum(w*y) t0, sum(w*u*y) t1, sum(w*u*u*y) t2 FROM w GROUP BY v, h),
+f AS (SELECT v, (t0*(s2*s4-s3*s3)-s1*(t1*s4-t2*s3)+s2*(t1*s3-t2*s2))/b AS f, (s0*(t1*s4-s3*t2)-t0*(s1*s4-s3*s2)+s2*(s1*t2-t1*s2))/b/h AS g FROM (SELECT *, s0*(s2*s4-s3*s3)-s1*(s1*s4-s2*s3)+s2*(s1*s3-s2*s2) AS b FROM s)),
+e AS (SELECT v, f, g, lead(v) OVER o AS v1, lead(f) OVER o AS f1, lead(g) OVER o AS g1 FROM f WINDOW o AS (ORDER BY v)),
+t AS (SELECT x, (x-v)/(v1-v) AS t, v1-v AS w, f, g, f1, g1 FROM p JOIN e ON x >= v AND x < v1)
+SELECT CAST(x AS INTEGER) AS x, round((2*t*t*t-3*t*t+1)*f+(t*t*t-2*t*t+t)*w*g+(3*t*t-2*t*t*t)*f1+(t*t*t-t*t)*w*g1,4) AS price_smooth FROM t""")
+def loess_at_vertices(spark, sf):
+    """The same trend fitted at the vertices of a cell tree and blended between them."""
+    daily = daily_prices(spark, sf).select(F.unix_date("date").alias("x"), "price")
+    return rounded(stats.loess_vertices(daily, [], "x", "price", 0.05, "price_smooth"), "price_smooth", digits=4)
+
+
 def _t_quantile() -> str:
     """The 97.5 % point of the t distribution in SQL, from its series in the inverse degrees of freedom."""
     z = 1.959963984540054
