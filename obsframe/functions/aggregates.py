@@ -56,5 +56,26 @@ def variable_summary(variable: str, prefix: str | None = None) -> dict[str, Colu
     return {f"{prefix}_{k}" if prefix else k: v for k, v in named.items()}
 
 
+def counted_summary(value: str, rows: str) -> dict[str, Column]:
+    """``variable_summary`` of rows that are counted already: each stands for ``rows`` rows of its ``value``.
+
+    The spread is that of sums of powers, so the values should not lie far from 0 for their spread.
+    """
+    x, n = F.col(value).cast("double"), F.col(rows)
+    weight = F.when(x.isNotNull(), n).otherwise(0)
+    quarters = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), weight)
+    present = F.sum(weight).cast("double")
+    mean = F.try_divide(F.sum(x * n), present)
+    second = F.greatest(F.sum(x * x * n) - mean * F.sum(x * n), F.lit(0.0))
+    third = F.sum(x * x * x * n) - 3 * mean * F.sum(x * x * n) + 2 * mean * mean * F.sum(x * n)
+    sd = F.sqrt(F.try_divide(second, present - 1))
+    return {
+        "n": F.sum(n), "n_na": F.sum(F.when(x.isNull(), n).otherwise(0)), "n_present": F.sum(weight),
+        "n_zero": F.sum(F.when(x == 0, n).otherwise(0)), "n_nonzero": F.sum(F.when(x != 0, n).otherwise(0)),
+        "min": F.min(x), "mean": mean, "median": quarters[1], "max": F.max(x), "first_q": quarters[0], "third_q": quarters[2],
+        "sd": sd, "skew": F.when(sd > 1e-9 * F.max(F.abs(x)), F.try_divide(F.try_divide(third, present), F.pow(sd, F.lit(3)))),
+    }
+
+
 def agg_columns(named: dict[str, Column]) -> list[Column]:
     return [c.alias(k) for k, c in named.items()]

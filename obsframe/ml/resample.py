@@ -105,6 +105,10 @@ def shares(df: DataFrame, scheme: Scheme, ids: Sequence[str]) -> tuple[DataFrame
 def held_out(marked: DataFrame, per: Sequence[Column], scheme: Scheme, columns: Sequence[str]) -> DataFrame:
     """``columns`` of every row with each ``resample`` (and its ``number``, from 0) that holds it out; without resampling, of all rows."""
     names = names_of(scheme)
+    if scheme.method in ("cv", "repeatedcv"):  # a row is held out once a repeat, by its own fold
+        folds_of = [F.col(f"fold_{r}") + r * scheme.number for r in range(len(names) // scheme.number)]
+        rows = marked.select(*dict.fromkeys(columns), F.explode(F.array(*[f.cast("int") for f in folds_of])).alias("number"))
+        return rows.withColumn("resample", F.get(F.array(*[F.lit(n) for n in names]), F.col("number")))
     pairs = [F.struct(F.lit(name).alias("resample"), F.lit(i).alias("number"), w.alias("weight")) for i, (name, w) in enumerate(zip(names, per))]
     rows = marked.select(*dict.fromkeys(columns), F.inline(F.array(*pairs)))
     return (rows if scheme.method == "none" else rows.where("weight = 0")).drop("weight")

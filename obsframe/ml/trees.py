@@ -59,13 +59,16 @@ class Trees:
 
 def cut_points(df: DataFrame, xs: Sequence[str], max_bins: int) -> dict[str, list[float]]:
     """Where each predictor may be cut (at or below, above): every distinct value but the last, or exact quantiles of many."""
+    plain = df.select(*[F.col(x).cast("double").alias(f"v{i}") for i, x in enumerate(xs)])
+    sizes = plain.agg(*[F.approx_count_distinct(c).alias(c) for c in plain.columns]).first()
+    few = [c for c in plain.columns if sizes[c] <= 2 * max_bins]
+    sets = plain.agg(*[F.collect_set(c).alias(c) for c in few]).first() if few else {}
     out = {}
-    for x in xs:
-        values = df.select(F.col(x).cast("double").alias("v")).where("v IS NOT NULL").distinct()
-        some = sorted(r["v"] for r in values.limit(max_bins + 1).collect())
-        if len(some) > max_bins:
+    for x, c in zip(xs, plain.columns):
+        some = sorted(sets[c]) if c in few else None
+        if some is None or len(some) > max_bins:
             probs = {f"q{i}": i / max_bins for i in range(1, max_bins)}
-            row = ranking.quantiles(df.select(F.col(x).cast("double").alias("v")), [], "v", probs).first()
+            row = ranking.quantiles(plain.select(c), [], c, probs).first()
             some = [*sorted({float(row[q]) for q in probs}), float("inf")]
         out[x] = some[:-1]
     return out

@@ -168,26 +168,25 @@ class HingeFit:
                 cross = [np.vstack([c, x]) for c, x in zip(cross, new)]
             current -= gain[j]
 
-    def solve(self, columns: Sequence[int], gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-        return np.linalg.lstsq(gram[np.ix_(columns, columns)], rhs[list(columns)], rcond=1e-10)[0]
-
     def _prune(self) -> list[tuple[list[int], np.ndarray, float]]:
-        """Columns, coefficients and RSS of the best subset of each size that dropping one term at a time gives, largest first."""
-        gram, rhs = self.products(self.m)
+        """Columns, coefficients and RSS of the best subset of each size that dropping one term at a time gives, largest first.
 
-        def fitted(columns: list[int]) -> tuple[np.ndarray, float]:
-            coef = self.solve(columns, gram, rhs)
-            part = gram[np.ix_(columns, columns)]
-            return coef, max(float(self.yy - 2 * coef @ rhs[columns] + coef @ part @ coef), 0.0)
-
-        columns = list(range(len(self.terms) + 1))
-        path = [(columns, *fitted(columns))]
-        while len(columns) > 1:
-            trials = [[c for c in columns if c != d] for d in columns if d]
-            errors = [fitted(t)[1] for t in trials]
-            columns = trials[next(i for i, e in enumerate(errors) if e <= min(errors) + TIE * self.yy)]
-            path.append((columns, *fitted(columns)))
-        return path
+        Dropping a term raises the RSS by the square of its coefficient over its place in the inverse.
+        """
+        gram, rhs = self.products(self.m)
+        scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        gram, rhs = gram / np.outer(scale, scale), rhs / scale
+        columns, path = list(range(len(self.terms) + 1)), []
+        while True:
+            inverse = np.linalg.pinv(gram[np.ix_(columns, columns)], rcond=1e-13, hermitian=True)
+            coef = inverse @ rhs[columns]
+            rss = max(float(self.yy - 2 * coef @ rhs[columns] + coef @ gram[np.ix_(columns, columns)] @ coef), 0.0)
+            path.append((columns, coef / scale[columns], rss))
+            if len(columns) == 1:
+                return path
+            rise = (coef**2 / np.maximum(np.diag(inverse), 1e-300))[1:]
+            drop = 1 + int(np.argmax(rise <= rise.min() + TIE * self.yy))
+            columns = [c for i, c in enumerate(columns) if i != drop]
 
     def gcv(self, columns: Sequence[int], rss: float, penalty: float) -> float:
         cost = len(columns) + penalty * (len(columns) - 1) / 2

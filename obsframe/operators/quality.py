@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsframe.functions.aggregates import agg_columns, variable_summary
+from obsframe.functions.aggregates import agg_columns, counted_summary, variable_summary
 from obsframe.functions.scalar import decade, hash_key, in_years, percent, ratio
 from obsframe.operators import ranking
 from obsframe.session import pin
@@ -36,18 +36,23 @@ RAINFALL = CleanInfo("rainfall", yearly_present_target=350, clean_years_target=5
 
 
 def grain_summary(observations: DataFrame, variable: str, grains: tuple[str, ...] = ("all", "decadal", "yearly")) -> DataFrame:
-    """The variable summary of all stations at several grains in one grouping-sets pass."""
+    """The variable summary of all stations at several grains.
+
+    The rows are shuffled once, into counts of each value per station and year; every grain is rolled up from these counts, exact
+    quantiles included.
+    """
     sets = {"all": KEYS, "decadal": [*KEYS, "decade"], "yearly": [*KEYS, "year"]}
-    df = observations.withColumn("year", F.year("date")).withColumn("decade", decade("year"))
+    df = observations.select(*KEYS, F.year("date").alias("year"), F.col(variable))
+    if len(grains) == 1:
+        keys = sets[grains[0]]
+        return df.withColumn("decade", decade("year")).groupBy(*keys).agg(*agg_columns(variable_summary(variable)))
+    cells = df.groupBy(*KEYS, "year", variable).agg(F.count(F.lit(1)).alias("rows")).withColumn("decade", decade("year"))
     label = (
         F.when(F.grouping("decade") == 0, "decadal").when(F.grouping("year") == 0, "yearly").otherwise("all")
     )
-    grouped = df.groupingSets([[F.col(c) for c in sets[g]] for g in grains], *KEYS, "decade", "year") if len(grains) > 1 else None
-    if grouped is None:
-        only = grains[0]
-        return df.groupBy(*sets[only]).agg(*agg_columns(variable_summary(variable)))
-    out = grouped.agg(label.alias("grain"), *agg_columns(variable_summary(variable)))
-    return out.select("grain", *KEYS, "decade", "year", *variable_summary(variable))
+    grouped = cells.groupingSets([[F.col(c) for c in sets[g]] for g in grains], *KEYS, "decade", "year")
+    summary = counted_summary(variable, "rows")
+    return grouped.agg(label.alias("grain"), *agg_columns(summary)).select("grain", *KEYS, "decade", "year", *summary)
 
 
 def yearly_summary(observations: DataFrame, variable: str) -> DataFrame:
