@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,16 @@ def list_archives(spark: SparkSession, path: str) -> DataFrame:
     return _named(_files(spark, path)).select("station", "content")
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``station``, ``path``, ``length`` and time (``modified``) of every zip below a folder; no content is read."""
+    return _named(_files(spark, path)).select("station", "path", "length", F.col("modificationTime").alias("modified"))
+
+
+def open_files(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame:
+    """(station, path, content) of the ``chosen`` files (``path``) below a folder; no other file's content is read."""
+    return _named(_files(spark, path).join(chosen.select("path"), "path", "left_semi")).select("station", "path", "content")
+
+
 # What a damaged, encrypted or unsupported archive can raise.
 READ_ERRORS = (zipfile.BadZipFile, zlib.error, KeyError, OSError, EOFError, RuntimeError, NotImplementedError, ValueError)
 
@@ -83,38 +94,43 @@ def _tested(archive: zipfile.ZipFile, member: str) -> None:
 def archive_lines(archives: DataFrame, product: Product) -> DataFrame:
     """The text lines of each archive's member, read as a stream and sent on in batches.
 
-    Gives (station, line, error). A member is first read through to its checksum, then line by line, so a broken
+    Gives (station, line, error), and ``path`` where the archives have one. A member is first read through to its checksum, then line by line, so a broken
     archive of any length gives one row with its error and no line.
     """
 
+    named = "path" in archives.columns
+
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for station, content in zip(pdf["station"], pdf["content"]):
+            for station, content, path in zip(pdf["station"], pdf["content"], pdf["path"] if named else pdf["station"]):
+                own = {"path": path} if named else {}
                 member = product.member_of(station)
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                     _tested(archive, member)
                 except READ_ERRORS as problem:
-                    yield pd.DataFrame({"station": [station], "line": [None], "error": [type(problem).__name__]})
+                    yield pd.DataFrame({"station": [station], "line": [None], "error": [type(problem).__name__], **own})
                     continue
                 with archive, archive.open(member) as raw:
                     lines = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
                     while held := [line.rstrip("\r\n") for line in itertools.islice(lines, LINES_PER_BATCH)]:
-                        yield pd.DataFrame({"station": station, "line": held, "error": None})
+                        yield pd.DataFrame({"station": station, "line": held, "error": None, **own})
 
-    return archives.select("station", "content").mapInPandas(unzip, "station string, line string, error string")
+    columns = ["station", "content", *["path"] * named]
+    return archives.select(*columns).mapInPandas(unzip, "station string, line string, error string" + ", path string" * named)
 
 
 def _cells(lines: DataFrame) -> DataFrame:
     parts = "code string, number string, year string, month string, day string, value string, days string, quality string"
     data = lines.where(F.col("line").isNotNull() & ~F.col("line").startswith(PRODUCT_CODE) & (F.trim("line") != ""))
-    return data.select("station", F.from_csv("line", F.lit(parts), {"mode": "PERMISSIVE"}).alias("c")).select("station", "c.*")
+    own = [c for c in ("station", "path") if c in lines.columns]
+    return data.select(*own, F.from_csv("line", F.lit(parts), {"mode": "PERMISSIVE"}).alias("c")).select(*own, "c.*")
 
 
 def load_archives(archives: DataFrame, product: Product, source: str, zone: str = "AUS") -> DataFrame:
-    """Observations of all archives; an unreadable cell is NULL, an unreadable archive has no rows."""
+    """Observations of all archives, with their ``path`` where they have one; an unreadable cell is NULL, an unreadable archive has no rows."""
     return _cells(archive_lines(archives, product)).select(
-        F.lit(zone).alias("zone"), F.trim("number").alias("station"),
+        *["path"] * ("path" in archives.columns), F.lit(zone).alias("zone"), F.trim("number").alias("station"),
         S.safe_date(S.to_int("year"), S.to_int("month"), S.to_int("day")).alias("date"),
         S.to_double("value").alias("value"), S.to_int("days").alias("measurement_days"), F.lit(source).alias("source"),
     )
@@ -122,11 +138,9 @@ def load_archives(archives: DataFrame, product: Product, source: str, zone: str
 
 def load_stations(spark: SparkSession, path: str, product: Product, stations: DataFrame, source: str) -> DataFrame:
     """Only the archives of the wanted stations are opened; a station without one is skipped."""
-    files = _named(_files(spark, path)).select("station", "path")
-    wanted = files.join(stations.select("station").distinct(), "station", "left_semi").select("path")
     # The names alone are read for the choice; the join then drops whole files before their content travels.
-    chosen = _files(spark, path).join(wanted, "path", "left_semi")
-    return load_archives(_named(chosen).select("station", "content"), product, source)
+    wanted = list_files(spark, path).join(stations.select("station").distinct(), "station", "left_semi")
+    return load_archives(open_files(spark, path, wanted).select("station", "content"), product, source)
 
 
 def validate_archives(stations: DataFrame, archives: DataFrame, product: Product) -> DataFrame:
@@ -165,3 +179,18 @@ def pack_archives(rows: DataFrame, product: Product) -> DataFrame:
             yield pd.DataFrame({"station": codes, "content": contents})
 
     return rows.select("station", "line").mapInPandas(pack, "station string, content binary")
+
+
+def pack_stations(rows: DataFrame, product: Product) -> DataFrame:
+    """One zip archive per station, as the files have it; a station's rows are bounded by the calendar."""
+    head = ",".join(heading(product))
+
+    def pack(table: pa.Table) -> pa.Table:
+        station, out = table["station"][0].as_py(), io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open(product.member_of(station), "w") as member:
+            member.write(f"{head}\n".encode())
+            for batch in table.sort_by("line").to_batches(LINES_PER_BATCH):
+                member.write("".join(f"{line}\n" for line in batch.column("line").to_pylist()).encode())
+        return pa.table({"station": [station], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return rows.select("station", "line").groupBy("station").applyInArrow(pack, "station string, content binary")
