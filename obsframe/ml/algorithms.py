@@ -13,10 +13,13 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsframe.ml.metrics import class_curves
 from obsframe.ml.prepare import SEED
+from obsframe.ml.together import classes_of
 from obsframe.operators import neighbours
 from obsframe.operators.hinge_products import fit_products
 from obsframe.operators.mars import fit_hinges
+from obsframe.operators.stats import loess_vertices
 from obsframe.session import pin
 
 Predictor = Callable[[DataFrame], DataFrame]
@@ -188,23 +191,48 @@ def discriminant(df: DataFrame, xs: Sequence[str], y: str, quadratic: bool) -> P
     return lambda d: d.withColumn("prediction", label)
 
 
+def _smooth_r2(df: DataFrame, x: str, y: str, span: float = 0.75) -> float:
+    """The share of the response's variation that a local quadratic of one predictor explains; 0 for too few positions."""
+    data = df.dropna(subset=[x, y]).select(F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_"))
+    per = data.groupBy("x_").agg(F.count(F.lit(1)).alias("n"), F.sum("y_").alias("s"), F.sum(F.col("y_") * F.col("y_")).alias("ss"))
+    n, s, f = F.col("n"), F.col("s"), F.col("fit_")
+    joined = per.join(loess_vertices(data, [], "x_", "y_", span, "fit_"), "x_")
+    row = joined.agg(F.sum(F.col("ss") - 2 * f * s + n * f * f).alias("rest"), F.sum("ss").alias("ss"), F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    whole = (row["ss"] or 0.0) - (row["s"] or 0.0) ** 2 / (row["n"] or 1)
+    if row["rest"] is None or not math.isfinite(row["rest"]) or whole <= 0:
+        return 0.0
+    return max(0.0, 1 - row["rest"] / whole)
+
+
+def _largest_area(df: DataFrame, x: str, y: str, labels: Sequence) -> float:
+    """The greatest area under a ROC curve of one predictor as a score, over pairs of classes, in its better direction."""
+    areas = [0.5]
+    for i, a in enumerate(labels):
+        for b in labels[i + 1 :]:
+            row = class_curves(df.where(F.col(y).isin([a, b])), y, {a: x}).first()
+            if row is not None and row["roc"] is not None:
+                areas.append(max(row["roc"], 1 - row["roc"]))
+    return max(areas)
+
+
 def importance(df: DataFrame, algorithm: str, task: str, xs: Sequence[str], y: str, **params) -> DataFrame:
     """Importance of each predictor, the largest scaled to 100.
 
-    A tree model has its own; a linear one the size of each coefficient times its predictor's spread; any other
-    algorithm for a number is measured by the line of each predictor alone (its R2).
+    A tree model has its own; a linear one the size of each coefficient times its predictor's spread. Any other algorithm
+    is measured by each predictor alone: for a number by what a local fit explains (R2), for classes by the area under
+    the predictor's ROC curve, the greatest over the pairs of classes.
     """
     check_algorithm(algorithm, task)
     model = estimator(algorithm, task, xs, y, **params).fit(df).stages[-1] if algorithm not in (*OWN[task],) else None
     if hasattr(model, "featureImportances"):
         raw = [float(v) for v in model.featureImportances.toArray()]
-    elif hasattr(model, "coefficients"):
+    elif hasattr(model, "coefficients") and (task == "regression" or model.numClasses == 2):
         spread = df.agg(*[F.stddev(c).alias(c) for c in xs]).first()
         raw = [abs(float(b)) * (spread[c] or 0.0) for c, b in zip(xs, model.coefficients.toArray())]
     elif task == "regression":
-        fits = df.agg(*[F.regr_r2(F.col(y).cast("double"), F.col(c).cast("double")).alias(c) for c in xs]).first()
-        raw = [float(fits[c] or 0.0) for c in xs]
+        raw = [_smooth_r2(df, c, y) for c in xs]
     else:
-        raise ValueError(f"no importance for {algorithm}")
+        labels = classes_of(df, y)
+        raw = [_largest_area(df.dropna(subset=[c]), c, y, labels) for c in xs]
     top = max(raw) or 1.0
     return df.sparkSession.createDataFrame([(c, v, v / top * 100) for c, v in zip(xs, raw)], "predictor string, importance double, overall double")

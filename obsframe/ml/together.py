@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from obsframe.functions.scalar import numbers
 from obsframe.ml import trees
+from obsframe.ml.metrics import classification_metrics, regression_metrics
 from obsframe.ml.resample import Scheme, folds, held_out, moments, names_of, resamples, shares
 from obsframe.session import pin
 
@@ -31,19 +32,38 @@ def classes_of(df: DataFrame, y: str) -> list:
     return found
 
 
-def score_trees(df: DataFrame, kind: str, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme, **params) -> DataFrame:
-    """Held-out rows with the prediction of their resample's tree."""
+def _grown(df: DataFrame, kind: str, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme, **params) -> tuple[trees.Trees, DataFrame]:
+    """The trees of all resamples, and the rows that each holds out."""
     data = df.dropna(subset=[*xs, y])
     marked, per = shares(data, scheme, ids)
     names = {"maxDepth": "max_depth", "maxBins": "max_bins", "minInstancesPerNode": "min_rows"}
     cfg = trees.TreeSettings(**{names[k]: v for k, v in params.items()})
     labels = classes_of(data, y) if kind == "classification" else None
     targets = [F.col(y)] if labels is None else [(F.col(y) == F.lit(v)).cast("int") for v in labels]
-    grown = trees.grow(marked, xs, targets, per, cfg, labels)
-    held = held_out(marked, per, scheme, [*xs, y])
+    marks = {"none": [], "boot": None}.get(scheme.method, [c for c in marked.columns if c not in data.columns])
+    grown = trees.grow(marked, xs, targets, per, cfg, labels, marks)
+    return grown, held_out(marked, per, scheme, [*xs, y])
+
+
+def score_trees(df: DataFrame, kind: str, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme, **params) -> DataFrame:
+    """Held-out rows with the prediction of their resample's tree."""
+    grown, held = _grown(df, kind, xs, y, ids, scheme, **params)
     return grown.predict(held, F.col("number")).select("resample", y, "prediction")
 
 
+def score_depths(
+    df: DataFrame, kind: str, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme, depths: Sequence[int], metric: str, **params,
+) -> dict[int, float]:
+    """The mean of a metric over the resamples for trees of several depths, which are grown and scored once, at the greatest."""
+    grown, held = _grown(df, kind, xs, y, ids, scheme, maxDepth=max(depths), **params)
+    wide = grown.predict_depths(held, F.col("number"), depths)
+    each = F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"prediction_{d}").alias("prediction")) for d in sorted(set(depths))])
+    long = wide.select("resample", F.col(y).alias("observed"), F.inline(each))
+    measure = classification_metrics if kind == "classification" else regression_metrics
+    per = measure(long, "observed", "prediction", ["depth", "resample"])
+    return {r["depth"]: r["m"] for r in per.groupBy("depth").agg(F.avg(metric).alias("m")).collect()}
+
+
 def class_sums(df: DataFrame, xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme) -> dict[str, dict]:
     """For each resample and class the sums of products of (1, xs) over its training rows."""
     data = df.withColumn("ones_", F.lit(1.0))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from obsframe.functions.scalar import numbers
 from obsframe.operators import ranking
+from obsframe.operators.mars import with_interval
 from obsframe.session import pin
 
 
@@ -43,18 +43,25 @@ class Trees:
 
     def predict(self, df: DataFrame, resample: Column) -> DataFrame:
         """Adds ``prediction`` by the tree of each row's ``resample`` (a number from 0)."""
+        return self.predict_depths(df, resample, [self.depth]).withColumnRenamed(f"prediction_{self.depth}", "prediction")
+
+    def predict_depths(self, df: DataFrame, resample: Column, depths: Sequence[int]) -> DataFrame:
+        """Adds ``prediction_<depth>`` of the trees cut off at each depth, in one walk down: a tree of less depth is the top of a deeper one."""
         width = self.value.shape[1]
         x = F.array(*[F.col(c).cast("double") for c in self.xs])
         feature, cut, value = (numbers(t.ravel().tolist(), k) for t, k in ((self.feature, "int"), (self.cut, "double"), (self.value, "double")))
-        out = df.withColumns({"tree_": (resample * width).cast("int"), "node_": F.lit(0)})
-        for _ in range(self.depth):
-            out = out.withColumn("feature_", F.get(feature, F.col("tree_") + F.col("node_")))
-            right = F.get(x, F.col("feature_")) > F.get(cut, F.col("tree_") + F.col("node_"))
-            out = out.withColumn("node_", F.when(F.col("feature_") < 0, F.col("node_")).otherwise(2 * F.col("node_") + 1 + right.cast("int")))
         found = F.get(value, F.col("tree_") + F.col("node_"))
         if self.labels is not None:
             found = F.get(F.array(*[F.lit(v) for v in self.labels]), found.cast("int"))
-        return out.withColumn("prediction", found).drop("tree_", "node_", "feature_")
+        out = df.withColumns({"tree_": (resample * width).cast("int"), "node_": F.lit(0)})
+        for level in range(self.depth + 1):
+            if level in depths:
+                out = out.withColumn(f"prediction_{level}", found)
+            if level < self.depth:
+                out = out.withColumn("feature_", F.get(feature, F.col("tree_") + F.col("node_")))
+                right = F.get(x, F.col("feature_")) > F.get(cut, F.col("tree_") + F.col("node_"))
+                out = out.withColumn("node_", F.when(F.col("feature_") < 0, F.col("node_")).otherwise(2 * F.col("node_") + 1 + right.cast("int")))
+        return out.drop("tree_", "node_", "feature_")
 
 
 def cut_points(df: DataFrame, xs: Sequence[str], max_bins: int) -> dict[str, list[float]]:
@@ -74,18 +81,27 @@ def cut_points(df: DataFrame, xs: Sequence[str], max_bins: int) -> dict[str, lis
     return out
 
 
-def _cells(df: DataFrame, xs: Sequence[str], cuts: dict[str, list[float]], targets: Sequence[Column], weights: Sequence[Column]) -> DataFrame:
+def _cells(
+    df: DataFrame, xs: Sequence[str], cuts: dict[str, list[float]], targets: Sequence[Column], weights: Sequence[Column], marks: Sequence[str] | None,
+) -> DataFrame:
     """``x`` (each predictor moved up to its next cut), ``n`` (weight in each resample) and ``s`` (target sums in each resample)."""
-    moved = []
+    moved = df
     for i, c in enumerate(xs):
-        place = reduce(Column.__add__, [(F.col(c) > k).cast("int") for k in cuts[c]], F.lit(0))
-        moved.append(F.get(numbers([*cuts[c], float("inf")]), place).alias(f"x{i}"))
-    plain = df.select(*moved, *[w.cast("double").alias(f"w{r}") for r, w in enumerate(weights)], *[t.cast("double").alias(f"t{k}") for k, t in enumerate(targets)])
-    sums = [F.sum(f"w{r}").alias(f"n{r}") for r in range(len(weights))]
-    sums += [F.sum(F.col(f"w{r}") * F.col(f"t{k}")).alias(f"s{r}_{k}") for r in range(len(weights)) for k in range(len(targets))]
-    cells = plain.groupBy(*[f"x{i}" for i in range(len(xs))]).agg(*sums)
+        moved = with_interval(moved.withColumn(f"v{i}_", F.col(c).cast("double")), f"v{i}_", cuts[c], f"k{i}_", strictly=True)
+    keys = [f"k{i}_" for i in range(len(xs))]
+    sums = [f"t{k}_" for k in range(len(targets))]
+    if marks is not None:
+        # Rows of the same cuts and folds are one before they are told off to resamples.
+        moved = moved.groupBy(*keys, *marks).agg(F.count(F.lit(1)).cast("double").alias("c_"), *[F.sum(t.cast("double")).alias(s) for t, s in zip(targets, sums)])
+    else:
+        moved = moved.withColumns({"c_": F.lit(1.0), **{s: t.cast("double") for t, s in zip(targets, sums)}})
+    plain = moved.select(*keys, "c_", *sums, *[w.cast("double").alias(f"w{r}") for r, w in enumerate(weights)])
+    totals = [F.sum(F.col(f"w{r}") * F.col("c_")).alias(f"n{r}") for r in range(len(weights))]
+    totals += [F.sum(F.col(f"w{r}") * F.col(s)).alias(f"s{r}_{k}") for r in range(len(weights)) for k, s in enumerate(sums)]
+    cells = plain.groupBy(*keys).agg(*totals)
     per = [F.struct(F.lit(r).alias("r"), F.col(f"n{r}").alias("n"), F.array(*[f"s{r}_{k}" for k in range(len(targets))]).alias("s")) for r in range(len(weights))]
-    return pin(cells.select(F.array(*[f"x{i}" for i in range(len(xs))]).alias("x"), F.array(*per).alias("per")))
+    bounds = [F.get(numbers([*cuts[c], float("inf")]), F.col(k)) for c, k in zip(xs, keys)]
+    return pin(cells.select(F.array(*bounds).alias("x"), F.array(*per).alias("per")))
 
 
 def _splits(cells: DataFrame, trees: dict, level: int, predictors: int, targets: int, cfg: TreeSettings) -> list:
@@ -114,7 +130,8 @@ def _splits(cells: DataFrame, trees: dict, level: int, predictors: int, targets:
     enough = (F.col("left_n") >= cfg.min_rows) & (F.col("all_n") - F.col("left_n") >= cfg.min_rows)
     gain = F.when(enough, purity("left") + purity("right") - purity("all"))
     found = sums.withColumn("gain", gain).withColumn("base", purity("all"))
-    order = F.struct(F.col("gain").alias("g"), (-F.col("f")).alias("f"), (-F.col("cut")).alias("c"))
+    # Of equal gains, apart from rounding, the first predictor's and the smallest cut.
+    order = F.struct(F.round(F.try_divide(F.col("gain"), F.col("base")), 12).alias("g"), (-F.col("f")).alias("f"), (-F.col("cut")).alias("c"))
     row = F.struct("f", "cut", "gain", "base", *[f"left_{c}" for c in names], *[f"all_{c}" for c in names])
     # Nodes without a possible split still tell their sums.
     best = found.groupBy("r", "node").agg(F.max_by(row, F.when(F.col("gain").isNotNull(), order)).alias("best"), F.first(row).alias("any"))
@@ -123,13 +140,14 @@ def _splits(cells: DataFrame, trees: dict, level: int, predictors: int, targets:
 
 def grow(
     df: DataFrame, xs: Sequence[str], targets: Sequence[Column], weights: Sequence[Column], cfg: TreeSettings = TreeSettings(), labels: Sequence | None = None,
+    marks: Sequence[str] | None = None,
 ) -> Trees:
     """A tree for each column of ``weights``: a row's share in that resample's training rows, 0 for those held out.
 
     Rows need all predictors and targets. With ``labels`` the targets are indicators of these classes, in order; a leaf gives the
-    most frequent one, the first of equals.
+    most frequent one, the first of equals. ``marks`` are the columns that the weights are made of, if these have few values.
     """
-    cells = _cells(df, xs, cut_points(df, xs, cfg.max_bins), targets, weights)
+    cells = _cells(df, xs, cut_points(df, xs, cfg.max_bins), targets, weights, marks)
     resamples, k = len(weights), len(targets)
     size = 2 ** (cfg.max_depth + 1) - 1
     table = {"feature": np.full((resamples, size), -1), "cut": np.zeros((resamples, size))}

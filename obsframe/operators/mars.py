@@ -70,14 +70,17 @@ def _candidate_knots(df: DataFrame, x: str, max_knots: int = MAX_KNOTS) -> list[
     return sorted({float(at[i] + w * (at[j] - at[i])) if w > 1e-9 else float(at[i]) for i, j, w in zip(low.tolist(), high.tolist(), share)})
 
 
-def with_interval(df: DataFrame, x: str, knots: Sequence[float], name: str) -> DataFrame:
-    """Adds how many knots are at or below a value, by halving the sorted knots; a column a step, so that no step is taken twice."""
+def with_interval(df: DataFrame, x: str, knots: Sequence[float], name: str, strictly: bool = False) -> DataFrame:
+    """Adds how many knots are at or below (``strictly`` below) a value, by halving the sorted knots; a column a step, so that no step is taken twice."""
+    if not len(knots):
+        return df.withColumn(name, F.lit(0))
     marks, width = numbers([float(k) for k in knots]), 1
     while width * 2 <= len(knots):
         width *= 2
     out = df.withColumn(name, F.lit(0))
     while width:
-        out = out.withColumn(name, F.col(name) + F.when(F.get(marks, F.col(name) + (width - 1)) <= F.col(x), width).otherwise(0))
+        mark = F.get(marks, F.col(name) + (width - 1))
+        out = out.withColumn(name, F.col(name) + F.when((mark < F.col(x)) if strictly else (mark <= F.col(x)), width).otherwise(0))
         width //= 2
     return out
 

@@ -652,13 +652,33 @@ def exp_tune(spark, sf):
     return rounded(out, "mae", digits=3)
 
 
-@query("tun_classes", f"""WITH {DOCS}, f AS (SELECT quality, {_number(7, "doc_id")} % 3 AS fold FROM labelled),
-c AS (SELECT g.grp, (SELECT arg_max(quality, n*10 - quality) FROM (SELECT quality, count(*) AS n FROM f WHERE fold<>g.grp GROUP BY 1)) AS p FROM (SELECT unnest(range(3)) AS grp) g),
-a AS (SELECT fold, avg(CASE WHEN quality=p THEN 1.0 ELSE 0.0 END) AS acc FROM f JOIN c ON c.grp=f.fold GROUP BY fold)
-SELECT CAST(1 AS INTEGER) AS index, 1000000.0::DOUBLE AS regParam, round(avg(acc),6) AS accuracy, true AS best FROM a""")
+def _class_tree_sql(depth: int) -> str:
+    """Trees of three folds for quality from two whole numbers, level by level, with Gini's gain; nodes are numbered 0, 1 2, 3 4 5 6, ..."""
+    pure = "({s}*{s}+({n}-{s})*({n}-{s}))/{n}"
+    left, right, whole = pure.format(s="sl", n="nl"), pure.format(s="(st-sl)", n="(nt-nl)"), pure.format(s="st", n="nt")
+    out = [f"""n0 AS MATERIALIZED (SELECT doc_id, quality, CAST(floor(kchars) AS DOUBLE) AS a, CAST(floor(commas/10) AS DOUBLE) AS b, {_number(7, "doc_id")} % 3 <> g.grp AS train, g.grp, 0 AS node
+ FROM labelled, (SELECT unnest(range(3)) AS grp) g)"""]
+    for k in range(depth):
+        out.append(f"""c{k} AS (SELECT grp, node, f, x, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS sy FROM (SELECT grp, node, 0 AS f, a AS x, quality AS y FROM n{k} WHERE train UNION ALL SELECT grp, node, 1, b, quality FROM n{k} WHERE train) GROUP BY ALL),
+u{k} AS (SELECT grp, node, f, x, sum(n) OVER u AS nl, sum(sy) OVER u AS sl, sum(n) OVER a AS nt, sum(sy) OVER a AS st FROM c{k}
+ WINDOW u AS (PARTITION BY grp, node, f ORDER BY x), a AS (PARTITION BY grp, node, f)),
+g{k} AS (SELECT *, {left}+{right}-{whole} AS gain, {whole} AS base FROM u{k} WHERE nt > nl),
+b{k} AS MATERIALIZED (SELECT grp, node, arg_max(f, (round(gain/base,12), -f, -x)) AS f, arg_max(x, (round(gain/base,12), -f, -x)) AS cut, max(gain/base) > 1e-12 AS useful FROM g{k} GROUP BY grp, node),
+n{k + 1} AS MATERIALIZED (SELECT n{k}.* EXCLUDE (node), CASE WHEN b.node IS NULL OR NOT b.useful THEN n{k}.node WHEN (CASE b.f WHEN 0 THEN n{k}.a ELSE n{k}.b END) <= b.cut THEN 2*n{k}.node+1 ELSE 2*n{k}.node+2 END AS node
+ FROM n{k} LEFT JOIN b{k} b ON b.node=n{k}.node AND b.grp=n{k}.grp)""")
+    return ", ".join(out)
+
+
+_TUNED_CLASSES = " UNION ALL ".join(f"""SELECT {i + 1} AS index, {d}.0::DOUBLE AS maxDepth, avg(a) AS accuracy FROM (SELECT n.grp, avg(CASE WHEN n.quality = t.p THEN 1.0 ELSE 0.0 END) AS a FROM n{d} n
+ JOIN (SELECT grp, node, CASE WHEN avg(quality) > 0.5 THEN 1 ELSE 0 END AS p FROM n{d} WHERE train GROUP BY grp, node) t ON t.node=n.node AND t.grp=n.grp WHERE NOT n.train GROUP BY n.grp)""" for i, d in enumerate((0, 1, 3)))
+
+
+@query("tun_classes", f"""WITH {DOCS}, {_class_tree_sql(3)}, r AS ({_TUNED_CLASSES})
+SELECT CAST(index AS INTEGER) AS index, maxDepth, round(accuracy,6) AS accuracy, index=(SELECT arg_max(index, (accuracy, -index)) FROM r) AS best FROM r""")
 def tun_classes(spark, sf):
-    """A class model tuned by accuracy; so strong a penalty leaves the commonest class."""
-    out = E.tune(documents(spark, sf), "plr", DOC_X, "quality", ["doc_id"], {"regParam": [1e6]}, task="classification", metric="accuracy")
+    """The depth of a tree of classes, tuned by accuracy: no split at all, one, and three in a row."""
+    df = documents(spark, sf).withColumns({"a": F.floor("kchars"), "b": F.floor(F.col("commas") / 10)})
+    out = E.tune(df, "rpart", ["a", "b"], "quality", ["doc_id"], {"maxDepth": [0, 1, 3]}, task="classification", metric="accuracy", fixed={"maxBins": 2000})
     return rounded(out, "accuracy")
 
 

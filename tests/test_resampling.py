@@ -155,3 +155,28 @@ def test_held_out_rows(table):
         held = held_out(marked, per, scheme, ["id"])
         n = {"cv": 402, "repeatedcv": 804, "none": 402}.get(scheme.method)
         assert held.count() == n if n else held.count() == resamples(table, scheme, ["id"]).where("weight = 0").count()
+
+
+def test_importance_without_a_model_of_its_own(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(600):
+        a, b, c = rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(-3, 3)
+        rows.append((a, b, c, a * a + 0.3 * b + rng.gauss(0, 0.2), "xyz"[(a > 0) + (a > 1.5)], int(b > 0.5)))
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, kind string, flag int")
+    number = {r["predictor"]: r["importance"] for r in A.importance(df, "earth", "regression", ["a", "b", "c"], "y").collect()}
+    assert number["a"] > 0.9 > 0.2 > number["b"] > number["c"] and number["c"] < 0.05  # a parabola that no line shows
+    kinds = {r["predictor"]: r["importance"] for r in A.importance(df, "lda", "classification", ["a", "b"], "kind").collect()}
+    assert kinds["a"] == 1.0 and 0.5 <= kinds["b"] < 0.65
+    flags = {r["predictor"]: r["overall"] for r in A.importance(df, "knn", "classification", ["b", "c"], "flag").collect()}
+    assert flags["b"] == 100.0 and flags["c"] < 65
+
+
+def test_depths_are_tuned_on_one_growth(table):
+    data = table.dropna(subset=["a", "b", "y"])
+    out = {r["maxDepth"]: r for r in E.tune(data, "rpart", ["a", "b"], "y", ["id"], {"maxDepth": [1, 2, 5]}, k=4, metric="mae").collect()}
+    for depth, row in out.items():
+        scored = together.score_trees(data, "regression", ["a", "b"], "y", ["id"], Scheme("cv", number=4), maxDepth=int(depth))
+        per = scored.groupBy("resample").agg(F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("m")).agg(F.avg("m")).first()[0]
+        assert np.isclose(per, row["mae"])
+    assert [d for d, r in out.items() if r["best"]] == [min(out, key=lambda d: out[d]["mae"])]
