@@ -95,6 +95,7 @@ def _search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int, cfg: Settin
     wanted = min(len(rows), max(cfg.floor, int(np.ceil(cfg.share * len(rows)))))
     asked = np.stack(queries["vector"]).astype(np.float64)
     asked_length = np.linalg.norm(asked, axis=1)
+    first = np.array([ids[0] for ids in rows["ids"]], np.int64)
     all_rows = wanted >= len(rows)
     if not all_rows:
         forest = Forest(unit, planes, cfg)
@@ -102,10 +103,11 @@ def _search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int, cfg: Settin
     for i, query in enumerate(queries["vector_key"]):
         found = np.arange(len(rows)) if all_rows else forest.candidates(strings[i], wanted)
         near = unit[found] @ (asked[i] / asked_length[i])
-        keep = min(len(found), 4 * k + 8)
-        found = found[np.argpartition(-near, keep - 1)[:keep]]
+        # Every row that reaches the last place or ties with it, but for rounding, is scored; of equal scores the smallest id comes first.
+        place = min(len(found), k + 1) - 1
+        found = found[near >= np.partition(near, len(found) - 1 - place)[len(found) - 1 - place] - 1e-9]
         score = (exact[found] * asked[i]).sum(axis=1) / (length[found] * asked_length[i])
-        for j in np.argsort(-score, kind="stable")[: k + 1]:
+        for j in np.lexsort((first[found], -score))[: k + 1]:
             yield query, rows["ids"].iat[found[j]], float(score[j])
 
 

@@ -76,3 +76,13 @@ def test_candidates_come_by_longest_prefix():
         common = [max((cfg.bits - int(x).bit_length()) for x in strings[i] ^ strings[q]) for i in range(500)]
         level = max(lv for lv in range(cfg.bits + 1) if sum(c >= lv for c in common) >= 40)
         assert found.tolist() == [i for i in range(500) if common[i] >= level]
+
+
+@pytest.mark.parametrize("rows", [40, 900])
+def test_ties_of_different_vectors_go_to_the_smallest_ids(spark, rows):
+    one = np.random.default_rng(3).standard_normal(8)
+    table = [(n, (one * 2.0 ** (n % 60)).tolist()) for n in range(rows - 1, -1, -1)]  # all in one direction, none equal to its neighbours
+    vectors = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    found = hash_forest.nearest(vectors, vectors.where("vec_id in (3, 39)")).orderBy("query_id", "rank").collect()
+    got = {q: [r["id"] for r in found if r["query_id"] == q] for q in (3, 39)}
+    assert got == {3: [0, 1, 2, 4, 5], 39: [0, 1, 2, 3, 4]}
