@@ -27,9 +27,9 @@ _GAP = r"[^\p{L}\p{N}\n]{0,6}"
 _MALE, _FEMALE = "Mr|Herr|Señor|Sr|M|г-н", "Mrs|Ms|Miss|Frau|Mme|Señora|Sra|г-жа"
 _TITLE = rf"(?:{_FEMALE}|{_MALE}|Dr|Prof)\.?"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9]{16,64})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}+|(?:sk|pk|ghp|gho|xox[abp]|AKIA)[-_]?[A-Za-z0-9]{16,}+)(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": rf"(?<![\p{{L}}\p{{N}}])(?:(?:\+\d{{1,3}}{_GAP})?\(\d{{2,4}}\){_GAP}\d{{3}}[^\p{{L}}\p{{N}}\n]{{1,6}}\d{{4}}|\+\d{{1,3}}(?:[ .\-]?\d{{2,4}}){{2,5}}|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}})(?!\d)",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
@@ -82,8 +82,9 @@ def _draw(key: str, attempt: int, kind: Column, form: Column, n: Column) -> Colu
     """``n`` numbers from 0 to 65535 that depend on all arguments; ``n`` may be any length."""
     seed = F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), form)
     blocks = F.transform(F.sequence(F.lit(0), F.floor(n / 16)), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")), 256))
-    stream = F.array_join(blocks, "")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(stream, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int"))
+    places = F.array(*[F.lit(4 * i + 1) for i in range(16)])
+    numbers = F.transform(blocks, lambda block: F.transform(places, lambda at: F.conv(F.substr(block, at, F.lit(4)), 16, 10).cast("int")))
+    return F.slice(F.flatten(numbers), F.lit(1), n.cast("int"))
 
 
 def _letter(alphabet: str, v: Column) -> Column:
@@ -103,7 +104,9 @@ def _like(char: Column, v: Column, hexadecimal: Column) -> Column:
 
 def _same_classes(form: Column, numbers: Column, hexadecimal: Column) -> Column:
     chars = F.split(form, "")
-    return F.array_join(F.zip_with(chars, numbers, lambda c, v: _like(c, v, hexadecimal)), "")
+    # Which alphabet is told once a form, not once a character.
+    ways = [F.array_join(F.zip_with(chars, numbers, lambda c, v: _like(c, v, F.lit(way))), "") for way in (True, False)]
+    return F.when(hexadecimal, ways[0]).otherwise(ways[1])
 
 
 def _checksum(digits: Column) -> Column:

@@ -121,3 +121,15 @@ def test_secrets_without_digits_are_replaced(spark):
     secrets = ["AKIA" + "IOSFODNNEXAMPLEQ", "ghp_" + "abcdefghijKLMNOPqrst", "sk-" + "ABCDEFGHIJKLMNOPQ", "abcdefab" * 4, "ABCDEFAB" * 4]
     out = replaced(spark, [f"the key is {s} here" for s in secrets])
     assert all(re.fullmatch(r"the key is \S+ here", t) and s not in t for s, t in zip(secrets, out))
+
+
+@pytest.mark.parametrize("n", [64, 65, 129, 5000])
+def test_long_secrets_and_addresses_are_replaced_whole(spark, n):
+    key, run, local = "sk_" + "aB3" * (n // 3 + 1), "0a1b" * (n // 4 + 9), "j" * n
+    text = f"x {key} y {run} z {local}@mail.example.org and {'q' * n} stays"
+    found = surrogates.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["text"]
+    x, new_key, y, new_run, z, new_mail, *rest = found.split(" ")
+    assert (x, y, z, rest) == ("x", "y", "z", ["and", "q" * n, "stays"])
+    assert len(new_key) == len(key) and new_key[3:] != key[3:] and not any(key[i : i + 12] in found for i in range(3, len(key) - 12))
+    assert re.fullmatch("[0-9a-f]+", new_run) and len(new_run) == len(run) and new_run != run
+    assert new_mail.endswith(".org") and len(new_mail) == n + len("@mail.example.org") and local not in found.replace("q", "")
