@@ -92,8 +92,10 @@ def bounds_of(most: list[int], joint: list[int]) -> tuple[list[int], list[bool]]
 class Segment:
     """The postings, impacts, maxima and pair lists of a run of documents."""
 
-    # ``parts`` of the impacts: what they are without the weight of their term, which keeps them small.
-    PARTS = ("terms", "starts", "docs", "parts", "maxima", "pair_starts", "pair_docs", "joint")
+    # Kept as bytes of these types; ``parts`` of the impacts are what they are without the weight of their term, which keeps them small.
+    PARTS = {
+        "terms": "<i4", "starts": "<i4", "docs": "<i2", "parts": "<i4", "maxima": "<i8", "pair_starts": "<i4", "pair_docs": "<i2", "joint": "<i8",
+    }
 
     def __init__(self, size: int, weights: np.ndarray, parts: dict[str, np.ndarray]):
         self.size = size
@@ -221,25 +223,20 @@ def _forward(vocabulary: dict[bytes, int]):
 
 _SEGMENT = T.StructType(
     [T.StructField("segment", T.LongType()), T.StructField("bounds", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType()))]
-    + [T.StructField(p, T.ArrayType(T.LongType() if p in ("maxima", "joint") else T.ShortType() if p in ("docs", "pair_docs") else T.IntegerType())) for p in Segment.PARTS]
+    + [T.StructField(p, T.BinaryType()) for p in Segment.PARTS]
 )
 
 
 def _segments(queries, n: int, total: int, cfg: Settings):
     """Rows of the forward index become rows that hold a segment each."""
-    widths = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.ShortType(): pa.int16()}
-    kinds = {f.name: widths[f.dataType.elementType] for f in _SEGMENT.fields[1:]}
-
     def row(number: int, ids: list, lengths: list, held: list, counts: list) -> pa.RecordBatch:
         segment = Segment.build(queries.value, np.array(lengths, np.int64), held, counts, n, total, cfg)
         slots = segment.slots(len(queries.value.weights))
         bounds = [bounds_of(*segment.limits(item, slots))[0][-1] for item in queries.value.items]
-        parts = {"bounds": bounds, "ids": ids, **{p: getattr(segment, p) for p in Segment.PARTS}}
         arrays = [pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64())]
-        for name, kind in kinds.items():
-            values = pa.array(parts[name], kind)
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-        return pa.RecordBatch.from_arrays(arrays, ["segment", *kinds])
+        arrays += [pa.array([values], pa.list_(pa.int64())) for values in (bounds, ids)]
+        arrays += [pa.array([getattr(segment, p).astype(kind).tobytes()], pa.binary()) for p, kind in Segment.PARTS.items()]
+        return pa.RecordBatch.from_arrays(arrays, _SEGMENT.names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, postings, docs = 0, 0, []
@@ -271,7 +268,7 @@ def _searched(queries, thresholds: list[int], cfg: Settings):
                     continue
                 ids = batch.column("ids")[i].values
                 known, ids = ~ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(_LAST).to_numpy()
-                parts = {p: batch.column(p)[i].values.to_numpy() for p in Segment.PARTS}
+                parts = {p: np.frombuffer(batch.column(p)[i].as_buffer(), kind) for p, kind in Segment.PARTS.items()}
                 segment = Segment(len(ids), queries.value.weights, parts)
                 slots = segment.slots(len(queries.value.weights))
                 for j in wanted:
