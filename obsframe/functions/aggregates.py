@@ -19,13 +19,49 @@ def skew_adjusted(c: str) -> Column:
     return g1 * F.pow(F.try_divide(n - 1, n), F.lit(1.5))
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """``a * b + c`` rounded once: the product's own rounding error is worked out by halves and added."""
+    def halves(x: Column) -> tuple[Column, Column]:
+        far = x * 134217729.0
+        high = far - (far - x)
+        return high, x - high
+
+    (a1, a2), (b1, b2), p = halves(a), halves(b), a * b
+    lost = ((a1 * b1 - p) + a1 * b2 + a2 * b1) + a2 * b2
+    total = p + c
+    part = total - p
+    return total + (((p - (total - part)) + (c - part)) + lost)
+
+
+def sorted_breaks(values: Column, n: int) -> Column:
+    """The n + 1 quantile breaks of an ordered array, NULL of an empty one.
+
+    The weighted lower value is added without rounding it first, as the SQL checks have it: a value that
+    equals a break but for its last bit is then counted on the same side.
+    """
+    def level(own: Column, i: Column) -> Column:
+        at = (F.size(own) - 1) * (i / F.lit(float(n)))
+        low, share = F.get(own, F.floor(at).cast("int")), at - F.floor(at)
+        high = F.get(own, F.ceil(at).cast("int"))
+        return F.when(share == 0, low).otherwise(_fused(low, 1.0 - share, high * share))
+
+    # An array of the one array, so that it is worked out once and not at every level.
+    levels = F.transform(F.array(values), lambda own: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: level(own, i)))
+    return F.when(F.size(values) > 0, levels[0])
+
+
+def ordered_values(c: Column | str) -> Column:
+    """The present values of a group in order, as an array."""
+    return F.sort_array(F.collect_list(F.col(c).cast("double") if isinstance(c, str) else c.cast("double")))
+
+
 def quantile_breaks(c: str, n: int) -> Column:
     """The n + 1 exact quantile breaks 0/n .. n/n as an array.
 
     One group is held while its breaks are read, so use it where the calendar bounds the
     group (one row per station, year and month); elsewhere use ``operators.ranking``.
     """
-    return F.percentile(F.col(c), F.array(*[F.lit(i / n) for i in range(n + 1)]))
+    return sorted_breaks(ordered_values(c), n)
 
 
 def open_breaks(breaks: Column, n: int) -> Column:
