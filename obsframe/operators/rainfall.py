@@ -7,11 +7,12 @@ every per-station window and every per-month quantile.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsframe.functions.aggregates import open_breaks, sum_or_zero
+from obsframe.functions.aggregates import open_breaks, ordered_values, sorted_breaks, sum_or_zero
 from obsframe.operators.quality import KEYS
 from obsframe.operators.relational import complete_months, find_interval, impute_group_median, rolling_sums
 
@@ -44,16 +45,18 @@ def monthly_observations(observations: DataFrame, variable: str = "value") -> Da
 
 def rain_baselines(monthly: DataFrame, start: int, end: int, n_quantile: int = 11) -> DataFrame:
     """Extremes, quartiles and quantile breaks of four measures per station and month."""
-    probs = [0.25, 0.5, 0.75, *[i / n_quantile for i in range(n_quantile + 1)]]
-    levels = F.array(*map(F.lit, probs))
+    levels = F.array(*map(F.lit, [0.25, 0.5, 0.75]))
     aggs = []
     for m in MEASURES:
-        aggs += [F.max(m).alias(f"{m}_max"), F.min(m).alias(f"{m}_min"), F.percentile(m, levels).alias(f"{m}_levels")]
+        aggs += [
+            F.max(m).alias(f"{m}_max"), F.min(m).alias(f"{m}_min"), F.percentile(m, levels).alias(f"{m}_levels"),
+            ordered_values(m).alias(f"{m}_ordered"),
+        ]
     out = monthly.where(F.col("major_period").between(start, end)).groupBy(*KEYS, "minor_period").agg(*aggs)
     cols = []
     for m in MEASURES:
         levels_of = F.col(f"{m}_levels")
-        breaks = F.slice(levels_of, 4, n_quantile + 1)
+        breaks = sorted_breaks(F.col(f"{m}_ordered"), n_quantile)
         cols += [
             F.col(f"{m}_max"), F.col(f"{m}_min"),
             levels_of[0].alias(f"{m}_q1"), levels_of[1].alias(f"{m}_median"), levels_of[2].alias(f"{m}_q3"),
@@ -81,11 +84,17 @@ def rate_months(monthly: DataFrame, start: int, end: int, n_quantile: int = 11)
         "baseline_rows": F.count_if(inside).over(w),
         "rainfall_l12_median": F.median(F.when(inside, F.col("rainfall_l12"))).over(w),
         **{f"{m}_levels": F.percentile(F.when(inside, F.col(m)), levels).over(w) for m in MEASURES},
+        **{f"{m}_within": F.collect_list(F.when(inside, F.col(m)).cast("double")).over(w) for m in MEASURES},
     }).where("baseline_rows > 0")
-    return _rated(
-        beside.withColumns({f"{m}_open_quantiles": open_breaks(F.col(f"{m}_levels"), n_quantile) for m in MEASURES}),
-        n_quantile,
-    )
+
+    def breaks(m: str) -> Column:
+        # The last bit of a break matters only to a value beside it; all other rows take the cheaper ones.
+        slack = 1e-9 * (1 + F.abs(F.col(m)))
+        near = reduce(Column.__or__, [F.abs(F.col(f"{m}_levels")[i] - F.col(m)) <= slack for i in range(1, n_quantile)])
+        exact = sorted_breaks(F.sort_array(F.col(f"{m}_within")), n_quantile)
+        return open_breaks(F.when(near, exact).otherwise(F.col(f"{m}_levels")), n_quantile)
+
+    return _rated(beside.withColumns({f"{m}_open_quantiles": breaks(m) for m in MEASURES}), n_quantile)
 
 
 def _rated(beside: DataFrame, n_quantile: int) -> DataFrame:
