@@ -15,7 +15,9 @@ def regression_metrics(df: DataFrame, observed: str, predicted: str, by: Sequenc
     """RMSE, MAE and the squared correlation (NULL for a constant prediction)."""
     e = F.col(observed) - F.col(predicted)
     both = F.covar_pop(observed, predicted)
-    r2 = F.try_divide(both * both, F.var_pop(observed) * F.var_pop(predicted))
+    # Merged variances of equal values are not always 0, so a constant is told by its extremes.
+    varied = (F.min(observed) < F.max(observed)) & (F.min(predicted) < F.max(predicted))
+    r2 = F.when(varied, F.try_divide(both * both, F.var_pop(observed) * F.var_pop(predicted)))
     return df.groupBy(*by).agg(
         F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), r2.alias("r2"), F.avg(F.abs(e)).alias("mae")
     )
