@@ -50,23 +50,26 @@ def attribute(tag: Column, name: str) -> Column:
 def element(html: Column, block: str) -> Column:
     """The inside of the element with an id, up to the end tag that belongs to it; empty if there is none."""
     opening = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*?\sid\s*=\s*(?:\"{block}\"|'{block}'|{block}(?=[\s>]))[^>]*>"
-    name = F.lower(F.regexp_extract(html, opening, 1))
-    rest = F.regexp_extract(html, opening + r"(.*)", 2)
+    found = F.struct(F.lower(F.regexp_extract(html, opening, 1)).alias("name"), F.regexp_extract(html, opening + r"(.*)", 2).alias("rest"))
+    # An array of one, so that the page is searched once and not again for every tag.
+    return F.transform(F.array(found), lambda f: F.when(f["name"] != "", _inside(f["name"], f["rest"])).otherwise(F.lit("")))[0]
+
+
+def _inside(name: Column, rest: Column) -> Column:
+    """What stands before the end tag that belongs to an element whose start tag is already gone."""
     # Cut before every tag of that name; the depth after each piece tells where the element ends.
     tag = F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)"))
-    pieces = F.split(rest, tag)
-    lower = F.transform(pieces, lambda p: F.lower(F.substr(p, F.lit(1), F.length(name) + 2)))
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+    start = F.struct(F.lit(1).alias("depth"), F.array().cast("array<string>").alias("text"))
 
-    def step(acc: Column, i: Column) -> Column:
-        closes = F.startswith(F.element_at(lower, i), F.concat(F.lit("</"), name))
-        opens = ~closes & F.startswith(F.element_at(lower, i), F.concat(F.lit("<"), name))
+    def step(acc: Column, piece: Column) -> Column:
+        lower = F.lower(F.substr(piece, F.lit(1), F.length(name) + 2))
+        closes = F.startswith(lower, F.concat(F.lit("</"), name))
+        opens = ~closes & F.startswith(lower, F.concat(F.lit("<"), name))
         depth = acc["depth"] + F.when(closes, -1).when(opens, 1).otherwise(0)
         depth = F.when(acc["depth"] <= 0, acc["depth"]).otherwise(depth)
-        return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["text"], F.element_at(pieces, i))).otherwise(acc["text"]).alias("text"))
+        return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["text"], F.array(piece))).otherwise(acc["text"]).alias("text"))
 
-    inside = F.aggregate(F.sequence(F.lit(1), F.size(pieces)), start, step)["text"]
-    return F.when(name != "", inside).otherwise(F.lit(""))
+    return F.array_join(F.aggregate(F.split(rest, tag), start, step)["text"], "")
 
 
 def links(html: Column) -> Column:
