@@ -60,12 +60,15 @@ def _runs(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 def stretches(words: list[bytes], cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Of each stretch of ``length`` words: the hash of its anchor and the place of the anchor."""
-    if len(words) < cfg.length:
+    return _stretches(_word_hashes(words), cfg)
+
+
+def _stretches(hashes: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
+    if len(hashes) < cfg.length:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    hashes = _word_hashes(words)
     grams = _runs(hashes, cfg.seed_words, 1)
     room = cfg.length - cfg.seed_words + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, room).argmin(axis=1) + np.arange(len(words) - cfg.length + 1)
+    at = np.lib.stride_tricks.sliding_window_view(grams, room).argmin(axis=1) + np.arange(len(hashes) - cfg.length + 1)
     return grams[at], at
 
 
@@ -86,15 +89,20 @@ def _anchors(batches: Iterator[pd.DataFrame], cfg: Settings) -> Iterator[pd.Data
         })
 
 
+def _found(hashes: np.ndarray, seeds: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and seeds of the stretches whose seed is among those given."""
+    own = _stretches(hashes, cfg)[0].view(np.int64)
+    starts = np.flatnonzero(np.isin(own, np.asarray(seeds, np.int64)))
+    return starts, own[starts]
+
+
 def _extended(text: str, seeds: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, seeds and extensions of the stretches whose seed is among those given."""
-    words = _words(text)
-    hashes, _ = stretches(words, cfg)
-    starts = np.flatnonzero(np.isin(hashes.view(np.int64), np.asarray(seeds, np.int64)))
+    hashes = _word_hashes(_words(text))  # taken once, for the seeds and for the extensions
+    starts, own = _found(hashes, seeds, cfg)
     if not len(starts):
-        return starts, np.empty(0, np.int64), np.empty(0, np.int64)
-    whole = _runs(_word_hashes(words), cfg.length, 2)
-    return starts, hashes[starts].view(np.int64), whole[starts].view(np.int64)
+        return starts, own, own
+    return starts, own, _runs(hashes, cfg.length, 2)[starts].view(np.int64)
 
 
 def _extend(batches: Iterator[pd.DataFrame], cfg: Settings) -> Iterator[pd.DataFrame]:
@@ -118,7 +126,7 @@ def _cut(batches: Iterator[pd.DataFrame], cfg: Settings, held: list[str]) -> Ite
             if copy:
                 gone[:] = len(words) >= cfg.length
             elif seeds is not None:
-                starts = _extended(text, seeds, cfg)[0]
+                starts = _found(_word_hashes(words), seeds, cfg)[0]
                 again = np.setdiff1d(starts, np.asarray([] if firsts is None else firsts, np.int64), assume_unique=True)
                 edges = np.zeros(len(words) + 1, np.int64)
                 edges[again] += 1
