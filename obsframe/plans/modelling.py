@@ -200,7 +200,7 @@ n AS (SELECT q.doc_id, r.quality, row_number() OVER (PARTITION BY q.doc_id ORDER
 SELECT doc_id, avg(quality) AS quality FROM n WHERE rn<=5 GROUP BY doc_id UNION ALL SELECT doc_id, quality FROM z WHERE quality IS NOT NULL""")
 def knn_impute(spark, sf):
     """Unlabelled documents take the mean label of their five nearest labelled ones."""
-    df = documents(spark, sf, "left").select("doc_id", "quality", *DOC_X)
+    df = pin(documents(spark, sf, "left").select("doc_id", "quality", *DOC_X))  # the texts are read once
     z = X.center_scale(df, DOC_X)(df).select("doc_id", "quality", F.array(*DOC_X).alias("v"))
     known, missing = z.where("quality IS NOT NULL"), z.where("quality IS NULL")
     near = neighbours.nearest(missing, known, "doc_id", "v", 5)
