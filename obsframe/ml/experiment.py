@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from obsframe.functions.scalar import hash_fold
 from obsframe.ml.algorithms import check_algorithm, estimator, fit
 from obsframe.ml.metrics import classification_metrics, regression_metrics
-from obsframe.ml.resample import Scheme, resample_models, score_fits
+from obsframe.ml.resample import LINE_METRICS, MAX_MOMENTS, Scheme, resample_models, score_fits, score_penalised
 from obsframe.ml.together import score_depths, score_together
 
 
@@ -123,13 +123,24 @@ def _judge(task: str, y: str, metric: str | None):
     return MulticlassClassificationEvaluator(labelCol=y, metricName=metric or "accuracy")
 
 
+def _scored(df: DataFrame, maps, model, grid: Mapping[str, Sequence], scores: Sequence[float], judge) -> DataFrame:
+    """A row per combination of a grid, the best one marked."""
+    best = (max if judge.isLargerBetter() else min)(range(len(maps)), key=scores.__getitem__)
+    rows = [
+        (i + 1, *[float(m[model.getParam(n)]) for n in grid], float(scores[i]), i == best) for i, m in enumerate(maps)
+    ]
+    schema = ", ".join(["index int", *[f"{n} double" for n in grid], f"{judge.getMetricName()} double", "best boolean"])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def tune(
     df: DataFrame, algorithm: str, xs: Sequence[str], y: str, ids: Sequence[str], grid: Mapping[str, Sequence], k: int = 3, seed: int = 7,
     task: str = "regression", metric: str | None = None, fixed: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """The cross-validated metric of every combination of a tuning grid, the best one marked; ``fixed`` parameters hold for all.
 
-    Depths of a tree are tuned on trees of all folds that are grown together once, to the greatest depth.
+    Depths of a tree are tuned on trees of all folds that are grown together once, to the greatest depth. Penalties of a
+    line are tuned from sums per fold: one scan for all fits, one to score them.
     """
     direct = {"regression": ("rmse", "mae"), "classification": ("accuracy", "kappa")}[task]
     chosen = metric or direct[0]
@@ -146,15 +157,17 @@ def tune(
         builder = builder.addGrid(model.getParam(name), list(values))
     maps = builder.build()
     judge = _judge(task, y, metric)
+    penalties = {"regParam", "elasticNetParam"}
+    if algorithm in ("lm", "glmnet", "enet") and judge.getMetricName() in LINE_METRICS and {*grid, *(fixed or {})} <= penalties and len(xs) <= MAX_MOMENTS:
+        wanted = [{p.name: float(v) for p, v in m.items()} for m in maps]
+        base = {n: float(model.getOrDefault(n)) for n in penalties}
+        pairs = [({**base, **w}["regParam"], {**base, **w}["elasticNetParam"]) for w in wanted]
+        scores = score_penalised(df, xs, y, ids, k, seed, pairs, judge.getMetricName())
+        return _scored(df, maps, model, grid, scores, judge)
     folded = df.withColumn("fold", hash_fold(k, seed, *ids))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=judge, numFolds=k, foldCol="fold", parallelism=4, seed=seed)
     scores = cv.fit(folded).avgMetrics
-    best = (max if judge.isLargerBetter() else min)(range(len(maps)), key=scores.__getitem__)
-    rows = [
-        (i + 1, *[float(m[model.getParam(n)]) for n in grid], float(scores[i]), i == best) for i, m in enumerate(maps)
-    ]
-    schema = ", ".join(["index int", *[f"{n} double" for n in grid], f"{judge.getMetricName()} double", "best boolean"])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return _scored(df, maps, model, grid, scores, judge)
 
 
 def augment(df: DataFrame, predict: Callable[[DataFrame], DataFrame], response: str) -> DataFrame:

@@ -162,6 +162,35 @@ def solve(m: np.ndarray, ridge: float = 0.0) -> np.ndarray:
     return np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-12)[0] / scale
 
 
+def solve_penalised(m: np.ndarray, penalty: float, mix: float) -> np.ndarray:
+    """Coefficients (intercept first) of the elastic net from a matrix of sums, by Spark's objective: columns and response
+    at unit spread, the penalty over the response's spread, its share ``mix`` on absolute values; the intercept is free.
+    """
+    mean = m[0, :-1] / m[0, 0], m[0, -1] / m[0, 0]
+    spread = m / m[0, 0] - np.outer(m[0], m[0]) / m[0, 0] ** 2
+    own = np.maximum(np.diag(m) / m[0, 0], 1e-300)
+    sd = np.sqrt(np.where(np.diag(spread) > 1e-14 * own, np.diag(spread), 0.0))
+    used = np.flatnonzero(sd[1:-1]) + 1
+    coef = np.zeros(len(m) - 1)
+    if sd[-1] and len(used):
+        a = spread[np.ix_(used, used)] / np.outer(sd[used], sd[used])
+        b = spread[used, -1] / (sd[used] * sd[-1])
+        flat, ridge = mix * penalty / sd[-1], (1 - mix) * penalty / sd[-1]
+        a = a + ridge * np.eye(len(used))
+        w = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+        if flat:
+            for _ in range(10_000):
+                before = w.copy()
+                for i in range(len(w)):
+                    rest = b[i] - a[i] @ w + a[i, i] * w[i]
+                    w[i] = np.sign(rest) * max(abs(rest) - flat, 0.0) / a[i, i]
+                if np.abs(w - before).max() <= 1e-13:
+                    break
+        coef[used] = w * sd[-1] / sd[used]
+    coef[0] = mean[1] - coef[1:] @ mean[0][1:]
+    return coef
+
+
 def line(coef: np.ndarray, xs: Sequence[str]) -> Column:
     out = F.lit(float(coef[0]))
     for c, b in zip(xs, coef[1:]):
@@ -215,6 +244,36 @@ def resample_models(
     return regression_metrics(scored.where("prediction IS NOT NULL"), y, "prediction", ["model", "resample"])
 
 
+LINE_METRICS = ("rmse", "mse", "mae", "r2")
+MAX_MOMENTS = 30
+
+
+def score_penalised(
+    df: DataFrame, xs: Sequence[str], y: str, ids: Sequence[str], k: int, seed: int, penalties: Sequence[tuple[float, float]], metric: str
+) -> list[float]:
+    """The mean held-out metric over ``k`` folds of every (penalty, mix): one scan sums products per fold, one more scores all fits."""
+    data = df.dropna(subset=[*xs, y]).select(*dict.fromkeys([*xs, y]), hash_fold(k, seed, *ids).alias("fold"))
+    per = moments(data, xs, y, ["fold"])
+    empty = [f for f in range(k) if (f,) not in per]
+    if empty:
+        raise ValueError(f"fold {empty[0]} has no rows")
+    total = sum(per.values())
+    observed, parts = F.col(y).cast("double"), []
+    for i, (penalty, mix) in enumerate(penalties):
+        coefs = [solve_penalised(total - per[f,], penalty, mix) for f in range(k)]
+        own = [F.get(F.array(*[F.lit(float(c[j])) for c in coefs]), F.col("fold")) for j in range(len(xs) + 1)]
+        error = observed - reduce(Column.__add__, [own[0], *[b * F.col(x).cast("double") for b, x in zip(own[1:], xs)]])
+        parts.append(F.avg(F.abs(error) if metric == "mae" else error * error).alias(f"e{i}"))
+    rows = data.groupBy("fold").agg(F.var_pop(observed).alias("spread"), *parts).collect()
+
+    def measured(r, i: int) -> float:
+        if metric == "r2":
+            return 1 - r[f"e{i}"] / r["spread"] if r["spread"] else math.nan
+        return math.sqrt(r[f"e{i}"]) if metric == "rmse" else r[f"e{i}"]
+
+    return [sum(measured(r, i) for r in rows) / k for i in range(len(penalties))]
+
+
 def score_fits(
     df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], xs: Sequence[str], y: str, ids: Sequence[str], scheme: Scheme
 ) -> DataFrame:
