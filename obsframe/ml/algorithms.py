@@ -95,10 +95,29 @@ def fit(df: DataFrame, algorithm: str, task: str, xs: Sequence[str], y: str, **p
         return one_rule(df, xs, y)
     if algorithm == "knn":
         return nearest_rows(df, xs, y, task, **params)
+    if algorithm == "boosted" and set(params) <= COMBINABLE:
+        df, params = combined(df, task, xs, y), {**params, "weightCol": "weight_"}
     model = estimator(algorithm, task, xs, y, **params).fit(df)
     return lambda d: model.transform(d).drop(*_SCRATCH)
 
 
+# Boosting under other parameters than these may tell equal rows apart.
+COMBINABLE = {"maxDepth", "maxBins", "maxIter", "stepSize"}
+
+
+def combined(df: DataFrame, task: str, xs: Sequence[str], y: str) -> DataFrame:
+    """Rows with equal predictors as one with their number as its weight and, for a number, their mean response.
+
+    Squared loss and its gradient sums are the same on either, and so is the gain of every split. Spark keeps what a tree
+    grows from in memory, a task as much as it read; combined rows are as many as there are different ones.
+    """
+    if task == "regression":
+        cells = df.groupBy(*xs).agg(F.avg(y).alias(y), F.count(F.lit(1)).cast("double").alias("weight_"))
+    else:
+        cells = df.groupBy(*xs, y).agg(F.count(F.lit(1)).cast("double").alias("weight_"))
+    return pin(cells)
+
+
 def hinges(df: DataFrame, xs: Sequence[str], y: str, **params) -> Column:
     """A hinge model of one predictor, or of several with products up to ``degree``; a missing predictor leaves no prediction."""
     if len(xs) == 1 and params.get("degree", 1) == 1:
