@@ -10,7 +10,9 @@ from obsframe.functions.aggregates import (
 from obsframe.functions.scalar import in_years, mid_date
 from obsframe.operators import quality, ranking
 from obsframe.operators.relational import pooled_mean
-from obsframe.plans.binding import BASE_END, BASE_START, KEYS, OBS, READ, observations, readings, table
+from obsframe.plans.binding import (
+    BASE_END, BASE_START, KEYS, OBS, READ, name_stations, observations, readings, station_days, table,
+)
 from obsframe.plans.registry import query
 
 
@@ -198,7 +200,8 @@ GRAIN_SUMS = """count(*) AS n, count(*) FILTER (value IS NULL) AS n_na, count(va
 SELECT CASE WHEN grouping(decade)=0 THEN 'decadal' WHEN grouping(year)=0 THEN 'yearly' ELSE 'all' END AS grain, zone, station, decade, year, {GRAIN_SUMS}
 FROM d GROUP BY GROUPING SETS ((zone, station), (zone, station, decade), (zone, station, year))""")
 def multigrain(spark, sf):
-    return quality.grain_summary(observations(spark, sf), "value").withColumns(
+    summary = quality.grain_summary(station_days(spark, sf), "value", keys=["l_suppkey"])
+    return name_stations(spark, sf, summary).withColumns(
         {"mean": F.round("mean", 6), "sd": F.round("sd", 6), "skew": F.round("skew", 5)}
     )
 
