@@ -86,17 +86,19 @@ def refresh(
     ``files`` lists what is there (``path``, ``length``, ``modified``). ``summarise`` gets the listed files that have to be read and
     gives any number of rows for each, with its ``path``. What it gave is kept beside the manifest of the files it came from. A file
     of the same length and time keeps its rows unread, a changed one has them replaced, one that is gone loses them.
-    Each state is a version of its own, written to the end before it counts.
+    Each state is a version of its own, written to the end before it counts. The list is written first, so that all that follows sees
+    the same files; lists are joined by sorting, since a broadcast one would have to pass the driver.
     """
     root, version = f"{folder.rstrip('/')}/{name}", 0
     while path_exists(spark, f"{root}/{version + 1}/manifest/_SUCCESS"):
         version += 1
     new = f"{root}/{version + 1}"
-    listed = files.select("path", "length", "modified")
+    files.select("path", "length", "modified").write.mode("overwrite").parquet(f"{new}/listed")
+    listed = spark.read.parquet(f"{new}/listed")
     if version:
-        known = spark.read.parquet(f"{root}/{version}/manifest")
+        known = spark.read.parquet(f"{root}/{version}/manifest").hint("merge")
         same = listed.join(known, ["path", "length", "modified"], "left_semi").select("path")
-        kept = spark.read.parquet(f"{root}/{version}/rows").join(same, "path", "left_semi")
+        kept = spark.read.parquet(f"{root}/{version}/rows").join(same.hint("merge"), "path", "left_semi")
         changed = listed.join(known, ["path", "length", "modified"], "left_anti")
     else:
         kept, changed = None, listed
