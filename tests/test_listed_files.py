@@ -14,6 +14,7 @@ from test_refresh import found, rows
 NAMES = [
     "Station_1.zip", "_Station_2.zip", "a b/Station_3.zip", "a b/.h/Station_4.zip", "a b/_h/Station_5.zip", "a b/_k=1/Station_6.zip",
     "a b/Station_7.zip.part", "a b/Station_8.ZIP", "a%20b/c/d/IDCJAC0010_9_1800.zip",
+    "_metadata/Station_10.zip", "_metadata_11.zip", "_common_metadata/_h/Station_12.zip", "a b/Station_13.zip.COPYING/Station_14.zip",
 ]
 
 
@@ -35,6 +36,10 @@ def test_the_driver_holds_no_list_of_files(spark, tmp_path):
 @pytest.mark.parametrize("scheme, below", [("", ""), ("file://", ""), ("file:", "/"), ("", "/a b")])
 def test_listing_gives_what_spark_gives(spark, tmp_path, scheme, below):
     written(tmp_path, NAMES)
+    for empty in ("Station_20.zip", "a b/Station_21.zip"):
+        (tmp_path / empty).touch()
+    os.symlink(tmp_path / "Station_1.zip", tmp_path / "a b/Station_22.zip")
+    os.symlink(tmp_path / "a%20b", tmp_path / "a b/linked")
     path = f"{scheme}{tmp_path}{below}"
     want = archives._named(archives._files(spark, path)).select("station", "path", "length", F.col("modificationTime").alias("modified"), "content")
     listed = archives.list_files(spark, path)
